@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, quality, secrets, urls
+from quire.llm import chat, packing, quality, secrets, urls
 from quire.llm._common import read
 
 
@@ -13,6 +13,16 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read(spark, sf_dir, "documents"))
 
 
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(read(spark, sf_dir, "documents"), tokenizer())
+
+
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -36,5 +46,5 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_filter(pages, pages.select("url", host.rlike(BLOCKED_HOSTS).cast("int").alias("label")))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op6_chat_formatting, op7_secret_scan, op8_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_best_fit_packing, op6_chat_formatting, op7_secret_scan, op8_url_filter)}
 ORACLES: dict[str, str] = {}
