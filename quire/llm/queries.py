@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, packing, quality, secrets, urls
+from quire.llm import chat, packing, quality, secrets, toxicity, urls
 from quire.llm._common import read
 
 
@@ -46,5 +46,9 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_filter(pages, pages.select("url", host.rlike(BLOCKED_HOSTS).cast("int").alias("label")))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_best_fit_packing, op6_chat_formatting, op7_secret_scan, op8_url_filter)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_best_fit_packing, op6_chat_formatting, op7_secret_scan, op8_url_filter, op9_toxicity)}
 ORACLES: dict[str, str] = {}
