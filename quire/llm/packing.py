@@ -16,6 +16,7 @@ documents.  An empty table gives an empty result.  Other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ SIZE = 4096
 END = 1
 SALTS = 512
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 _known: dict[str, dict[str, bytes]] = {}
@@ -46,14 +47,13 @@ def encode(texts: list[str | None], tokenizer: str) -> list[bytes]:
 
         known[""] = Tokenizer.from_file(tokenizer)
     model = known[""]
-    ids = lambda batch: (np.array(e.ids, dtype="<u4").tobytes() for e in model.encode_batch_fast(batch, add_special_tokens=False))
+    ids = lambda batch: (array("I", e.ids).tobytes() for e in model.encode_batch_fast(batch, add_special_tokens=False))
     # Python also splits at these four, which the tokenizer takes for symbols.
     split = [None if t is None or any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-    new = list({w for s in split if s for w in s if w not in known})
-    if len(known) + len(new) > REMEMBERED:
+    if len(known) > REMEMBERED:
         known.clear()
         known[""] = model
-        new = list({w for s in split if s for w in s})
+    new = list(set().union(*(set(s).difference(known) for s in split if s)))
     for at in range(0, len(new), 10_000):
         known.update(zip(new[at : at + 10_000], ids(new[at : at + 10_000]), strict=True))
     return [b"".join(map(known.__getitem__, s)) if s is not None else next(ids([t or ""])) for s, t in zip(split, texts, strict=True)]
