@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, decontamination, packing, quality, secrets, toxicity, urls
+from quire.llm import chat, decontamination, html, packing, quality, secrets, toxicity, urls
 from quire.llm._common import read
 
 
@@ -23,6 +23,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(read(spark, sf_dir, "documents"), tokenizer())
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(read(spark, sf_dir, "pages"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -54,5 +58,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_best_fit_packing, op5_benchmark_decontamination, op6_chat_formatting, op7_secret_scan, op8_url_filter, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_best_fit_packing, op4_html_extraction, op5_benchmark_decontamination, op6_chat_formatting, op7_secret_scan, op8_url_filter, op9_toxicity)}
 ORACLES: dict[str, str] = {}
