@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, decontamination, html, packing, quality, secrets, toxicity, urls
+from quire.llm import chat, decontamination, html, lines, packing, quality, secrets, toxicity, urls
 from quire.llm._common import read
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read(spark, sf_dir, "documents"))
 
@@ -58,5 +62,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_best_fit_packing, op4_html_extraction, op5_benchmark_decontamination, op6_chat_formatting, op7_secret_scan, op8_url_filter, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_best_fit_packing, op4_html_extraction, op5_benchmark_decontamination, op6_chat_formatting, op7_secret_scan, op8_url_filter, op9_toxicity)}
 ORACLES: dict[str, str] = {}
