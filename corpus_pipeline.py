@@ -1,8 +1,73 @@
-"""A training corpus from ``documents``: five stages, each over all that the one before kept."""
+"""A training corpus from ``documents``: five stages, each over all that the one before kept.
+
+All stages but the last return the columns of ``documents``; ``n_chars`` follows the text.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.llm import decontamination, jaccard, lines, packing, toxicity
+from quire.llm._common import WORD, materialize, read
+from quire.llm.queries import tokenizer
+
+#: Ids that are sent to every executor at most; more are joined by a shuffle.
+BROADCAST_IDS = 200_000
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id isn't among ``ids``."""
+    ids = materialize(ids.select("doc_id").distinct())
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorization machine rejects go."""
+    return toxicity.keep_clean(docs, read(spark, sf_dir, "labels"))
+
+
+def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated line runs go, and documents that have no word left by it."""
+    found = lines.line_dedup(docs)
+    emptied = (F.col("n_deleted") > 0) & ~F.col("text").rlike(WORD)
+    return found.where(~emptied).withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by near copies the one with the smallest id stays."""
+    return _without(docs, jaccard.jaccard_join(docs).where(F.col("component_id") != F.col("doc_id"))).select(*docs.columns)
+
+
+def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a copy of a benchmark item, edited or not, go."""
+    return _without(docs, decontamination.decontaminate(docs, read(spark, sf_dir, "benchmark"))).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents left, packed into sequences."""
+    return packing.best_fit_packing(docs, tokenizer())
+
+
+STAGES = [
+    ("toxicity", not_toxic),
+    ("line_dedup", lines_once),
+    ("ngram_jaccard_join", one_of_each_group),
+    ("benchmark_decontamination", not_in_benchmark),
+    ("best_fit_packing", packed),
+]
+
+#: Word hashes, tokenization and a fitted model: SQL can't express the stages.
 ORACLE_SQL = None
-QUERIES: dict = {}
-ORACLES: dict = {}
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+QUERIES = {"pipeline": run}
+ORACLES: dict[str, str] = {}

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm._vector import Words, chunks
@@ -106,33 +106,56 @@ def fit(rows: list[tuple[int, bytes]], terms: int = TERMS, factors: int = FACTOR
     return model | {"bias": float(p["bias"][0]), "w": p["w"], "v": p["v"], "buckets": best}
 
 
+def _scores(texts: pa.Array, model: dict) -> np.ndarray:
+    out = np.full(len(texts), model["base"])
+    if model["bias"] is None:
+        return out
+    keep = np.zeros(BUCKETS, bool)
+    keep[model["buckets"]] = True
+    for at, rows, doc, bucket in term_hashes(texts, keep):
+        term = np.searchsorted(model["buckets"], bucket)
+        z = model["bias"] + np.bincount(doc, model["w"][term], rows)
+        for f in range(model["v"].shape[1]):
+            v = model["v"][term, f]
+            z += 0.5 * (np.bincount(doc, v, rows) ** 2 - np.bincount(doc, v * v, rows))
+        out[at : at + rows] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    return out
+
+
 def scores(docs: DataFrame, model: dict) -> DataFrame:
-    """Adds ``score`` to the rows; ``text`` is dropped."""
-    kept = [c for c in docs.columns if c != "text"]
+    """doc_id and score of each row."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = np.zeros(BUCKETS, bool)
-        keep[model["buckets"]] = True
         for batch in batches:
-            out = np.full(batch.num_rows, model["base"])
-            if model["bias"] is not None:
-                for at, rows, doc, bucket in term_hashes(batch.column("text"), keep):
-                    term = np.searchsorted(model["buckets"], bucket)
-                    z = model["bias"] + np.bincount(doc, model["w"][term], rows)
-                    for f in range(model["v"].shape[1]):
-                        v = model["v"][term, f]
-                        z += 0.5 * (np.bincount(doc, v, rows) ** 2 - np.bincount(doc, v * v, rows))
-                    out[at : at + rows] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out)], names=[*kept, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(batch.column("text"), model))], names=["doc_id", "score"])
+
+    return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+
+
+def _held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
+
 
-    return docs.mapInArrow(score, ", ".join(f"`{c}` {kind}" for c, kind in docs.dtypes if c != "text") + ", score double")
+def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> dict:
+    """The model fitted on the labelled documents that aren't held out."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("label")).where(~_held_out(F.col("doc_id")))
+    return fit([(r["label"], bytes(r["terms"])) for r in sampled_terms(rows, known, sample).collect()])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.  Held-out documents' labels are not used."""
-    held_out = lambda c: F.coalesce(F.crc32(c.cast("string")) % 4 == 2, F.lit(False))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("label")).where(~held_out(F.col("doc_id")))
-    model = fit([(r["label"], bytes(r["terms"])) for r in sampled_terms(rows, known, sample).collect()])
-    scored = scores(rows, model)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    model = learn(docs, labels, doc_id, text, label, sample)
+    scored = scores(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")), model)
+    return scored.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, as they are, whose score is below ``threshold``."""
+    model = learn(docs, labels, doc_id, text, label, sample)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch.column(text), model) < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
