@@ -1 +1,3 @@
+"""Queries over the driver's tables; importing this package registers them."""
 
+from quire.plans import geometry, lists, numbering, search, settings, stages, texts, validation  # noqa: F401
