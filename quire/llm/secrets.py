@@ -55,19 +55,17 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 def find(text: Column, pattern: str, kind: str, order: int, passes: Callable[[Column], Column] | None = None, p: Callable[[Column], Column] | None = None) -> Column:
     """Leftmost non-overlapping matches with their places: what splitting at the pattern leaves gives the gaps before each match."""
 
-    def spans(found: Column, gaps: Column) -> Column:
-        def step(a: Column, m: Column) -> Column:
-            start = a["at"] + F.length(F.get(gaps, a["i"]))
-            end = start + F.length(m)
-            value = p(m) if p else F.lit(None).cast("double")
-            one = F.array(F.struct(start.alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), end.alias("end"), value.alias("p"), F.length(m).alias("n")))
-            more = F.concat(a["spans"], one)
-            return F.struct((a["i"] + 1).alias("i"), end.alias("at"), (F.when(passes(m), more).otherwise(a["spans"]) if passes else more).alias("spans"))
-
-        none = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
-        return F.aggregate(found, none, step)["spans"]
-
-    made = spans(F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1))
+    def step(a: Column, x: Column) -> Column:
+        m, start = x["m"], a["at"] + F.length(x["gap"])
+        end = start + F.length(m)
+        value = p(m) if p else F.lit(None).cast("double")
+        one = F.array(F.struct(start.alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), end.alias("end"), value.alias("p"), F.length(m).alias("n")))
+        more = F.concat(a["spans"], one)
+        return F.struct(end.alias("at"), (F.when(passes(m), more).otherwise(a["spans"]) if passes else more).alias("spans"))
+
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
+    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0), lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
+    made = F.aggregate(F.filter(pairs, lambda x: x["m"].isNotNull()), none, step)["spans"]
     return F.when(text.rlike(pattern), made).otherwise(F.array().cast(_SPANS))
 
 
