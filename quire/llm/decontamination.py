@@ -12,8 +12,8 @@ large the benchmark; each block meets all documents.  Words are runs of letters,
 characters, A-Z lower-cased.
 
 Edge cases: null and empty texts have no words and match nothing.  An item with fewer words than an n-gram
-is matched as one n-gram of its own length.  Repeated items are scored separately; rows with the same id
-count as one document, which has the best score of its rows.  Empty tables give an empty result.  Other
+is matched as one n-gram of its own length.  Repeated items are scored separately; rows with the same id,
+or without one, count as one document or item, which has the best score of its rows.  Empty tables give an empty result.  Other
 columns are never read.
 """
 
@@ -49,9 +49,9 @@ def _words(texts: list[str | None]) -> list[np.ndarray]:
 class Items:
     """A block of test items: their words and their n-grams with the items and places they have."""
 
-    def __init__(self, ids: list[int], texts: list[str | None]):
+    def __init__(self, ids: list[int | None], texts: list[str | None]):
         found = [(i, w) for i, w in zip(ids, _words(texts), strict=True) if len(w)]
-        self.ids, self.words = np.array([i for i, _ in found], np.int64), [w for _, w in found]
+        self.ids, self.words = [i for i, _ in found], [w for _, w in found]
         self.sizes = sorted({min(N, len(w)) for w in self.words})
         grams = [(_grams(w), k) for k, w in enumerate(self.words)]
         self.hash = np.concatenate([g for g, _ in grams] or [np.zeros(0, np.uint64)])
@@ -173,7 +173,7 @@ def matches(docs: DataFrame, items: Items) -> DataFrame:
                     own = [items.words[item] for _, item, _ in some]
                     windows = [words.hash[max(start, starts[row]) : min(start + 3 * len(x), starts[row + 1])] for (row, _, start), x in zip(some, own, strict=True)]
                     for (row, item, _), x, (score, _) in zip(some, own, align(own, windows), strict=True):
-                        for column, value in zip(out, (ids[first + row].as_py(), int(items.ids[item]), score / (MATCH * len(x))), strict=True):
+                        for column, value in zip(out, (ids[first + row].as_py(), items.ids[item], score / (MATCH * len(x))), strict=True):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["doc_id", "item_id", "score"])
 
@@ -195,7 +195,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 def blocks(benchmark: DataFrame, block: int = BLOCK) -> Iterator[Items]:
     """The items in blocks of about ``block`` characters' worth of n-grams, read one after the other."""
-    ids: list[int] = []
+    ids: list[int | None] = []
     texts: list[str | None] = []
     size = 0
     for r in benchmark.toLocalIterator():

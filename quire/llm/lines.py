@@ -18,7 +18,8 @@ A run is deleted with all its lines if it has at least ``min_words`` words.  The
 Edge cases: lines are parted by ``\n`` and compared as they are; blank lines (white space only) are no part
 of a run, and those inside a deleted run go with it.  Null texts have no lines and stay null.  Rows with the
 same id and text are one document; same id and different text are two, ordered by hash.  Null ids come
-first.  An empty table gives an empty result.  Columns other than id and text are passed on untouched.
+first.  An empty table gives an empty result.  Columns other than id and text are passed on untouched; input
+columns named ``n_lines`` or ``n_deleted`` give way to the operator's own.
 """
 
 from __future__ import annotations
@@ -144,13 +145,15 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "do
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with later copies of repeated runs taken out of ``text``; adds ``n_lines`` and ``n_deleted``."""
     runs = repeated_runs(docs, min_words, doc_id, text)
-    lines = F.split(F.col(text), "\n", -1)
+    # The row travels as one struct, so that no column of its own clashes with those made here.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text"), *_key(doc_id, text))
+    there = F.col("runs").isNotNull()
     kept = F.filter("_lines", lambda x, i: ~F.exists("runs", lambda r: i.between(r["first"], r["last"])))
-    out = docs.select("*", *_key(doc_id, text)).join(runs, ["_d", "_h"], "left").withColumn("_lines", F.when(F.col("runs").isNotNull(), lines)).withColumn("_kept", F.when(F.col("runs").isNotNull(), kept))
-    n = F.when(F.col(text).isNull(), 0).when(F.col("runs").isNotNull(), F.size("_lines")).otherwise(F.size(lines))
+    out = rows.join(runs, ["_d", "_h"], "left").withColumn("_lines", F.split("_text", "\n", -1)).withColumn("_kept", F.when(there, kept))
+    n = F.when(F.col("_text").isNull(), 0).otherwise(F.size("_lines"))
     return out.select(
-        *[c for c in docs.columns if c != text],
-        F.when(F.col("runs").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col(text)).alias(text),
+        *[F.col("_row")[c].alias(c) for c in docs.columns if c not in (text, "n_lines", "n_deleted")],
+        F.when(there, F.array_join("_kept", "\n")).otherwise(F.col("_text")).alias(text),
         n.cast("long").alias("n_lines"),
-        F.when(F.col("runs").isNotNull(), F.size("_lines") - F.size("_kept")).otherwise(0).cast("long").alias("n_deleted"),
+        F.when(there, F.size("_lines") - F.size("_kept")).otherwise(0).cast("long").alias("n_deleted"),
     )
