@@ -93,7 +93,7 @@ sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
 links AS MATERIALIZED (
   SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
   JOIN sizes x ON x.doc_id = p.a JOIN sizes y ON y.doc_id = p.b WHERE 100 * p.shared >= 80 * (x.n + y.n - p.shared)),
-reached AS (SELECT doc_id, doc_id AS at FROM documents UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.at)
+reached AS (SELECT doc_id, doc_id AS near FROM documents UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.near)
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, m.low AS component_id FROM documents d
-LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN (SELECT doc_id, min(at) AS low FROM reached GROUP BY doc_id) m ON m.doc_id = d.doc_id""",
+LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN (SELECT doc_id, min(near) AS low FROM reached GROUP BY doc_id) m ON m.doc_id = d.doc_id""",
 }
