@@ -20,7 +20,7 @@ def test_scannos_are_whole_tokens(spark):
 def test_hyphens(spark):
     assert one(spark, T.join_hyphens(F.col("t"), ["to-"]), t="To-\nday and mid-\nway") == "Today and mid-\nway"
     found = one(spark, T.hyphen_candidates(F.col("t")), t="😀 über-\nmut, to-\nday")
-    assert [(c["prefix"], c["suffix"], c["char_offset"]) for c in found] == [("über", "mut", 2), ("to", "day", 12)]
+    assert [(c["prefix"], c["suffix"], c["char_offset"]) for c in found] == [("über", "mut", 2), ("to", "day", "😀 über-\nmut, to-\nday".index("to-"))]
     again = one(spark, T.apply_joins(F.col("t"), F.array(F.lit(found[1]["candidate_id"]))), t="😀 über-\nmut, to-\nday")
     assert again == "😀 über-\nmut, today"
 
