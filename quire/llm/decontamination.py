@@ -1,11 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds join documents to test items, Smith-Waterman scores the pairs.
+"""Benchmark decontamination: n-gram seeds join documents to test items, Smith-Waterman scores the pairs.
 
-1. Each test item's word n-grams are looked up in all documents, which gives every n-gram's document
-   frequency over the whole corpus.
-2. In every stretch of ``STRETCH`` n-grams of an item the rarest one is a seed.  So each copy of a stretch
-   has a seed however often the item was leaked, and words that are common everywhere seldom do.
-3. Where a document has a seed, the text around it is aligned with the item (match 2, mismatch and gap -1).
-   A pair's score is that of the best local alignment divided by that of an exact copy of the item.
+1. Every word n-gram of every test item is a seed, however often it occurs.  Frequencies can't tell which ones
+   to leave out: those that an edit destroyed are the rarest ones, and those of a leaked item are common.
+2. Around each seed in a document lies a window.  No alignment has more matches than the item and the window
+   have words in common, each counted as often as in both, so windows with too few for the threshold are left
+   out; no pair that reaches it is lost by that.
+3. The other windows are aligned with the item (match 2, mismatch and gap -1).  A pair's score is that of the
+   best local alignment divided by that of an exact copy of the item.
+
+A copy without ``N`` words in a row of its item isn't found, even if its score would reach the threshold.
 
 Items are taken in blocks of at most ``BLOCK`` n-grams, so what is sent to the executors is bounded however
 large the benchmark; each block meets all documents.  Words are runs of letters, digits and non-ASCII
@@ -26,15 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm._vector import Words, chunks
+from quire.llm._vector import Words, chunks, mix
 
 N = 3
-STRETCH = 6
 BLOCK = 200_000
 THRESHOLD = 0.45
 MATCH, MISS, GAP = 2, -1, 1
 #: Alignments worked on together.
 TOGETHER = 64
+#: Seeds, or words of windows, worked on together.
+AT_ONCE = 1 << 20
 
 
 def _words(texts: list[str | None]) -> list[np.ndarray]:
@@ -57,20 +61,17 @@ class Items:
         self.hash = np.concatenate([g for g, _ in grams] or [np.zeros(0, np.uint64)])
         self.item = np.concatenate([np.full(len(g), k) for g, k in grams] or [np.zeros(0, np.int64)])
         self.place = np.concatenate([np.arange(len(g)) for g, _ in grams] or [np.zeros(0, np.int64)])
-        self.distinct = np.unique(self.hash)
-
-    def keep(self, frequency: np.ndarray) -> None:
-        """Keep the rarest n-gram of each stretch."""
-        of = frequency[np.searchsorted(self.distinct, self.hash)]
-        kept = np.zeros(len(self.hash), bool)
-        ends = np.flatnonzero(np.append(self.item[1:] != self.item[:-1], True)) + 1 if len(self.item) else []
-        start = 0
-        for end in ends:
-            for a in range(start, max(end - STRETCH, start) + 1):
-                kept[a + int(np.argmin(of[a : min(a + STRETCH, end)]))] = True
-            start = end
-        order = np.argsort(self.hash[kept], kind="stable")
-        self.hash, self.item, self.place = (x[kept][order] for x in (self.hash, self.item, self.place))
+        order = np.argsort(self.hash, kind="stable")
+        self.hash, self.item, self.place = (x[order] for x in (self.hash, self.item, self.place))
+        self.length = np.array([len(w) for w in self.words], np.int64)
+        words = np.concatenate(self.words or [np.zeros(0, np.uint64)])
+        #: Each item's words, and how often it has them.
+        self.vocabulary, self.copies = np.unique(_of(words, np.repeat(np.arange(len(self.words)), self.length)), return_counts=True)
+
+
+def _of(words: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Hashes of words as words of an item."""
+    return mix(words + item.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
 
 def _grams(words: np.ndarray) -> np.ndarray:
@@ -94,31 +95,6 @@ class _Finder:
         return at[self.hashes[place] == hashes[at]] if len(self.hashes) else at[:0]
 
 
-def frequencies(docs: DataFrame, items: Items) -> np.ndarray:
-    """In how many rows of ``docs`` each of the items' n-grams occurs."""
-    distinct, sizes = items.distinct, items.sizes
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder, n = _Finder(distinct), np.zeros(len(distinct), np.int64)
-        for batch in batches:
-            for _, _, data, offsets in chunks(batch.column("text")):
-                words = Words(data, offsets, punctuation=True)
-                for size in sizes:
-                    doc, _, hashes = words.grams(size)
-                    at = finder(hashes)
-                    if len(at):
-                        both = np.unique(doc[at] * len(distinct) + np.searchsorted(distinct, hashes[at]))
-                        n += np.bincount(both % len(distinct), minlength=len(distinct))
-        there = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(n[there])], names=["gram", "n"])
-
-    out = np.zeros(len(distinct), np.int64)
-    # A row for each n-gram of the block at most.
-    for r in docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-        out[r["gram"]] = r["n"]
-    return out
-
-
 def align(items: list[np.ndarray], windows: list[np.ndarray]) -> list[tuple[int, int]]:
     """Best local alignment of each item with its window: score and where it ends in the window."""
     height, width = max(map(len, items)), max(map(len, windows))
@@ -141,23 +117,54 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> list[tuple[int,
     return list(zip(best.tolist(), end.tolist(), strict=True))
 
 
-def _windows(words: Words, items: Items, finder: _Finder) -> dict[tuple[int, int, int], None]:
-    """(row, item, first word) of the windows around seeds, an item's length before and after; near ones count once."""
-    seen: dict[tuple[int, int, int], None] = {}
+def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``AT_ONCE`` together, one number at least."""
+    so_far, at = np.concatenate([[0], np.cumsum(sizes)]), 0
+    while at < len(sizes):
+        to = max(int(np.searchsorted(so_far, so_far[at] + AT_ONCE, side="right")) - 1, at + 1)
+        yield at, to
+        at = to
+
+
+def _spread(low: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """low, low + 1, ... for each of the ranges."""
+    return np.arange(sizes.sum()) + np.repeat(low - (np.cumsum(sizes) - sizes), sizes)
+
+
+def _windows(words: Words, items: Items, finder: _Finder) -> Iterator[np.ndarray]:
+    """Rows of (row, item, first word): the windows around seeds, an item's length before and after; near ones count once."""
     for size in items.sizes:
         doc, at, hashes = words.grams(size)
-        for i in finder(hashes):
-            for k in range(int(np.searchsorted(items.hash, hashes[i])), int(np.searchsorted(items.hash, hashes[i], side="right"))):
-                item = int(items.item[k])
-                length = len(items.words[item])
-                start = int(at[i]) - int(items.place[k])
-                # Two overlapping grids of windows: any alignment near the seed's diagonal lies inside its own.
-                seen[int(doc[i]), item, (start + length // 2) // length * length - length] = None
-    return seen
+        seeds = finder(hashes)
+        low, high = (np.searchsorted(items.hash, hashes[seeds], side=side) for side in ("left", "right"))
+        for a, b in _slices(high - low):
+            n = (high - low)[a:b]
+            k = _spread(low[a:b], n)
+            item = items.item[k]
+            length = items.length[item]
+            start = np.repeat(at[seeds[a:b]], n) - items.place[k]
+            # Two overlapping grids of windows: any alignment near the seed's diagonal lies inside its own.
+            yield np.unique(np.stack([np.repeat(doc[seeds[a:b]], n), item, (start + length // 2) // length * length - length], axis=1), axis=0)
+
+
+def _enough(words: Words, items: Items, item: np.ndarray, low: np.ndarray, high: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the windows (words low to high) share enough words with their item for the threshold."""
+    out = np.zeros(len(item), bool)
+    for a, b in _slices(high - low):
+        n = (high - low)[a:b]
+        window = np.repeat(np.arange(b - a), n)
+        hashes = _of(words.hash[_spread(low[a:b], n)], np.repeat(item[a:b], n))
+        place = np.searchsorted(items.vocabulary, hashes)
+        place[place == len(items.vocabulary)] = 0
+        there = items.vocabulary[place] == hashes
+        both, count = np.unique(window[there] * len(items.vocabulary) + place[there], return_counts=True)
+        shared = np.bincount(both // len(items.vocabulary), np.minimum(count, items.copies[both % len(items.vocabulary)]), minlength=b - a)
+        out[a:b] = MATCH * shared / (MATCH * items.length[item[a:b]]) >= threshold
+    return out
 
 
-def matches(docs: DataFrame, items: Items) -> DataFrame:
-    """doc_id, item_id and score of the windows that have a seed; columns doc_id and text."""
+def matches(docs: DataFrame, items: Items, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, item_id and score of the windows that have a seed and may reach the threshold; columns doc_id and text."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = _Finder(np.unique(items.hash))
@@ -166,15 +173,21 @@ def matches(docs: DataFrame, items: Items) -> DataFrame:
             for first, rows, data, offsets in chunks(batch.column("text")):
                 words = Words(data, offsets, punctuation=True)
                 starts = np.searchsorted(words.doc, np.arange(rows + 1))
-                todo = list(_windows(words, items, finder))
                 out: tuple[list, list, list] = ([], [], [])
-                for k in range(0, len(todo), TOGETHER):
-                    some = todo[k : k + TOGETHER]
-                    own = [items.words[item] for _, item, _ in some]
-                    windows = [words.hash[max(start, starts[row]) : min(start + 3 * len(x), starts[row + 1])] for (row, _, start), x in zip(some, own, strict=True)]
-                    for (row, item, _), x, (score, _) in zip(some, own, align(own, windows), strict=True):
-                        for column, value in zip(out, (ids[first + row].as_py(), items.ids[item], score / (MATCH * len(x))), strict=True):
-                            column.append(value)
+                for found in _windows(words, items, finder):
+                    length = items.length[found[:, 1]]
+                    low = np.maximum(found[:, 2], starts[found[:, 0]])
+                    high = np.minimum(found[:, 2] + 3 * length, starts[found[:, 0] + 1])
+                    todo = np.flatnonzero(_enough(words, items, found[:, 1], low, high, threshold))
+                    # Of like size, so that little is padded.
+                    todo = todo[np.argsort(length[todo], kind="stable")]
+                    for k in range(0, len(todo), TOGETHER):
+                        some = todo[k : k + TOGETHER]
+                        own = [items.words[i] for i in found[some, 1]]
+                        windows = [words.hash[x:y] for x, y in zip(low[some], high[some], strict=True)]
+                        for (row, item, _), x, (score, _) in zip(found[some].tolist(), own, align(own, windows), strict=True):
+                            for column, value in zip(out, (ids[first + row].as_py(), items.ids[item], score / (MATCH * len(x))), strict=True):
+                                column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["doc_id", "item_id", "score"])
 
     return docs.mapInArrow(find, "doc_id long, item_id long, score double")
@@ -185,8 +198,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     found = None
     for items in blocks(benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")), block):
-        items.keep(frequencies(rows, items))
-        one = matches(rows, items)
+        one = matches(rows, items, threshold)
         found = one if found is None else found.unionByName(one)
     if found is None:
         found = rows.sparkSession.createDataFrame([], "doc_id long, item_id long, score double")

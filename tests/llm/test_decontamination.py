@@ -54,6 +54,20 @@ def test_edited_copies_are_found_and_others_left(spark):
     assert found == {(x["doc_id"], x["item_id"]) for x in decontamination.decontaminate(documents(spark, rows), bench, block=50).collect()}
 
 
+def test_an_edit_every_six_words_against_all_alignments(spark):
+    # Each item leaked once or edited only, with and without exact copies beside it.
+    items = [(k, prose(700 + k, 16 + k, 5000)) for k in range(24)]
+    rows = [(k, prose(k, 120, 5000)) for k in range(20)]
+    for k, text in items:
+        edited = " ".join("other" if i % 6 == 5 else w for i, w in enumerate(text.split()))
+        rows.append((100 + k, f"{prose(900 + k, 50, 5000)} {edited} {prose(950 + k, 50, 5000)}"))
+        rows += [(200 + 3 * k + c, f"{text} {prose(990 + k, 30, 5000)}") for c in range(k % 3)]
+    want = {(d, k): s for d, text in rows for k, x in items if (s := smith_waterman(tokens(x), tokens(text))) >= decontamination.THRESHOLD}
+    assert {(100 + k, k) for k, _ in items} <= want.keys()
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(x["doc_id"], x["item_id"]): x["score"] for x in decontamination.decontaminate(documents(spark, rows), bench).collect()} == want
+
+
 def test_edges(spark):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "one two three"), (4, "two"), (None, "a null id")], "item_id long, text string")
     rows = documents(spark, awkward())
