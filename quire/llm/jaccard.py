@@ -12,8 +12,10 @@
 
 Near copies by the thousand would give pairs by the million, so shingles with more than ``LARGE`` groups are
 first worked on as stars: all members are verified against one member, and only pairs in different
-components afterwards are listed.  No pair with different components is left unverified, so components are
-exact.
+components afterwards are listed.  The classes of a group need not be alike, so a group has the smallest and
+the largest component of its classes; tokens and group pairs are passed over only where these are all one, and
+pairs of classes only where the two components are equal.  No pair with different components is left
+unverified, so components are exact.
 
 Edge cases: texts without words, and null texts, have no shingle and are linked with nothing; with fewer than
 five words the whole sequence is one shingle.  Rows that share an id are one document with the links of both.
@@ -216,14 +218,14 @@ def _least_shared(n: Column, m: Column) -> Column:
 
 
 def _candidates(listed: DataFrame) -> DataFrame:
-    """Pairs of groups in different components that share prefix shingles and pass the filters; listed has token, group, n, place, component."""
-    # A shingle all of whose groups are joined already has nothing to add.
-    mixed = listed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+    """Pairs of groups in different components that share prefix shingles and pass the filters; listed has token, group, n, place, low, high."""
+    # A shingle all of whose groups' classes are joined already has nothing to add.
+    mixed = listed.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("token")
     left = listed.join(mixed, "token", "left_semi")
-    right = left.select("token", *(F.col(c).alias(f"{c}2") for c in ("group", "n", "place", "component")))
+    right = left.select("token", *(F.col(c).alias(f"{c}2") for c in ("group", "n", "place", "low", "high")))
     fits = (
         ((F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("group") < F.col("group2"))))
-        & (F.col("component") != F.col("component2"))
+        & (F.least("low", "low2") != F.greatest("high", "high2"))
         & (100 * F.col("n") >= PERCENT * F.col("n2"))
         & (F.least("place", "place2") + F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) >= _least_shared(F.col("n"), F.col("n2")))
     )
@@ -254,10 +256,10 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         links, more = _star(listed, inside, links, star, rows, classes)
         if not more:
             break
-    labelled = lambda frame: _label(frame, links)
-    pairs = _expand(_candidates(labelled(listed)), members, labelled)
+    known = None if links is None else components(links)
+    pairs = _expand(_candidates(_spans(listed, members, known)), members, known)
     # Of one group, all pairs whose components still differ.
-    one = labelled(inside)
+    one = _label(inside, known)
     two = one.select("token", F.col("group").alias("b"), F.col("component").alias("component2"))
     pairs = pairs.union(one.join(two, "token").where((F.col("group") < F.col("b")) & (F.col("component") != F.col("component2"))).select(F.col("group").alias("a"), "b"))
     last = _verified(materialize(pairs.distinct()), rows, classes)
@@ -269,12 +271,19 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _label(frame: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Adds ``component`` to rows with a ``group``."""
-    if links is None:
-        return frame.withColumn("component", F.col("group"))
-    known = components(links).select(F.col("class").alias("group"), F.col("component").alias("known"))
-    return frame.join(known, "group", "left").withColumn("component", F.coalesce("known", "group")).drop("known")
+def _label(frame: DataFrame, known: DataFrame | None, of: str = "group", name: str = "component") -> DataFrame:
+    """Adds the component in ``known`` of the class in column ``of``."""
+    if known is None:
+        return frame.withColumn(name, F.col(of))
+    named = known.select(F.col("class").alias(of), F.col("component").alias("known"))
+    return frame.join(named, of, "left").withColumn(name, F.coalesce("known", of)).drop("known")
+
+
+def _spans(listed: DataFrame, members: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Adds ``low`` and ``high``, the smallest and the largest component of a group's classes."""
+    of = _label(members.select("class", "group"), known, "class").groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    own = F.col("component")
+    return _label(listed, known).join(of, "group", "left").withColumn("low", F.coalesce("low", own)).withColumn("high", F.coalesce("high", own)).drop("component")
 
 
 def _star(listed: DataFrame, inside: DataFrame, links: DataFrame | None, star: int, rows: DataFrame, classes: DataFrame) -> tuple[DataFrame | None, bool]:
@@ -284,16 +293,20 @@ def _star(listed: DataFrame, inside: DataFrame, links: DataFrame | None, star: i
     large = materialize(large.select("token", F.col("hub.group").alias("hub"), F.col("hub.n").alias("m")))
     if not large.limit(1).count():
         return links, False
-    some = _label(every.join(large, "token"), links)
-    hubs = _label(large.select(F.col("hub").alias("group")).distinct(), links).select(F.col("group").alias("hub"), F.col("component").alias("of"))
+    known = None if links is None else components(links)
+    some = _label(every.join(large, "token"), known)
+    hubs = _label(large.select("hub").distinct(), known, "hub", "of")
     some = some.join(hubs, "hub").where((F.col("component") != F.col("of")) & (100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")))
     pairs = materialize(some.select(F.col("group").alias("a"), F.col("hub").alias("b")).distinct())
     new = _verified(pairs, rows, classes)
     return (new if links is None else materialize(links.union(new))), True
 
 
-def _expand(pairs: DataFrame, members: DataFrame, labelled) -> DataFrame:
-    """Pairs of groups to pairs of their members; a group without entry in ``members`` is its only one."""
+def _expand(pairs: DataFrame, members: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Pairs of groups to pairs of their members in different components; a group without entry in ``members`` is its only one."""
     of = members.select(F.col("group").alias("_g"), F.col("class").alias("_c"))
     out = pairs.join(of, pairs["group"] == of["_g"], "left").select(F.coalesce("_c", "group").alias("a"), "group2")
-    return out.join(of, out["group2"] == of["_g"], "left").select("a", F.coalesce("_c", "group2").alias("b"))
+    out = _label(out, known, "a")
+    of = _label(of, known, "_c", "_of")
+    out = _label(out.join(of, out["group2"] == of["_g"], "left").withColumn("b", F.coalesce("_c", "group2")).drop("_c", "_g"), known, "group2", "_single")
+    return out.where(F.col("component") != F.coalesce("_of", "_single")).select("a", "b")

@@ -4,8 +4,10 @@ import os
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
+from quire.llm import jaccard
 from quire.llm.jaccard import jaccard_join
 from quire.llm._common import read
 from quire.llm.queries import ORACLES, QUERIES
@@ -83,6 +85,27 @@ def test_large_group_of_near_copies(spark):
     assert result(jaccard_join(documents(spark, rows))) == brute(rows)
 
 
+def test_groups_of_several_classes_in_a_large_list(spark):
+    # 80 groups share the shingles of one opening; a fourth of them have a second class with another ending, and
+    # the class that stands for the group is the one that the hub joins.
+    opening, first, second = prose(1, 19, 5000), prose(2, 36, 5000), prose(3, 36, 5000)
+    text = lambda k, ending: f"start{k} {opening} e1 e2 e3 e4 c1 c2 c3 c4 {ending}"
+
+    def set_hash(x):
+        data = x.encode()
+        hashes = jaccard.shingles(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[1]
+        return int(jaccard._classes(hashes, np.array([len(hashes)]))[0])
+
+    texts = [text(k, first) for k in range(80)]
+    texts += [text(k, second) for k in range(80) if set_hash(text(k, first)) < set_hash(text(k, second))][:20]
+    # Endings are so common that they lie behind all prefixes.
+    texts += [f"e1 e2 e3 e4 c1 c2 c3 c4 {first} e1 e2 e3 e4 c1 c2 c3 c4 {second}"] * 400
+    rows = list(enumerate(texts))
+    want = brute(rows)
+    assert len(texts) == 500 and len({c for _, c in want.values()}) == 3
+    assert result(jaccard_join(documents(spark, rows))) == want
+
+
 def test_edges(spark):
     rows = awkward()
     found = jaccard_join(documents(spark, rows)).collect()
