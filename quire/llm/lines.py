@@ -13,7 +13,8 @@ and ``l`` is the longest run starting there that occurs earlier.  Only these int
 are never put in order inside one, and no interval is ever gathered: a round is one grouped minimum and one
 join on its name, which Spark can split where a name is very frequent.
 
-A run is deleted with all its lines if it has at least ``min_words`` words.  The earliest copy stays.
+A run is deleted with all its lines if it has at least ``min_words`` words.  In shorter runs the lines that
+occur at least ``many`` times in the corpus are deleted.  The earliest copy stays.
 
 Edge cases: lines are parted by ``\n`` and compared as they are; blank lines (white space only) are no part
 of a run, and those inside a deleted run go with it.  Null texts have no lines and stay null.  Rows with the
@@ -31,6 +32,8 @@ from pyspark.sql import Window
 from quire.llm._common import SPACE, WORD, materialize
 
 MIN_WORDS = 10
+#: Times a line occurs in the corpus from which its later copies go however short they are.
+MANY = 50
 _NAME = "struct<a:bigint,b:bigint>"
 
 
@@ -73,12 +76,12 @@ def _doubled(half: int) -> Column:
     return F.transform("level", double)
 
 
-def longest_earlier_runs(lines: DataFrame) -> DataFrame:
-    """One row per document with repeated lines: ``at`` (seq, line, c: running words, w, name) and ``run``, by place the longest run that occurs earlier (l)."""
-    often = lines.groupBy("a", "b").count().where("count > 1").select("a", "b")
+def longest_earlier_runs(lines: DataFrame, many: int = MANY) -> DataFrame:
+    """One row per document with repeated lines: ``at`` (seq, line, c: running words, many: whether the line occurs so often, name) and ``run``, by place the longest run that occurs earlier (l)."""
+    often = lines.groupBy("a", "b").count().where("count > 1").select("a", "b", (F.col("count") >= many).alias("many"))
     repeated = lines.join(often, ["a", "b"])
     so_far = F.sum("w").over(Window.partitionBy("_d", "_h").orderBy("seq"))
-    place = F.struct("seq", "line", so_far.cast("long").alias("c"), "w", F.struct("a", "b").alias("name")).alias("x")
+    place = F.struct("seq", "line", so_far.cast("long").alias("c"), "many", F.struct("a", "b").alias("name")).alias("x")
     repeated = repeated.select("_d", "_h", place).groupBy("_d", "_h").agg(F.sort_array(F.collect_list("x")).alias("at"))
     none = F.struct(F.lit(0).alias("l"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
     state = materialize(repeated.withColumn("run", F.transform("at", lambda x: none)).withColumn("witnesses", F.array().cast("array<struct<i:int,l:int,a:bigint,b:bigint>>")))
@@ -127,24 +130,26 @@ def _narrow(state: DataFrame, k: int) -> DataFrame:
     )
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """_d, _h and ``runs``: (first line, last line) of each maximal run that occurs earlier and has ``min_words`` words."""
-    found = longest_earlier_runs(line_ids(docs, doc_id, text))
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text", many: int = MANY) -> DataFrame:
+    """_d, _h and ``runs``: (first line, last line) of each maximal run that occurs earlier and has ``min_words`` words, or of a line that occurs ``many`` times."""
+    found = longest_earlier_runs(line_ids(docs, doc_id, text), many)
 
     def run(s: Column, i: Column) -> Column:
         first, last = F.get(F.col("at"), i), F.get(F.col("at"), i + s["l"] - 1)
-        enough = (s["l"] > 0) & (last["c"] - first["c"] + first["w"] >= min_words)
-        return F.when(enough, F.struct(first["line"].alias("first"), last["line"].alias("last")))
+        before = F.when(i > 0, F.get(F.col("at"), i - 1)["c"]).otherwise(0)
+        enough = (s["l"] > 0) & (last["c"] - before >= min_words)
+        alone = F.struct(first["line"].alias("first"), first["line"].alias("last"))
+        return F.when(enough, F.struct(first["line"].alias("first"), last["line"].alias("last"))).when((s["l"] > 0) & first["many"], alone)
 
     found = found.select("_d", "_h", F.array_compact(F.transform("run", run)).alias("runs"))
-    # A run that starts inside another and ends with it adds nothing; ends never go back from one start to the next.
+    # A run that starts inside another and ends with it adds nothing; ends of long runs never go back from one start to the next.
     further = lambda x, i: (i == 0) | (F.get(F.col("runs"), i - 1)["last"] < x["last"])
     return found.where(F.size("runs") > 0).select("_d", "_h", F.filter("runs", further).alias("runs"))
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text", many: int = MANY) -> DataFrame:
     """``docs`` with later copies of repeated runs taken out of ``text``; adds ``n_lines`` and ``n_deleted``."""
-    runs = repeated_runs(docs, min_words, doc_id, text)
+    runs = repeated_runs(docs, min_words, doc_id, text, many)
     # The row travels as one struct, so that no column of its own clashes with those made here.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text"), *_key(doc_id, text))
     there = F.col("runs").isNotNull()

@@ -39,6 +39,14 @@ def test_deletes_what_brute_force_deletes(spark, seed, least):
     assert found == brute(rows, least)
 
 
+def test_short_lines_of_many_documents_go(spark):
+    # Twice in the last document, and beside a short line of few documents.
+    rows = [(k, f"unique {k}\nshare this page\n" + ("seldom said" if k % 4 == 0 else f"other {k}")) for k in range(60)]
+    rows.append((60, "share this page\nseldom said\n\nshare this page"))
+    found = {x["doc_id"]: x["text"] for x in line_dedup(documents(spark, rows)).collect()}
+    assert found == {k: x if k == 0 else "seldom said\n" if k == 60 else x.replace("share this page\n", "") for k, x in rows}
+
+
 def test_counts_and_edges(spark):
     rows = awkward() + [(8, "first line of ten words which is said again below\nb\nfirst line of ten words which is said again below")]
     out = line_dedup(documents(spark, rows))
