@@ -1,6 +1,6 @@
 """Secret scans: three fixed patterns, and a battery of randomness tests for everything else.
 
-Candidates are maximal runs of 20 or more key characters with a letter and a digit.  A candidate's encoding
+Candidates are maximal runs of 20 or more key characters, also right after an equals sign.  A candidate's encoding
 is inferred from its characters (decimal and hex digits, base32, letters and digits, base64).  Under the
 hypothesis that it is a uniformly random string of that alphabet, three tests give p-values: chi-squared
 uniformity, the runs test about the middle of the alphabet, and lag-one serial correlation; Fisher's method
@@ -30,7 +30,7 @@ ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee]
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 LEAST_VALUE = 6
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}=*"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}=*"
 ALPHA = 0.05
 BINS = 2000
 #: (pattern of the whole string, characters in the order of their values)
@@ -116,14 +116,13 @@ def secret_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alp
     """One row per document: doc_id, ``base`` and ``random``, arrays of (start, order, kind, end, p, n)."""
     t = F.col("t")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    mixed = lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]")
     rows = materialize(
         rows.select(
             "doc_id",
             find(t, ASSIGN, "assign", 1, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= LEAST_VALUE).alias("assign"),
             find(t, ACCESS, "access", 2).alias("access"),
             find(t, HEX, "hex", 3).alias("hex"),
-            find(t, CANDIDATE, "random", 4, mixed, p_random).alias("random"),
+            find(t, CANDIDATE, "random", 4, None, p_random).alias("random"),
         )
     )
     limit = threshold(rows.select(F.explode("random").alias("c")).select("c.p", "c.n"), alpha)

@@ -49,6 +49,17 @@ def test_random_strings_are_found_and_others_not(spark):
     assert sum(k in hit for k in range(len(keys), len(keys) + len(plain))) <= 4
 
 
+def test_values_after_equals_signs_and_keys_of_letters(spark):
+    r = random.Random(5)
+    key = lambda alphabet: "".join(r.choice(alphabet) for _ in range(40))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    forms = ["AWS_SECRET_ACCESS_KEY={}", "see https://example.org/?sig={} there", "key={}"]
+    rows = [(k, forms[k % 3].format(key(letters + "0123456789"))) for k in range(30)] + [(30 + k, f"see {key(letters)} there") for k in range(10)]
+    rows += [(40 + k, f"see {'abcdefghijklmnopqrstuvwxyz' * 2} there") for k in range(10)]
+    hit = {x["doc_id"] for x in secrets.secret_scan(documents(spark, rows)).collect() if x["random"]}
+    assert sum(k < 30 for k in hit) >= 27 and sum(30 <= k < 40 for k in hit) >= 8 and not any(k >= 40 for k in hit)
+
+
 def test_edges(spark):
     rows = [r for r in awkward() if r[0] not in (4, None)] + [(10, "😀 token=abcdef, TOKEN: 'xyz12345' AKIA" + "A" * 16 + " " + "0f" * 12), (11, "password = short"), (12, "secret=12345 secret=123456")]
     found = secrets.digest(secrets.secret_scan(documents(spark, rows))).collect()
