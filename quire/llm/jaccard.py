@@ -6,21 +6,25 @@
    shingles in that order, their prefixes.
 3. Documents with equal sets are one class; classes with equal prefixes and sizes are one group.  Only groups
    are listed under the shingles of their prefix.
-4. Group pairs that share a prefix shingle are filtered by size, by position and by the number of prefix
-   shingles they share; those left are expand to their members' pairs and verified on the whole sets.
+4. Group pairs that share a prefix shingle are filtered by size and by position; those left are expanded to
+   their members' pairs and verified on the whole sets.  A prefix shingle that no other group has can't be
+   shared, so positions count the others only, which rules out nearly all pairs that aren't alike.
 5. Verified links are joined to components by the smallest class reachable.
 
-Near copies by the thousand would give pairs by the million, so shingles with more than ``LARGE`` groups are
-first worked on as stars: all members are verified against one member, and only pairs in different
-components afterwards are listed.  The classes of a group need not be alike, so a group has the smallest and
-the largest component of its classes; tokens and group pairs are passed over only where these are all one, and
-pairs of classes only where the two components are equal.  No pair with different components is left
-unverified, so components are exact.
+Near copies by the thousand would give pairs by the million, so the groups listed under a shingle meet in
+rounds.  In each round every list is dealt into slots, ``GROWTH`` times as many as in the round before, and the
+group of each slot with the fewest shingles of its own, so the likeliest original, is a hub: all groups of the
+list meet it, and it leaves the list.  Groups that the links found so far have joined already don't meet, and a
+list leaves once it is all one component.  A group has the smallest and the largest component of its classes,
+so a pair is passed over only where these are all one; pairs of classes are passed over where their two
+components are equal.  No pair with different components is left unverified, so components are exact.  The
+classes of one group share their whole prefix and meet in a list of their own.
 
 Edge cases: texts without words, and null texts, have no shingle and are linked with nothing; with fewer than
-five words the whole sequence is one shingle.  Rows that share an id are one document with the links of both.
-Rows with a null id are reported with the component of their class.  An empty table gives an empty result.
-Columns other than id and text are never read.
+five words the whole sequence is one shingle.  Rows that share an id are one document with the links of all of
+them.  Rows with a null id are verified like others and get the component of their class, null if it has no id.
+Ids may be of any type that can be ordered.  An empty table gives an empty result.  Columns other than id and
+text are never read.
 """
 
 from __future__ import annotations
@@ -33,16 +37,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm._common import materialize
+from quire.llm._common import Tables, marked
 from quire.llm._vector import Words, chunks, mix
 
 WORDS = 5
 PERCENT = 80
 BUCKETS = 1 << 20
 SLICES = 64
-LARGE = 64
-STARS = 2
-_BITS = 1 << 23
+#: Slots of a list in a round for each in the round before.
+GROWTH = 32
+#: Tasks over which the pairs of one hub are spread.
+SPREAD = 256
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,10 +68,6 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(44)).astype(np.int64)
 
 
-def prefix_length(n: np.ndarray) -> np.ndarray:
-    return n + (-n * PERCENT // 100) + 1
-
-
 def _classes(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
     """A hash of each row's set; the rows' hashes lie one after the other, n of each."""
     full, out = np.flatnonzero(n), np.zeros(len(n), np.uint64)
@@ -108,7 +109,7 @@ def levels(docs: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, level: np.ndarray) -> DataFrame:
-    """doc_id, n shingles, class (a hash of the set) and prefix (its shingles, eight bytes each); n is 0 and the rest null without shingles."""
+    """doc_id, text's hash, n shingles, class (a hash of the set) and prefix (its shingles, eight bytes each); n is 0 and the rest null without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,192 +122,258 @@ def prefixes(docs: DataFrame, level: np.ndarray) -> DataFrame:
                 ordered = hashes[order]
                 length = prefix_length(n)
                 found = [ordered[a : a + p].tobytes() if k else None for a, p, k in zip(start, length, n, strict=True)]
-                ids = batch.column("doc_id").slice(first, rows)
+                ids, keys = (batch.column(c).slice(first, rows) for c in ("doc_id", "text_key"))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(n, pa.int64()), pa.array(classes, mask=n == 0), pa.array(found, pa.binary())], names=["doc_id", "n", "class", "prefix"]
+                    [ids, keys, pa.array(n, pa.int64()), pa.array(classes, mask=n == 0), pa.array(found, pa.binary())], names=["doc_id", "text_key", "n", "class", "prefix"]
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, class long, prefix binary")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, n long, class long, prefix binary")
 
 
-def _listed(groups: DataFrame) -> DataFrame:
-    """One row per group and shingle of its prefix."""
+def _listed(groups: DataFrame, level: np.ndarray) -> DataFrame:
+    """One row per group and shingle of its prefix; ``frequent`` tells shingles whose bucket stands out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            group, n = batch.column("group").to_numpy(), batch.column("n").to_numpy()
+            group, last, n = (batch.column(c).to_numpy() for c in ("group", "last", "n"))
             packed = batch.column("prefix").to_pylist()
             size = np.array([len(p) // 8 for p in packed])
             place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.frombuffer(b"".join(packed), np.int64)), pa.array(np.repeat(group, size)), pa.array(np.repeat(n, size)), pa.array(place, pa.int32())],
-                names=["token", "group", "n", "place"],
-            )
+            token = np.frombuffer(b"".join(packed), np.uint64)
+            columns = {
+                "token": pa.array(token.view(np.int64)),
+                "node": pa.array(np.repeat(group, size)),
+                "last": pa.array(np.repeat(last, size)),
+                "n": pa.array(np.repeat(n, size)),
+                "place": pa.array(place, pa.int32()),
+                "frequent": pa.array(level[_bucket(token)] > 0),
+            }
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return groups.select("group", "n", "prefix").mapInArrow(run, "token long, group long, n long, place int")
+    return groups.select("group", "last", "n", "prefix").mapInArrow(run, "token long, node long, last long, n long, place int, frequent boolean")
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """Which of ``_BITS`` hash values the ids have; a table of fixed size."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(_BITS))
-    bit = ids.select(bit.alias("bit"))
-    words = bit.selectExpr("cast(floor(bit / 64) as int) as k", "shiftleft(1L, cast(bit % 64 as int)) as v").groupBy("k").agg(F.bit_or("v").alias("v"))
-    out = np.zeros(_BITS // 64, np.int64)
-    for r in words.collect():
-        out[r["k"]] = r["v"]
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
-
+def _least_shared(n: Column, m: Column) -> Column:
+    """Shingles that two sets of n and m must share."""
+    return F.ceil(F.lit(PERCENT) * (n + m) / F.lit(100 + PERCENT))
 
-def _sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """class and set (sorted, eight bytes each) of the classes in ``classes`` (class, doc_id), from their documents' texts."""
-    bits = _bitmap(classes)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            maybe = pa.array(bits[batch.column("bit").to_numpy()])
-            batch = batch.filter(maybe)
-            for first, rows, data, offsets in chunks(batch.column("text")):
-                doc, hashes = shingles(data, offsets)
-                cuts = np.searchsorted(doc, np.arange(rows + 1))
-                found = [hashes[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, rows), pa.array(_classes(hashes, np.diff(cuts))), pa.array([f.tobytes() for f in found], pa.binary())], names=["doc_id", "class", "set"]
-                )
+def lists(groups: DataFrame, level: np.ndarray) -> DataFrame:
+    """The prefix shingles that more groups than one have, and these groups: token, node (a group), several (whether it has more classes than one), n, before, rest, own, low, high.
+
+    ``before`` are shingles ahead of this one that others have too, ``rest`` is how many others may have of
+    this one and those behind it, ``own`` the share of the prefix that no other group has.  A shingle of an
+    ordinary bucket occurs about as often as the bucket's others at most, so the window by shingle has no
+    key that stands out; those of frequent buckets are taken for shared without being counted.
+    """
+    every = _listed(groups, level)
+    order = Window.partitionBy("token").orderBy("node")
+    rare = every.where("not frequent").withColumn("x", F.lag("node").over(order)).withColumn("y", F.lead("node").over(order)).where("x is not null or y is not null").drop("x", "y")
+    node = Window.partitionBy("node")
+    place = F.row_number().over(node.orderBy("place", "token")).cast("long")
+    shared = F.count("*").over(node.orderBy("place", "token").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    prefix = prefix_length(F.col("n"))
+    marked = rare.unionByName(every.where("frequent")).select("token", "node", "last", "n", place.alias("k"), shared.alias("shared"))
+    return marked.select(
+        "token",
+        "node",
+        (F.col("node") != F.col("last")).alias("several"),
+        "n",
+        (F.col("k") - 1).alias("before"),
+        (F.col("n") - prefix + F.col("shared") - F.col("k") + 1).alias("rest"),
+        ((prefix - F.col("shared")) / prefix).alias("own"),
+        F.col("node").alias("low"),
+        F.col("last").alias("high"),
+    )
 
-    rows = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(_BITS)).alias("bit"))
-    found = rows.mapInArrow(run, "doc_id long, class long, set binary")
-    return found.join(classes, ["doc_id", "class"], "left_semi").dropDuplicates(["class"]).select("class", "set")
 
+def prefix_length(n):
+    """``n - ceil(0.8 n) + 1``, of a numpy array or a column of longs."""
+    return n - F.ceil(PERCENT * n / F.lit(100)) + 1 if isinstance(n, Column) else n + (-n * PERCENT // 100) + 1
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "doc_id"), "class")
-    sets = materialize(_sets(docs, materialize(ids)))
-    both = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b")
 
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                shared = int((y[at] == x).sum())
-                keep.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _wanted(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Texts whose text_key is in ``classes``, and a few others."""
+    return marked(docs, classes, "text_key").where("_hit").select("text")
 
-    return materialize(both.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"))
 
+def _sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """class and set (sorted, eight bytes each) of the classes in ``classes`` (class, text_key), from their documents' texts."""
 
-def components(links: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
+        for batch in batches:
+            for _, rows, data, offsets in chunks(batch.column("text")):
+                doc, hashes = shingles(data, offsets)
+                cuts = np.searchsorted(doc, np.arange(rows + 1))
+                of = _classes(hashes, np.diff(cuts))
+                # Copies are sent once by a task.
+                new = [k for k in np.unique(of, return_index=True)[1] if cuts[k] < cuts[k + 1] and int(of[k]) not in sent]
+                sent.update(of[new].tolist())
+                yield pa.RecordBatch.from_arrays([pa.array(of[new], pa.int64()), pa.array([hashes[cuts[k] : cuts[k + 1]].tobytes() for k in new], pa.binary())], names=["class", "set"])
+
+    return _wanted(docs, classes).mapInArrow(run, "class long, set binary").join(classes, "class", "left_semi").dropDuplicates(["class"])
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            at = np.searchsorted(y, x)
+            at[at == len(y)] = 0
+            shared = int((y[at] == x).sum())
+            keep.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
+        yield batch.drop_columns(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, tables: Tables) -> DataFrame:
+    """Those of the pairs (a, b, and their components) of classes whose sets are similar enough; stored."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "text_key"), "class")
+    ids = tables.store(ids)
+    sets = tables.store(_sets(docs, ids))
+    # A hub is in many pairs: its set goes once to each of the tasks over which they are spread.
+    spread = pairs.withColumn("slot", F.pmod(F.xxhash64("a"), F.lit(SPREAD)))
+    there = spread.select("b", "slot").distinct().join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b")
+    both = spread.join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a").join(there, ["b", "slot"])
+    links = tables.store(both.select("a", "b", "of_a", "of_b", "x", "y").mapInArrow(_similar, "a long, b long, of_a long, of_b long"))
+    tables.drop(ids, sets)
+    return links
+
+
+def components(links: DataFrame, tables: Tables) -> DataFrame:
     """(class, component): the smallest class reachable, by spreading the smallest label and jumping to its own label."""
-    both = materialize(links.select("a", "b").union(links.select("b", "a")).distinct())
-    label = materialize(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("class"), F.least("a", "low").alias("component")))
-    while True:
+    both = tables.store(links.select("a", "b").union(links.select("b", "a")).distinct())
+    label = tables.store(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("class"), F.least("a", "low").alias("component"), F.lit(True).alias("moved")))
+    while not label.where("moved").isEmpty():
         near = both.join(label, both["b"] == label["class"]).groupBy("a").agg(F.min("component").alias("near"))
-        spread = materialize(label.join(near, label["class"] == near["a"]).select("class", F.col("component").alias("old"), F.least("component", "near").alias("component")))
+        spread = tables.store(label.join(near, label["class"] == near["a"]).select("class", F.col("component").alias("old"), F.least("component", "near").alias("component")))
         jump = spread.select(F.col("class").alias("component"), F.col("component").alias("further"))
-        label = materialize(spread.join(jump, "component").select("class", "old", F.least("component", "further").alias("component")))
-        if not label.where("old <> component").limit(1).count():
-            return label.select("class", "component")
-        label = label.select("class", "component")
-
-
-def _least_shared(n: Column, m: Column) -> Column:
-    """Shingles that two sets of n and m must share."""
-    return F.ceil(F.lit(PERCENT) * (n + m) / F.lit(100 + PERCENT))
-
-
-def _candidates(listed: DataFrame) -> DataFrame:
-    """Pairs of groups in different components that share prefix shingles and pass the filters; listed has token, group, n, place, low, high."""
-    # A shingle all of whose groups' classes are joined already has nothing to add.
-    mixed = listed.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("token")
-    left = listed.join(mixed, "token", "left_semi")
-    right = left.select("token", *(F.col(c).alias(f"{c}2") for c in ("group", "n", "place", "low", "high")))
+        done = label
+        label = spread.join(jump, "component").select("class", F.least("component", "further").alias("component"), (F.col("old") != F.least("component", "further")).alias("moved"))
+        label = tables.store(label)
+        tables.drop(done, spread)
+    tables.drop(both)
+    return label.select("class", "component")
+
+
+def _merged(links: DataFrame) -> DataFrame:
+    """(component, into): which of the components that links join is now part of a smaller one.
+
+    Labels spread twice, which joins all that a hub or its neighbours link.  Components that a longer chain
+    links may keep two names until later; their members meet and are verified, and nothing is lost.
+    """
+    edges = links.select(F.col("of_a").alias("x"), F.col("of_b").alias("y"))
+    edges = edges.union(edges.select("y", "x")).distinct()
+    label = edges.groupBy("x").agg(F.min("y").alias("low")).select("x", F.least("x", "low").alias("into"))
+    for _ in range(2):
+        near = edges.join(label.select(F.col("x").alias("y"), "into"), "y").groupBy("x").agg(F.min("into").alias("near"))
+        label = label.join(near, "x").select("x", F.least("into", "near").alias("into"))
+    return label.where("x <> into").select(F.col("x").alias("component"), "into")
+
+
+def _renamed(frame: DataFrame, merged: DataFrame, column: str) -> DataFrame:
+    named = merged.select(F.col("component").alias(column), "into")
+    return frame.join(named, column, "left").withColumn(column, F.coalesce("into", column)).drop("into")
+
+
+def _meet(state: DataFrame, hubs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs of classes (a, b, and their components) of the pairs of groups that pass the filters."""
+    other = hubs.select("token", *(F.col(c).alias(f"{c}2") for c in ("node", "several", "n", "before", "rest", "low", "high")))
+    col = F.col
     fits = (
-        ((F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("group") < F.col("group2"))))
+        ((col("node") != col("node2")) | (col("several") != col("several2")))
         & (F.least("low", "low2") != F.greatest("high", "high2"))
-        & (100 * F.col("n") >= PERCENT * F.col("n2"))
-        & (F.least("place", "place2") + F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) >= _least_shared(F.col("n"), F.col("n2")))
+        & (100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2"))
+        & (F.least("before", "before2") + F.least("rest", "rest2") >= _least_shared(col("n"), col("n2")))
     )
-    pairs = left.join(right, "token").where(fits).groupBy("group", "group2", "n", "n2").agg(F.count("*").alias("shared"))
-    # Shingles shared beyond the prefixes lie behind the prefix that ends first.
-    behind = lambda n: F.ceil(F.lit(PERCENT) * F.col(n) / 100) - 1
-    return pairs.where(F.col("shared") + F.greatest(behind("n"), behind("n2")) >= _least_shared(F.col("n"), F.col("n2"))).select("group", "group2")
+    one, two = F.struct("node", "several", "low"), F.struct(col("node2").alias("node"), col("several2").alias("several"), col("low2").alias("low"))
+    pairs = state.join(other, "token").where(fits).select(one.alias("x"), two.alias("y")).select(F.when(col("x") < col("y"), col("x")).otherwise(col("y")).alias("p"), F.greatest("x", "y").alias("q")).distinct()
+    for side, name, of in (("p", "a", "of_a"), ("q", "b", "of_b")):
+        inside = members.select(col("group").alias("_g"), col("class").alias("_c"), col("component").alias("_of"))
+        pairs = pairs.join(inside, (col(f"{side}.node") == col("_g")) & col(f"{side}.several"), "left")
+        pairs = pairs.withColumn(name, F.coalesce("_c", f"{side}.node")).withColumn(of, F.coalesce("_of", f"{side}.low")).drop("_g", "_c", "_of")
+    return pairs.where("of_a <> of_b").select("a", "b", "of_a", "of_b").distinct()
+
+
+def _round(state: DataFrame, members: DataFrame, number: int, tables: Tables) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """(pairs to verify, lists still to work on, hubs to forget), or none if all is done."""
+    slot = F.pmod(F.xxhash64("node", "several", F.lit(number)), F.lit(GROWTH**number))
+    # The largest set that a group can be similar to, given what it may share.
+    most = F.floor((100 + PERCENT) * (F.col("before") + F.col("rest")) / PERCENT) - F.col("n")
+    order = F.struct("own", F.xxhash64("node").alias("h"), "node", "several", "n", "before", "rest", "low", "high")
+    heads = state.groupBy("token", slot.alias("slot")).agg(F.min(order).alias("hub"), F.min("low").alias("lowest"), F.max("high").alias("highest"), F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max(most).alias("reach"))
+    heads = tables.store(heads)
+    spans = heads.groupBy("token").agg(*(f(c).alias(c) for f, c in ((F.min, "lowest"), (F.max, "highest"), (F.min, "least_n"), (F.max, "most_n"), (F.max, "reach"))))
+    spans = tables.store(spans.where("lowest <> highest"))
+    if spans.isEmpty():
+        tables.drop(heads, spans)
+        return None
+    hubs = heads.join(spans.select("token"), "token", "left_semi").select("token", "hub.*")
+    pairs = tables.store(_meet(state, hubs, members))
+    # Groups without any possible partner in their list leave it.
+    live = (most >= F.col("least_n")) & (F.col("n") <= F.col("reach")) & (PERCENT * F.col("n") <= 100 * F.col("most_n"))
+    left = state.join(spans, "token").where(live).select(*state.columns)
+    left = left.join(heads.select("token", "hub.node", "hub.several"), ["token", "node", "several"], "left_anti")
+    return pairs, left, heads
+
+
+def links(groups: DataFrame, classes: DataFrame, level: np.ndarray, docs: DataFrame, tables: Tables) -> DataFrame | None:
+    """All verified links (a, b) that components need; none if no two groups meet."""
+    several = groups.where(F.col("group") != F.col("last")).select("n", "key", "group")
+    members = tables.store(classes.join(several, ["n", "key"]).select("class", "group", "n", F.col("class").alias("component")))
+    # Members of one group share their whole prefix, as if it were one more shingle.
+    inside = members.select(
+        F.xxhash64("group", F.lit("inside")).alias("token"), F.col("class").alias("node"), F.lit(False).alias("several"), "n", F.lit(0).cast("long").alias("before"), F.col("n").alias("rest"),
+        F.lit(0.0).alias("own"), F.col("class").alias("low"), F.col("class").alias("high"),
+    )
+    state = tables.store(lists(groups, level).unionByName(inside))
+    found: list[DataFrame] = []
+    number = 0
+    while (step := _round(state, members, number, tables)) is not None:
+        pairs, left, heads = step
+        one = None if pairs.isEmpty() else _verified(pairs, docs, classes, tables)
+        if one is not None and not one.isEmpty():
+            found.append(one)
+            merged = tables.store(_merged(one))
+            moved = tables.store(_renamed(members, merged, "component"))
+            span = moved.groupBy("group").agg(F.min("component").alias("l"), F.max("component").alias("h")).select(F.col("group").alias("node"), F.lit(True).alias("several"), "l", "h")
+            left = _renamed(_renamed(left, merged, "low"), merged, "high").join(span, ["node", "several"], "left")
+            left = left.withColumn("low", F.coalesce("l", "low")).withColumn("high", F.coalesce("h", "high")).drop("l", "h").select(*state.columns)
+            done, state = state, tables.store(left)
+            tables.drop(members, merged)
+            members = moved
+        else:
+            done, state = state, tables.store(left)
+        tables.drop(done, heads, pairs)
+        number += 1
+    tables.drop(state, members)
+    out = None
+    for one in found:
+        out = one.select("a", "b") if out is None else out.union(one.select("a", "b"))
+    return out
+
+
+def _of_one_id(full: DataFrame) -> DataFrame:
+    """Links between the classes of rows that share an id."""
+    ids = full.where("doc_id is not null").groupBy("doc_id").agg(F.min("class").alias("b"), F.max("class").alias("last")).where("b <> last").select("doc_id", "b")
+    return full.join(ids, "doc_id").where(F.col("class") != F.col("b")).select(F.col("class").alias("a"), "b").distinct()
 
 
 def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    found = materialize(prefixes(rows, levels(rows)).withColumn("key", F.xxhash64("prefix")))
+    tables = Tables(docs.sparkSession)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("text_key", F.xxhash64("doc_id", "text"))
+    level = levels(rows)
+    found = tables.store(prefixes(rows, level).withColumn("key", F.xxhash64("prefix")))
     full = found.where("n > 0")
-    classes = materialize(full.groupBy("n", "key", "class").agg(F.min("doc_id").alias("doc_id")))
+    classes = tables.store(full.groupBy("n", "key", "class").agg(F.min("text_key").alias("text_key"), F.min("doc_id").alias("doc_id")))
     groups = full.groupBy("n", "key").agg(F.min("class").alias("group"), F.max("class").alias("last"), F.first("prefix").alias("prefix"))
-    groups = groups.withColumn("several", F.col("group") != F.col("last"))
-    listed = _listed(groups)
-    order = Window.partitionBy("token").orderBy("n", "group")
-    near = lambda k: F.lag("group", k).over(order)
-    listed = materialize(listed.withColumn("before", near(1)).withColumn("after", near(-1)).where("before is not null or after is not null").drop("before", "after"))
-    members = classes.groupBy("n", "key").agg(F.min("class").alias("group"), F.count("*").alias("size")).where("size > 1")
-    members = materialize(classes.join(members, ["n", "key"]).select("class", "group", "n"))
-    # Members of one group share their whole prefix, as if it were one more shingle.
-    inside = members.select(F.col("group").alias("token"), F.col("class").alias("group"), "n", F.lit(0).alias("place"))
-    links = None
-    for star in range(STARS):
-        links, more = _star(listed, inside, links, star, rows, classes)
-        if not more:
-            break
-    known = None if links is None else components(links)
-    pairs = _expand(_candidates(_spans(listed, members, known)), members, known)
-    # Of one group, all pairs whose components still differ.
-    one = _label(inside, known)
-    two = one.select("token", F.col("group").alias("b"), F.col("component").alias("component2"))
-    pairs = pairs.union(one.join(two, "token").where((F.col("group") < F.col("b")) & (F.col("component") != F.col("component2"))).select(F.col("group").alias("a"), "b"))
-    last = _verified(materialize(pairs.distinct()), rows, classes)
-    joined = components(last if links is None else last.union(links))
+    verified = links(groups, classes, level, rows, tables)
+    same = _of_one_id(full.select("doc_id", "class"))
+    joined = components(same if verified is None else verified.union(same), tables)
     named = classes.join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
     lowest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(lowest, "component").select("class", F.col("n").alias("_n"), "component_id")
     out = found.select("doc_id", "n", "class").join(named, (found["class"] == named["class"]) & (found["n"] == named["_n"]), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def _label(frame: DataFrame, known: DataFrame | None, of: str = "group", name: str = "component") -> DataFrame:
-    """Adds the component in ``known`` of the class in column ``of``."""
-    if known is None:
-        return frame.withColumn(name, F.col(of))
-    named = known.select(F.col("class").alias(of), F.col("component").alias("known"))
-    return frame.join(named, of, "left").withColumn(name, F.coalesce("known", of)).drop("known")
-
-
-def _spans(listed: DataFrame, members: DataFrame, known: DataFrame | None) -> DataFrame:
-    """Adds ``low`` and ``high``, the smallest and the largest component of a group's classes."""
-    of = _label(members.select("class", "group"), known, "class").groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    own = F.col("component")
-    return _label(listed, known).join(of, "group", "left").withColumn("low", F.coalesce("low", own)).withColumn("high", F.coalesce("high", own)).drop("component")
-
-
-def _star(listed: DataFrame, inside: DataFrame, links: DataFrame | None, star: int, rows: DataFrame, classes: DataFrame) -> tuple[DataFrame | None, bool]:
-    """Verify the members of large lists against one of them; more links, and whether there were any such lists."""
-    every = listed.select("token", "group", "n").union(inside.select("token", "group", "n"))
-    large = every.groupBy("token").agg(F.count("*").alias("size"), F.min_by(F.struct("group", "n"), F.xxhash64("group", F.lit(star))).alias("hub")).where(F.col("size") > LARGE)
-    large = materialize(large.select("token", F.col("hub.group").alias("hub"), F.col("hub.n").alias("m")))
-    if not large.limit(1).count():
-        return links, False
-    known = None if links is None else components(links)
-    some = _label(every.join(large, "token"), known)
-    hubs = _label(large.select("hub").distinct(), known, "hub", "of")
-    some = some.join(hubs, "hub").where((F.col("component") != F.col("of")) & (100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")))
-    pairs = materialize(some.select(F.col("group").alias("a"), F.col("hub").alias("b")).distinct())
-    new = _verified(pairs, rows, classes)
-    return (new if links is None else materialize(links.union(new))), True
-
-
-def _expand(pairs: DataFrame, members: DataFrame, known: DataFrame | None) -> DataFrame:
-    """Pairs of groups to pairs of their members in different components; a group without entry in ``members`` is its only one."""
-    of = members.select(F.col("group").alias("_g"), F.col("class").alias("_c"))
-    out = pairs.join(of, pairs["group"] == of["_g"], "left").select(F.coalesce("_c", "group").alias("a"), "group2")
-    out = _label(out, known, "a")
-    of = _label(of, known, "_c", "_of")
-    out = _label(out.join(of, out["group2"] == of["_g"], "left").withColumn("b", F.coalesce("_c", "group2")).drop("_c", "_g"), known, "group2", "_single")
-    return out.where(F.col("component") != F.coalesce("_of", "_single")).select("a", "b")

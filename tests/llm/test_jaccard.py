@@ -1,11 +1,9 @@
 from __future__ import annotations
 
-import os
 import random
 
 import duckdb
 import numpy as np
-import pytest
 
 from quire.llm import jaccard
 from quire.llm.jaccard import jaccard_join
@@ -73,7 +71,6 @@ def test_edited_copies(spark):
     assert result(jaccard_join(documents(spark, rows))) == brute(rows)
 
 
-@pytest.mark.skipif("QUIRE_SLOW" not in os.environ, reason="takes minutes; has not been seen to finish")
 def test_large_group_of_near_copies(spark):
     # Many more than make a star, in a chain of small edits.
     w = prose(9, 60).split()
@@ -106,6 +103,24 @@ def test_groups_of_several_classes_in_a_large_list(spark):
     assert result(jaccard_join(documents(spark, rows))) == want
 
 
+def test_rows_that_share_an_id(spark):
+    b, a = prose(5, 30), prose(6, 30)
+    found = jaccard_join(documents(spark, [(2, b), (4, a), (4, b), (7, a), (None, a), (None, "nothing like it")])).collect()
+    assert [r["component_id"] for r in sorted(found, key=lambda r: (r["doc_id"] or 99, r["n_shingles"]))] == [2, 2, 2, 2, None, 2]
+
+
+def test_links_by_rows_without_id(spark):
+    w = prose(8, 60).split()
+    rows = [(1, " ".join(w)), (None, " ".join([*w[:-3], "x", "y", "z"])), (2, " ".join(["p", "q", "r", *w[3:-3], "x", "y", "z"]))]
+    assert {r["component_id"] for r in jaccard_join(documents(spark, rows)).collect()} == {1}
+
+
+def test_ids_of_any_type(spark):
+    rows = [("b", prose(1, 30)), ("a", prose(1, 30)), ("c", None)]
+    found = jaccard_join(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {"a": "a", "b": "a", "c": "c"}
+
+
 def test_edges(spark):
     rows = awkward()
     found = jaccard_join(documents(spark, rows)).collect()
@@ -113,4 +128,5 @@ def test_edges(spark):
     by = {r["doc_id"]: r for r in found if r["doc_id"] != 4}
     assert (by[1]["n_shingles"], by[1]["component_id"]) == (0, 1) and (by[3]["n_shingles"], by[3]["component_id"]) == (0, 3)
     assert by[5]["component_id"] == 4
+    assert sorted((r["n_shingles"], r["component_id"]) for r in found if r["doc_id"] == 4) == [(1, 4), (1, 4), (2, 4)]
     assert jaccard_join(documents(spark, [])).count() == 0

@@ -47,6 +47,21 @@ def test_short_lines_of_many_documents_go(spark):
     assert found == {k: x if k == 0 else "seldom said\n" if k == 60 else x.replace("share this page\n", "") for k, x in rows}
 
 
+def test_many_equal_lines_in_one_document(spark):
+    # 20,000 equal lines overlap with themselves; alternating ones leave half of the lines.
+    line = "a line of words that is said again and again"
+    rows = [(1, "\n".join([line] * 20_000)), (2, "\n".join(f"own {k}\n{line}" for k in range(5_000)))]
+    found = {x["doc_id"]: x["text"] for x in line_dedup(documents(spark, rows)).collect()}
+    assert found == {1: line, 2: "\n".join(f"own {k}" for k in range(5_000))}
+
+
+def test_ids_of_any_type_and_repeated_rows(spark):
+    text = "first line of ten words which is said again below"
+    rows = [("b", text), ("a", text + "\n\nx"), ("a", text + "\n\nx"), (None, "x\n" + text)]
+    found = sorted((r["doc_id"] or "", r["text"]) for r in line_dedup(spark.createDataFrame(rows, "doc_id string, text string")).collect())
+    assert found == [("", "x\n" + text), ("a", "\nx"), ("a", "\nx"), ("b", "")]
+
+
 def test_counts_and_edges(spark):
     rows = awkward() + [(8, "first line of ten words which is said again below\nb\nfirst line of ten words which is said again below")]
     out = line_dedup(documents(spark, rows))
