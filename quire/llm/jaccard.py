@@ -12,10 +12,11 @@
 5. Verified links are joined to components by the smallest class reachable.
 
 Near copies by the thousand would give pairs by the million, so the groups listed under a shingle meet in
-rounds.  In each round every list is dealt into slots, ``GROWTH`` times as many as in the round before, and the
+rounds.  In a round every list is dealt into slots, ``GROWTH`` times as many as in the round before, and the
 group of each slot with the fewest shingles of its own, so the likeliest original, is a hub: all groups of the
 list meet it, and it leaves the list.  Groups that the links found so far have joined already don't meet, and a
-list leaves once it is all one component.  A group has the smallest and the largest component of its classes,
+list leaves once it is all one component.  Alike groups share most of their shingles, so the first round works on
+the lists of one shingle in ``FIRST``, and finds most lists joined when the others come in.  A group has the smallest and the largest component of its classes,
 so a pair is passed over only where these are all one; pairs of classes are passed over where their two
 components are equal.  No pair with different components is left unverified, so components are exact.  The
 classes of one group share their whole prefix and meet in a list of their own.
@@ -45,7 +46,9 @@ PERCENT = 80
 BUCKETS = 1 << 20
 SLICES = 64
 #: Slots of a list in a round for each in the round before.
-GROWTH = 32
+GROWTH = 8
+#: One list in so many is worked on in the first round.
+FIRST = 16
 #: Tasks over which the pairs of one hub are spread.
 SPREAD = 256
 
@@ -159,16 +162,18 @@ def _least_shared(n: Column, m: Column) -> Column:
 
 
 def lists(groups: DataFrame, level: np.ndarray) -> DataFrame:
-    """The prefix shingles that more groups than one have, and these groups: token, node (a group), several (whether it has more classes than one), n, before, rest, own, low, high.
+    """The prefix shingles that several groups of fitting sizes have, and these groups: token, node (a group), several (whether it has more classes than one), n, before, rest, own, low, high.
 
-    ``before`` are shingles ahead of this one that others have too, ``rest`` is how many others may have of
-    this one and those behind it, ``own`` the share of the prefix that no other group has.  A shingle of an
+    ``before`` are shingles ahead of this one that such others have too, ``rest`` is how many others may have of
+    this one and those behind it, ``own`` the share of the prefix that none of them has.  A shingle of an
     ordinary bucket occurs about as often as the bucket's others at most, so the window by shingle has no
     key that stands out; those of frequent buckets are taken for shared without being counted.
     """
     every = _listed(groups, level)
-    order = Window.partitionBy("token").orderBy("node")
-    rare = every.where("not frequent").withColumn("x", F.lag("node").over(order)).withColumn("y", F.lead("node").over(order)).where("x is not null or y is not null").drop("x", "y")
+    # In order of size, a group whose neighbours' sizes don't fit has no partner here.
+    order = Window.partitionBy("token").orderBy("n", "node")
+    rare = every.where("not frequent").withColumn("x", F.lag("n").over(order)).withColumn("y", F.lead("n").over(order))
+    rare = rare.where((100 * F.col("x") >= PERCENT * F.col("n")) | (100 * F.col("n") >= PERCENT * F.col("y"))).drop("x", "y")
     node = Window.partitionBy("node")
     place = F.row_number().over(node.orderBy("place", "token")).cast("long")
     shared = F.count("*").over(node.orderBy("place", "token").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
@@ -296,26 +301,26 @@ def _meet(state: DataFrame, hubs: DataFrame, members: DataFrame) -> DataFrame:
     return pairs.where("of_a <> of_b").select("a", "b", "of_a", "of_b").distinct()
 
 
-def _round(state: DataFrame, members: DataFrame, number: int, tables: Tables) -> tuple[DataFrame, DataFrame, DataFrame] | None:
-    """(pairs to verify, lists still to work on, hubs to forget), or none if all is done."""
+def _round(state: DataFrame, members: DataFrame, number: int, tables: Tables) -> tuple[DataFrame, DataFrame, list[DataFrame]] | None:
+    """(pairs to verify, lists still to work on, tables to forget), or none if all is done."""
     slot = F.pmod(F.xxhash64("node", "several", F.lit(number)), F.lit(GROWTH**number))
     # The largest set that a group can be similar to, given what it may share.
     most = F.floor((100 + PERCENT) * (F.col("before") + F.col("rest")) / PERCENT) - F.col("n")
     order = F.struct("own", F.xxhash64("node").alias("h"), "node", "several", "n", "before", "rest", "low", "high")
-    heads = state.groupBy("token", slot.alias("slot")).agg(F.min(order).alias("hub"), F.min("low").alias("lowest"), F.max("high").alias("highest"), F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max(most).alias("reach"))
-    heads = tables.store(heads)
-    spans = heads.groupBy("token").agg(*(f(c).alias(c) for f, c in ((F.min, "lowest"), (F.max, "highest"), (F.min, "least_n"), (F.max, "most_n"), (F.max, "reach"))))
-    spans = tables.store(spans.where("lowest <> highest"))
-    if spans.isEmpty():
-        tables.drop(heads, spans)
+    spans = {"lowest": (F.min, "low"), "highest": (F.max, "high"), "least_n": (F.min, "n"), "most_n": (F.max, "n"), "reach": (F.max, "reach"), "size": (F.sum, "size")}
+    dealt = state.select("*", slot.alias("slot"), most.alias("reach"), F.lit(1).alias("size"))
+    heads = tables.store(dealt.groupBy("token", "slot").agg(F.min(order).alias("hub"), *(f(c).alias(name) for name, (f, c) in spans.items())))
+    of = heads.groupBy("token").agg(*(f(name).alias(name) for name, (f, _) in spans.items()), F.count("*").alias("hubs")).where("lowest <> highest")
+    hubs = tables.store(heads.select("token", "slot", "hub").join(of, "token"))
+    if hubs.isEmpty():
+        tables.drop(heads, hubs)
         return None
-    hubs = heads.join(spans.select("token"), "token", "left_semi").select("token", "hub.*")
-    pairs = tables.store(_meet(state, hubs, members))
-    # Groups without any possible partner in their list leave it.
+    pairs = tables.store(_meet(state, hubs.select("token", "hub.*"), members))
+    # Hubs leave their list, and so do groups without any possible partner in it.
+    stays = ((F.col("node") != F.col("hub.node")) | (F.col("several") != F.col("hub.several"))) & (F.col("size") - F.col("hubs") > 1)
     live = (most >= F.col("least_n")) & (F.col("n") <= F.col("reach")) & (PERCENT * F.col("n") <= 100 * F.col("most_n"))
-    left = state.join(spans, "token").where(live).select(*state.columns)
-    left = left.join(heads.select("token", "hub.node", "hub.several"), ["token", "node", "several"], "left_anti")
-    return pairs, left, heads
+    own = state.withColumn("slot", slot).join(hubs.select("token", "slot", "hub", "least_n", "most_n", "reach", "size", "hubs"), ["token", "slot"])
+    return pairs, own.where(stays & live).select(*state.columns), [heads, hubs]
 
 
 def links(groups: DataFrame, classes: DataFrame, level: np.ndarray, docs: DataFrame, tables: Tables) -> DataFrame | None:
@@ -327,27 +332,37 @@ def links(groups: DataFrame, classes: DataFrame, level: np.ndarray, docs: DataFr
         F.xxhash64("group", F.lit("inside")).alias("token"), F.col("class").alias("node"), F.lit(False).alias("several"), "n", F.lit(0).cast("long").alias("before"), F.col("n").alias("rest"),
         F.lit(0.0).alias("own"), F.col("class").alias("low"), F.col("class").alias("high"),
     )
-    state = tables.store(lists(groups, level).unionByName(inside))
+    every = tables.store(lists(groups, level).unionByName(inside))
+    first = F.pmod(F.xxhash64("token"), F.lit(FIRST)) == 0
+    state, others, done = every.where(first), every.where(~first), [every]
     found: list[DataFrame] = []
     number = 0
-    while (step := _round(state, members, number, tables)) is not None:
-        pairs, left, heads = step
-        one = None if pairs.isEmpty() else _verified(pairs, docs, classes, tables)
+    while True:
+        step = _round(state, members, number, tables)
+        if step is None and others is None:
+            break
+        pairs, left, old = step or (None, state, [])
+        left = left if others is None else left.unionByName(others)
+        one = None if pairs is None or pairs.isEmpty() else _verified(pairs, docs, classes, tables)
         if one is not None and not one.isEmpty():
             found.append(one)
             merged = tables.store(_merged(one))
             moved = tables.store(_renamed(members, merged, "component"))
             span = moved.groupBy("group").agg(F.min("component").alias("l"), F.max("component").alias("h")).select(F.col("group").alias("node"), F.lit(True).alias("several"), "l", "h")
-            left = _renamed(_renamed(left, merged, "low"), merged, "high").join(span, ["node", "several"], "left")
-            left = left.withColumn("low", F.coalesce("l", "low")).withColumn("high", F.coalesce("h", "high")).drop("l", "h").select(*state.columns)
-            done, state = state, tables.store(left)
-            tables.drop(members, merged)
+            # A group of one class has the component of its class twice.
+            left = _renamed(left, merged, "low").join(span, ["node", "several"], "left")
+            left = left.withColumn("low", F.coalesce("l", "low")).withColumn("high", F.coalesce("h", "low")).drop("l", "h").select(*state.columns)
+            old += [members, merged]
             members = moved
-        else:
-            done, state = state, tables.store(left)
-        tables.drop(done, heads, pairs)
+        named = tables.store(left)
+        tables.drop(*done, *old, *([] if pairs is None else [pairs]))
+        # Lists that are all one component, or one group, have nothing to add.
+        mixed = named.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("token")
+        state = tables.store(named.join(mixed, "token", "left_semi"))
+        tables.drop(named)
+        others, done = None, [state]
         number += 1
-    tables.drop(state, members)
+    tables.drop(*done, members)
     out = None
     for one in found:
         out = one.select("a", "b") if out is None else out.union(one.select("a", "b"))
