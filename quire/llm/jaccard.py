@@ -31,7 +31,7 @@ text are never read.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -162,10 +162,10 @@ def _least_shared(n: Column, m: Column) -> Column:
 
 
 def lists(groups: DataFrame, level: np.ndarray) -> DataFrame:
-    """The prefix shingles that several groups of fitting sizes have, and these groups: token, node (a group), several (whether it has more classes than one), n, before, rest, own, low, high.
+    """The prefix shingles that several groups of fitting sizes have, and these groups: token, node (a group), several (whether it has more classes than one), n, before, rest, low, high.
 
     ``before`` are shingles ahead of this one that such others have too, ``rest`` is how many others may have of
-    this one and those behind it, ``own`` the share of the prefix that none of them has.  A shingle of an
+    this one and those behind it; together they tell how much of the group none of them has.  A shingle of an
     ordinary bucket occurs about as often as the bucket's others at most, so the window by shingle has no
     key that stands out; those of frequent buckets are taken for shared without being counted.
     """
@@ -186,7 +186,6 @@ def lists(groups: DataFrame, level: np.ndarray) -> DataFrame:
         "n",
         (F.col("k") - 1).alias("before"),
         (F.col("n") - prefix + F.col("shared") - F.col("k") + 1).alias("rest"),
-        ((prefix - F.col("shared")) / prefix).alias("own"),
         F.col("node").alias("low"),
         F.col("last").alias("high"),
     )
@@ -203,7 +202,7 @@ def _wanted(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """class and set (sorted, eight bytes each) of the classes in ``classes`` (class, text_key), from their documents' texts."""
+    """class, set (sorted, eight bytes each) and brief (two bytes each) of the classes in ``classes`` (class, text_key), from their documents' texts; some others too, and some twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
@@ -215,34 +214,51 @@ def _sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
                 # Copies are sent once by a task.
                 new = [k for k in np.unique(of, return_index=True)[1] if cuts[k] < cuts[k + 1] and int(of[k]) not in sent]
                 sent.update(of[new].tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(of[new], pa.int64()), pa.array([hashes[cuts[k] : cuts[k + 1]].tobytes() for k in new], pa.binary())], names=["class", "set"])
+                sets = [hashes[cuts[k] : cuts[k + 1]] for k in new]
+                brief = [np.sort((x >> np.uint64(20)).astype(np.uint16)).tobytes() for x in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(of[new], pa.int64()), pa.array(brief, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["class", "brief", "set"])
 
-    return _wanted(docs, classes).mapInArrow(run, "class long, set binary").join(classes, "class", "left_semi").dropDuplicates(["class"])
+    return _wanted(docs, classes).mapInArrow(run, "class long, brief binary, set binary")
 
 
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            shared = int((y[at] == x).sum())
-            keep.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
-        yield batch.drop_columns(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+def _similar(kind: type) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Keeps pairs whose sets x and y, sorted numbers of ``kind``, are similar enough; exact for whole shingles, and for parts of them none is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), kind) for v in (x, y))
+                at = np.searchsorted(y, x)
+                at[at == len(y)] = 0
+                shared = min(int((y[at] == x).sum()), len(y))
+                keep.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
+            yield batch.drop_columns(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, column: str, kind: type) -> DataFrame:
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    sets = sets.select("class", column).join(ids, "class", "left_semi").dropDuplicates(["class"])
+    # A hub is in many pairs: its set goes once to each of the tasks over which they are spread.
+    spread = pairs.withColumn("slot", F.pmod(F.xxhash64("a"), F.lit(SPREAD)))
+    there = spread.select("b", "slot").distinct().join(sets.select(F.col("class").alias("b"), F.col(column).alias("y")), "b")
+    both = spread.join(sets.select(F.col("class").alias("a"), F.col(column).alias("x")), "a").join(there, ["b", "slot"])
+    return both.select("a", "b", "of_a", "of_b", "x", "y").mapInArrow(_similar(kind), "a long, b long, of_a long, of_b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, tables: Tables) -> DataFrame:
-    """Those of the pairs (a, b, and their components) of classes whose sets are similar enough; stored."""
+    """Those of the pairs (a, b, and their components) of classes whose sets are similar enough; stored.
+
+    Two bytes of each shingle rule out most pairs that aren't, the others are compared on the whole shingles.
+    """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "text_key"), "class")
     ids = tables.store(ids)
     sets = tables.store(_sets(docs, ids))
-    # A hub is in many pairs: its set goes once to each of the tasks over which they are spread.
-    spread = pairs.withColumn("slot", F.pmod(F.xxhash64("a"), F.lit(SPREAD)))
-    there = spread.select("b", "slot").distinct().join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b")
-    both = spread.join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a").join(there, ["b", "slot"])
-    links = tables.store(both.select("a", "b", "of_a", "of_b", "x", "y").mapInArrow(_similar, "a long, b long, of_a long, of_b long"))
-    tables.drop(ids, sets)
+    likely = tables.store(_compared(pairs, sets, "brief", np.uint16))
+    links = tables.store(_compared(likely, sets, "set", np.uint64))
+    tables.drop(ids, sets, likely)
     return links
 
 
@@ -301,26 +317,16 @@ def _meet(state: DataFrame, hubs: DataFrame, members: DataFrame) -> DataFrame:
     return pairs.where("of_a <> of_b").select("a", "b", "of_a", "of_b").distinct()
 
 
-def _round(state: DataFrame, members: DataFrame, number: int, tables: Tables) -> tuple[DataFrame, DataFrame, list[DataFrame]] | None:
-    """(pairs to verify, lists still to work on, tables to forget), or none if all is done."""
+def _round(state: DataFrame, members: DataFrame, number: int, tables: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs to verify, lists still to work on, hubs to forget)."""
     slot = F.pmod(F.xxhash64("node", "several", F.lit(number)), F.lit(GROWTH**number))
-    # The largest set that a group can be similar to, given what it may share.
-    most = F.floor((100 + PERCENT) * (F.col("before") + F.col("rest")) / PERCENT) - F.col("n")
-    order = F.struct("own", F.xxhash64("node").alias("h"), "node", "several", "n", "before", "rest", "low", "high")
-    spans = {"lowest": (F.min, "low"), "highest": (F.max, "high"), "least_n": (F.min, "n"), "most_n": (F.max, "n"), "reach": (F.max, "reach"), "size": (F.sum, "size")}
-    dealt = state.select("*", slot.alias("slot"), most.alias("reach"), F.lit(1).alias("size"))
-    heads = tables.store(dealt.groupBy("token", "slot").agg(F.min(order).alias("hub"), *(f(c).alias(name) for name, (f, c) in spans.items())))
-    of = heads.groupBy("token").agg(*(f(name).alias(name) for name, (f, _) in spans.items()), F.count("*").alias("hubs")).where("lowest <> highest")
-    hubs = tables.store(heads.select("token", "slot", "hub").join(of, "token"))
-    if hubs.isEmpty():
-        tables.drop(heads, hubs)
-        return None
+    own = (F.col("n") - F.col("before") - F.col("rest")) / prefix_length(F.col("n"))
+    hub = F.min(F.struct(own.cast("float").alias("own"), "node", "several", "n", "before", "rest", "low", "high")).alias("hub")
+    hubs = tables.store(state.groupBy("token", slot.alias("slot")).agg(hub))
     pairs = tables.store(_meet(state, hubs.select("token", "hub.*"), members))
-    # Hubs leave their list, and so do groups without any possible partner in it.
-    stays = ((F.col("node") != F.col("hub.node")) | (F.col("several") != F.col("hub.several"))) & (F.col("size") - F.col("hubs") > 1)
-    live = (most >= F.col("least_n")) & (F.col("n") <= F.col("reach")) & (PERCENT * F.col("n") <= 100 * F.col("most_n"))
-    own = state.withColumn("slot", slot).join(hubs.select("token", "slot", "hub", "least_n", "most_n", "reach", "size", "hubs"), ["token", "slot"])
-    return pairs, own.where(stays & live).select(*state.columns), [heads, hubs]
+    stays = (F.col("node") != F.col("hub.node")) | (F.col("several") != F.col("hub.several"))
+    left = state.withColumn("slot", slot).join(hubs, ["token", "slot"]).where(stays).select(*state.columns)
+    return pairs, left, hubs
 
 
 def links(groups: DataFrame, classes: DataFrame, level: np.ndarray, docs: DataFrame, tables: Tables) -> DataFrame | None:
@@ -330,20 +336,17 @@ def links(groups: DataFrame, classes: DataFrame, level: np.ndarray, docs: DataFr
     # Members of one group share their whole prefix, as if it were one more shingle.
     inside = members.select(
         F.xxhash64("group", F.lit("inside")).alias("token"), F.col("class").alias("node"), F.lit(False).alias("several"), "n", F.lit(0).cast("long").alias("before"), F.col("n").alias("rest"),
-        F.lit(0.0).alias("own"), F.col("class").alias("low"), F.col("class").alias("high"),
+        F.col("class").alias("low"), F.col("class").alias("high"),
     )
     every = tables.store(lists(groups, level).unionByName(inside))
     first = F.pmod(F.xxhash64("token"), F.lit(FIRST)) == 0
     state, others, done = every.where(first), every.where(~first), [every]
     found: list[DataFrame] = []
     number = 0
-    while True:
-        step = _round(state, members, number, tables)
-        if step is None and others is None:
-            break
-        pairs, left, old = step or (None, state, [])
-        left = left if others is None else left.unionByName(others)
-        one = None if pairs is None or pairs.isEmpty() else _verified(pairs, docs, classes, tables)
+    while others is not None or not state.isEmpty():
+        pairs, left, hubs = _round(state, members, number, tables)
+        left, old = left if others is None else left.unionByName(others), [pairs, hubs]
+        one = None if pairs.isEmpty() else _verified(pairs, docs, classes, tables)
         if one is not None and not one.isEmpty():
             found.append(one)
             merged = tables.store(_merged(one))
@@ -355,7 +358,7 @@ def links(groups: DataFrame, classes: DataFrame, level: np.ndarray, docs: DataFr
             old += [members, merged]
             members = moved
         named = tables.store(left)
-        tables.drop(*done, *old, *([] if pairs is None else [pairs]))
+        tables.drop(*done, *old)
         # Lists that are all one component, or one group, have nothing to add.
         mixed = named.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("token")
         state = tables.store(named.join(mixed, "token", "left_semi"))
