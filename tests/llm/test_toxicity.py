@@ -36,10 +36,9 @@ def test_held_out_documents(judged):
     assert sum(blamed) / len(blamed) < 0.03
 
 
-@pytest.mark.xfail(reason="catches 102 of 120; open")
 def test_most_held_out_toxic_documents_are_caught(judged):
     caught = [s >= 0.3 for s, y in judged[1] if y]
-    assert sum(caught) / len(caught) > 0.85
+    assert sum(caught) / len(caught) >= 0.9
 
 
 def test_held_out_labels_change_nothing(spark):
