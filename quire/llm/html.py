@@ -1,22 +1,30 @@
 """HTML extraction by tag-path ratios.
 
-A page is a sequence of text nodes, each with the path of open tags (and their classes) above it.  For every
-path: the text's length and punctuation per node, within the page.  Both ratios are smoothed along the
-page, fused by their product and compared with the page's mean; paths above it are content.  Every block of
-the container that holds most of the content (the article) then belongs to the text, so that short blocks
-between long ones stay, unless a tag or class names it as something else (menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, comments).
+A page is a sequence of text nodes (blocks), each with its path: the open tags above it and their classes.
+
+1. Aggregate: nodes, text length and punctuation by path, and by subtree of paths.
+2. Smooth: a path's length and punctuation by node are averaged with those of the subtrees above it, each
+   counting half as much as the one below.  A heading gets its share of the paragraphs beside it, a line
+   outside the article doesn't.
+3. Fuse: smoothed length times one plus the logarithm of smoothed punctuation, weighed by what the page says of itself: more
+   inside ``article`` and ``main``, less where a class, id or role has a word of ``NAMES``.
+4. Threshold: paths with at least ``SHARE`` of the mean over all nodes are content, and the text is that of
+   all their nodes.
+
+Tags alone exclude: menus, headers, footers, sidebars, forms, scripts, styles and what is hidden.
 
 Edge cases: null or empty html gives an empty text.  Markup that breaks off, unclosed and wrongly nested
 tags are read as browsers do, roughly: a closing tag closes everything inside its element, and without one
-open the closing tag is ignored.  Without any content path the text is empty.  Repeated rows are separate
-rows; an empty table gives an empty result; other columns are never read.
+open the closing tag is ignored; an attribute without closing quote runs to the end.  The work is in
+proportion to the page, whatever its depth or the length of its attributes.  Repeated rows are separate rows;
+an empty table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,15 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)(?:>|\Z)", re.S)
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title svg math iframe object xmp noembed noframes".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _OTHER = frozenset("head nav header footer aside form button select option menu dialog fieldset input datalist".split())
-_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
-#: Words of classes, ids and roles that name what is not the main text.
-_NAMES = re.compile(
+#: Words of classes, ids and roles that say that a part is not the main text; they weigh against it.
+NAMES = re.compile(
     r"(?:^|[^a-z])(?:ad|ads|adbox|advert\w*|sponsor\w*|promo\w*|banner\w*|nav\w*|menu\w*|breadcrumb\w*|header|masthead|footer|sidebar\w*|aside|rail|widget\w*|related|recommend\w*|share|sharing|social|"
     r"comment\w*|disqus\w*|respond|replies|cookie\w*|consent|notice\w*|notification\w*|alert|popup|modal|overlay|newsletter\w*|subscribe\w*|signup|login|paywall|form|search\w*|pagination|pager|skip|toolbar|copyright|legal|contentinfo|complementary)(?:$|[^a-z])"
 )
@@ -41,132 +48,147 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、«»\"“”()-]")
 _SPACE = re.compile(r"\s+")
 #: A new one of these closes an open one, as their closing tags may be left out.
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-WIDTH = 2
-
-
-class _Block:
-    __slots__ = ("path", "container", "other", "parts", "heading")
-
-    def __init__(self, stack: list[tuple[str, str, bool, int]]):
-        self.path = "/".join(x[1] for x in stack if x[0] not in _INLINE)
-        self.container = next((x[3] for x in reversed(stack) if x[3] >= 0), -1)
-        self.other = any(x[2] for x in stack)
-        self.heading = any(x[0] in _HEADINGS for x in stack)
-        self.parts: list[str] = []
-
-
-def _other(tag: str, attributes: str, inside: bool) -> tuple[str, bool]:
-    """A path's step for a tag, and whether it names something other than the main text."""
-    step, other = tag, tag in _RAW or (tag in _OTHER and not (tag == "header" and inside))
+SHARE = 0.3
+#: Weights of a path inside a container, and of one with a word of ``NAMES``.
+INSIDE, NAMED = 2.0, 0.1
+
+
+class Page:
+    """Blocks of a page, with their paths as numbers; a path's parent has a smaller one."""
+
+    def __init__(self, page: str):
+        #: By path: parent, whether its text counts, weight.
+        self.parent, self.counts, self.weight = [-1], [True], [1.0]
+        self.path: list[int] = []
+        self._parts: list[list[str]] = []
+        self._numbers: dict[tuple[int, str, bool, float], int] = {}
+        self._read(page)
+        texts = [_SPACE.sub(" ", html.unescape("".join(x))).strip() for x in self._parts]
+        kept = [k for k, t in enumerate(texts) if t]
+        self.path, self.texts = [self.path[k] for k in kept], [texts[k] for k in kept]
+
+    def _number(self, parent: int, step: str, counts: bool, weight: float) -> int:
+        found = self._numbers.setdefault((parent, step, counts, weight), len(self.parent))
+        if found == len(self.parent):
+            self.parent.append(parent)
+            self.counts.append(counts)
+            self.weight.append(weight)
+        return found
+
+    def _read(self, page: str) -> None:
+        # (tag, path, whether inside a container, whether markup inside a block hides it)
+        stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+        opened: Counter[str] = Counter()
+        fresh, at = True, 0
+
+        def close(down_to: int) -> None:
+            opened.subtract(x[0] for x in stack[down_to:])
+            del stack[down_to:]
+
+        while True:
+            m = _MARKUP.search(page, at)
+            piece = page[at : m.start() if m else len(page)]
+            if piece and not stack[-1][3]:
+                if fresh:
+                    self.path.append(stack[-1][1])
+                    self._parts.append([])
+                    fresh = False
+                self._parts[-1].append(piece)
+            if m is None:
+                return
+            at = m.end()
+            if m[2] is None:
+                continue
+            tag = m[2].lower()
+            if tag not in _INLINE:
+                fresh = True
+            if m[1]:
+                if opened[tag] > 0:
+                    for k in range(len(stack) - 1, 0, -1):
+                        if stack[k][0] == tag:
+                            close(k)
+                            break
+                        if stack[k][0] not in _INLINE and tag in _INLINE:
+                            break
+                continue
+            if tag in _VOID or m[3].endswith("/"):
+                continue
+            if tag in _RAW:
+                end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                at = end.end() if end else len(page)
+                continue
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k][0] in _CLOSES.get(tag, ()):
+                    close(k)
+                    break
+                if stack[k][0] not in _INLINE:
+                    break
+            _, path, inside, hidden = stack[-1]
+            classes, named, other = _attributes(tag, m[3])
+            other |= tag in _OTHER and not (tag == "header" and inside)
+            if tag in _INLINE:
+                hidden |= other
+            else:
+                weight = self.weight[path] * (INSIDE if tag in _CONTAINERS and not inside else 1.0)
+                path = self._number(path, f"{tag}.{classes}", self.counts[path] and not other, weight * NAMED if named and weight >= 1.0 else weight)
+            stack.append((tag, path, inside or tag in _CONTAINERS, hidden))
+            opened[tag] += 1
+
+
+def _attributes(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """A tag's classes, whether a word of NAMES names it, and whether it is hidden."""
+    classes, named, hidden = "", False, False
     if attributes.strip():
         for name, *values in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), html.unescape("".join(values)).lower()
             if name == "class":
-                step += "." + value
+                classes = value
             if name in ("class", "id", "role"):
-                other |= tag not in ("html", "body") and bool(_NAMES.search(value))
+                named |= tag not in ("html", "body") and bool(NAMES.search(value))
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-                other = True
-    return step, other
-
-
-def blocks(page: str) -> list[_Block]:
-    """The blocks of a page that have text, in order; parts of one block are not parted by block tags."""
-    out: list[_Block] = []
-    stack: list[tuple[str, str, bool, int]] = []
-    block: _Block | None = None
-    at, n = 0, 0
-
-    def text(piece: str) -> None:
-        nonlocal block
-        if piece:
-            if block is None:
-                block = _Block(stack)
-                out.append(block)
-            # Markup inside a block keeps what it says; what it hides is left out of it.
-            if block.other or not any(x[2] for x in stack):
-                block.parts.append(piece)
-
-    while True:
-        m = _MARKUP.search(page, at)
-        text(page[at : m.start() if m else len(page)])
-        if m is None:
-            break
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag, closing = m[2].lower(), bool(m[1])
-        if tag not in _INLINE:
-            block = None
-        if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if stack[k][0] not in _INLINE and tag in _INLINE:
-                    break
-            continue
-        if tag in _VOID or m[3].endswith("/"):
-            continue
-        if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in _CLOSES.get(tag, ()):
-                del stack[k:]
-                break
-            if stack[k][0] not in _INLINE:
-                break
-        step, other = _other(tag, m[3], any(x[3] >= 0 for x in stack))
-        n += 1
-        stack.append((tag, step, other, n if tag in _CONTAINERS else -1))
-    return [b for b in out if any(not p.isspace() for p in b.parts)]
-
-
-def _smooth(x: np.ndarray) -> np.ndarray:
-    """Running mean over WIDTH nodes on either side."""
-    sums = np.concatenate([[0.0], np.cumsum(x)])
-    at = np.arange(len(x))
-    low, high = np.maximum(at - WIDTH, 0), np.minimum(at + WIDTH + 1, len(x))
-    return (sums[high] - sums[low]) / (high - low)
-
-
-def extract(page: str | None) -> str:
+                hidden = True
+    return classes, named, hidden
+
+
+def _smoothed(total: np.ndarray, nodes: np.ndarray, parent: list[int]) -> np.ndarray:
+    """By path the value by node, averaged with those of the subtrees above, each at half the weight of the one below."""
+    sums, count = total.copy(), nodes.astype(float)
+    for k in range(len(parent) - 1, 0, -1):
+        sums[parent[k]] += sums[k]
+        count[parent[k]] += count[k]
+    subtree = sums / np.maximum(count, 1)
+    above, weights, out = np.zeros(len(parent)), np.zeros(len(parent)), total / np.maximum(nodes, 1)
+    for k in range(len(parent)):
+        if k:
+            up = parent[k]
+            out[k] = (out[k] + 0.5 * above[up]) / (1 + 0.5 * weights[up])
+            above[k], weights[k] = subtree[k] + 0.5 * above[up], 1 + 0.5 * weights[up]
+        else:
+            above[0], weights[0] = subtree[0], 1.0
+    return out
+
+
+def fused(page: Page) -> tuple[np.ndarray, np.ndarray]:
+    """By path the fused ratio, and its nodes with text that counts."""
+    path, counts = np.array(page.path, np.int64), np.array(page.counts)
+    here = counts[path]
+    n = len(page.parent)
+    nodes = np.bincount(path[here], minlength=n)
+    length = np.bincount(path[here], np.array([len(t) for t in page.texts], float)[here], n)
+    points = np.bincount(path[here], np.array([len(_PUNCTUATION.findall(t)) for t in page.texts], float)[here], n)
+    return _smoothed(length, nodes, page.parent) * (1 + np.log1p(_smoothed(points, nodes, page.parent))) * np.array(page.weight), nodes
+
+
+def extract(page: str | None, share: float = SHARE) -> str:
     """The main text of a page."""
-    found = blocks(page or "")
-    texts = [_SPACE.sub(" ", html.unescape("".join(b.parts))).strip() for b in found]
-    kept = [k for k, t in enumerate(texts) if t]
-    found, texts = [found[k] for k in kept], [texts[k] for k in kept]
-    if not found:
+    read = Page(page or "")
+    if not read.path:
         return ""
-    paths, of = np.unique([b.path for b in found], return_inverse=True)
-    nodes = np.bincount(of, minlength=len(paths))
-    length = np.array([len(t) for t in texts], float)
-    points = np.array([len(_PUNCTUATION.findall(t)) for t in texts], float)
-    ratio = (np.bincount(of, length) / nodes)[of]
-    marks = (np.bincount(of, points) / nodes)[of]
-    fused = _smooth(ratio) * (1 + _smooth(marks))
-    own = np.array([not b.other for b in found])
-    if not own.any():
+    ratio, nodes = fused(read)
+    if not nodes.sum():
         return ""
-    content = own & (fused >= fused.mean() * 0.5) & (ratio > 0)
-    if not content.any():
-        content = own & (fused == fused[own].max())
-    containers = np.array([b.container for b in found])
-    weight = {c: length[own & (containers == c)].sum() for c in set(containers[own].tolist())}
-    inside = [c for c in weight if c >= 0]
-    if inside:
-        # A page's article: the container with most of the content, with all that it holds.
-        best = max(inside, key=lambda c: (length[content & (containers == c)].sum(), weight[c]))
-        chosen = own & (containers == best)
-    else:
-        # Content paths, with short blocks between two of theirs.
-        at = np.flatnonzero(content)
-        chosen = own & (np.arange(len(found)) >= at[0]) & (np.arange(len(found)) <= at[-1])
-        if at[0] and found[at[0] - 1].heading and own[at[0] - 1]:
-            chosen[at[0] - 1] = True
-    return " ".join(t for t, c in zip(texts, chosen, strict=True) if c)
+    content = (nodes > 0) & (ratio >= share * (ratio * nodes).sum() / nodes.sum())
+    return " ".join(t for t, p in zip(read.texts, read.path, strict=True) if content[p])
 
 
 def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

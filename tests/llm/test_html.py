@@ -1,9 +1,15 @@
 from __future__ import annotations
 
-from quire.llm.html import extract, extract_text
+import math
+import random
+import time
+
+from quire.llm._common import read
+from quire.llm.html import SHARE, Page, extract, extract_text
 from quire.llm.queries import QUERIES
 from tests.llm.helpers import TESTDATA
 
+PUNCTUATION = set(".,;:!?…。，；：！？、«»\"“”()-")
 LONG = "This is a long sentence of the article, with commas, and it goes on for a while. " * 3
 
 
@@ -28,3 +34,58 @@ def test_query(spark):
     found = QUERIES["op4_html_extraction"](spark, f"{TESTDATA}/sf0.01").collect()
     assert len(found) == 250 and all(r["n_chars"] == len(r["text"]) for r in found)
     assert sum(bool(r["text"]) for r in found) > 225
+
+
+def brute(page, share=SHARE):
+    """The selection from the definition: every path against the subtrees above it, one by one."""
+    read = Page(page)
+    up = lambda p: [] if p < 0 else [p, *up(read.parent[p])]
+    nodes = [(p, len(t), sum(c in PUNCTUATION for c in t)) for p, t in zip(read.path, read.texts, strict=True) if read.counts[p]]
+
+    def smooth(p, k):
+        own = [x[k] for x in nodes if x[0] == p]
+        values = [sum(own) / len(own)]
+        for q in up(read.parent[p]):
+            inside = [x[k] for x in nodes if q in up(x[0])]
+            values.append(sum(inside) / len(inside))
+        weights = [0.5**i for i in range(len(values))]
+        return sum(map(float.__mul__, weights, values)) / sum(weights)
+
+    fused = {p: smooth(p, 1) * (1 + math.log1p(smooth(p, 2))) * read.weight[p] for p, _, _ in nodes}
+    mean = sum(fused[p] for p, _, _ in nodes) / max(len(nodes), 1)
+    return " ".join(t for t, p in zip(read.texts, read.path, strict=True) if p in fused and fused[p] >= share * mean)
+
+
+def test_selection_against_brute_force(spark):
+    pages = [r["html"] for r in read(spark, f"{TESTDATA}/sf0.001", "pages").select("html").collect()]
+    r = random.Random(3)
+    for _ in range(60):
+        tags = [r.choice(["div", "div class=ad", "section", "p", "article", "nav", "ul", "li", "b", "h2"]) for _ in range(12)]
+        pages.append("".join(f"<{t}>{LONG[: r.randrange(1, 90)]}" + (f"</{t.split()[0]}>" if r.random() < 0.6 else "") for t in tags))
+    assert [extract(x) for x in pages] == [brute(x) for x in pages]
+
+
+def test_articles_of_the_query_are_whole(spark):
+    # The pages' articles are marked, so the paths chosen can be held against all text inside the mark.
+    for r in read(spark, f"{TESTDATA}/sf0.01", "pages").collect():
+        inside = r["html"][r["html"].index("<article>") + 9 : r["html"].index("</article>")]
+        assert extract(r["html"]) == " ".join(Page(inside).texts), r["page_id"]
+
+
+def test_the_threshold_decides():
+    page = "<div><a>Home</a></div><div><ul><li>One</li><li>Two</li></ul></div>" + f"<section><h2>Title here</h2><p>{LONG}</p><p>{LONG}</p></section>"
+    assert extract(page) == f"Title here {LONG.strip()} {LONG.strip()}"
+    assert extract(page, 0.0).startswith("Home One Two Title here")
+
+
+def test_names_weigh_and_tags_exclude():
+    assert extract(f'<article><h1>Head</h1><div class="legal"><p>{LONG}</p></div><p>End.</p></article>') == f"Head {LONG.strip()} End."
+    assert extract('<div class="content search-result"><p>story</p></div>') == "story"
+    assert extract('<p>some text</p><a x="') == "some text" and extract("<nav>no</nav><form>no</form>") == ""
+
+
+def test_large_and_deep_pages_take_little_time():
+    for page in ("<div>" * 100_000 + "text", '<div class="' + "c" * 100_000 + '">' + "<p>one, two.</p>" * 10_000 + "</div>", "<div>" * 6_000 + "</section>" * 6_000 + "text"):
+        began = time.process_time()
+        assert extract(page)
+        assert time.process_time() - began < 5
