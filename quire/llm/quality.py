@@ -3,8 +3,10 @@
 Every rule looks at a few counts of a document and votes good (1), votes bad (0) or abstains (null).
 Nobody tells the operator which votes are right.  It assumes that rules err independently given the
 true class and estimates, by expectation-maximisation, the share of good documents and each rule's
-accuracy on either class.  A document is kept if its posterior probability of being good is at least
-``threshold``.  Votes of a handful of rules have at most ``3 ** len(RULES)`` patterns, so EM runs on a
+accuracy on either class, from the documents that pass the base rules, since the others are decided.  A
+document is kept if its posterior probability of being good is at least ``threshold``.  A rule whose bad votes
+don't go with those of others, such as a few repeated lines, turns out to say little, and a document that only
+such rules blame is kept.  Votes of a handful of rules have at most ``3 ** len(RULES)`` patterns, so EM runs on a
 table of pattern counts whose size does not depend on the corpus; the counts cover every document.
 
 Edge cases: a null or blank text has no words, fails the base rules and is not kept.  Repeated rows and
@@ -27,10 +29,8 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 ITERATIONS = 25
 THRESHOLD = 0.5
-#: Where EM starts: rules seldom blame a good document, and each catches only its own kind of bad ones.
-SHARE, SPARED, CAUGHT = 0.8, 0.998, 0.15
-#: A rule that blames more good documents than this has its other bad votes put down to bad documents.
-LEAST_SPARED = 0.995
+#: Where EM starts: most documents are good, rules seldom blame those and see some of the others.
+SHARE, SPARED, CAUGHT = 0.8, 0.95, 0.4
 
 
 def _ratio(a: str, b: str) -> Column:
@@ -41,15 +41,16 @@ def _vote(good: Column, bad: Column) -> Column:
     return F.when(bad, 0).when(good, 1)
 
 
-#: Each rule's vote from the counts of ``counts()``.
+#: Each rule's vote from the counts of ``counts()``: good within usual values, bad beyond wider ones.
 RULES: dict[str, Callable[[], Column]] = {
-    "length": lambda: _vote(F.col("n_words") >= 50, F.col("n_words") < MIN_WORDS),
-    "word_length": lambda: _vote(_ratio("word_chars", "n_words").between(3.0, 8.0), (_ratio("word_chars", "n_words") < 2.0) | (_ratio("word_chars", "n_words") > 12.0)),
-    "symbols": lambda: _vote(_ratio("n_symbols", "n_words") < 0.02, _ratio("n_symbols", "n_words") > 0.1),
-    "dup_lines": lambda: _vote((F.col("n_lines") > 1) & (_ratio("n_dup_lines", "n_lines") < 0.1), _ratio("n_dup_lines", "n_lines") > 0.5),
-    "repeats": lambda: _vote((F.col("n_words") >= 2 * WINDOW) & (_ratio("n_repeat_words", "n_words") < 0.05), _ratio("n_repeat_words", "n_words") > 0.3),
-    "capitals": lambda: _vote(_ratio("n_upper", "word_chars") < 0.1, _ratio("n_upper", "word_chars") > 0.3),
-    "line_ends": lambda: _vote(_ratio("n_ended_lines", "n_lines") > 0.6, (F.col("n_lines") > 0) & (_ratio("n_ended_lines", "n_lines") < 0.2)),
+    "length": lambda: _vote(F.col("n_words") >= 100, F.col("n_words") < 50),
+    "word_length": lambda: _vote(_ratio("word_chars", "n_words").between(4.5, 6.0), ~_ratio("word_chars", "n_words").between(4.3, 6.5)),
+    "symbols": lambda: _vote(F.col("n_symbols") == 0, _ratio("n_symbols", "n_words") > 0.02),
+    "dup_lines": lambda: _vote((F.col("n_lines") > 1) & (F.col("n_dup_lines") == 0), _ratio("n_dup_lines", "n_lines") > 0.1),
+    "repeats": lambda: _vote((F.col("n_words") >= 2 * WINDOW) & (F.col("n_repeat_words") == 0), _ratio("n_repeat_words", "n_words") > 0.05),
+    "capitals": lambda: _vote((_ratio("n_upper", "word_chars") > 0.005) & (_ratio("n_upper", "word_chars") < 0.04), ~_ratio("n_upper", "word_chars").between(0.002, 0.06)),
+    "line_ends": lambda: _vote(_ratio("n_ended_lines", "n_lines") >= 0.98, (F.col("n_lines") > 0) & (_ratio("n_ended_lines", "n_lines") < 0.9)),
+    "few_line_ends": lambda: _vote(_ratio("n_ended_lines", "n_lines") > 0.6, (F.col("n_lines") > 0) & (_ratio("n_ended_lines", "n_lines") < 0.2)),
 }
 
 
@@ -114,7 +115,6 @@ def fit(votes: DataFrame, rules: list[str], iterations: int = ITERATIONS) -> dic
                         right[name][k][0] += weight * (vote == meant)
                         right[name][k][1] += weight
         model = {name: [a / b for a, b in found] for name, found in right.items()}
-        model["good"] = [max(x, LEAST_SPARED) for x in model["good"]]
         model["share"] = min(max(share, 1e-6), 1 - 1e-6)
     return model
 
@@ -142,8 +142,8 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     """One row per document: counts, ``base_failed``, every rule's vote, ``p_good`` and ``kept``."""
     names = [f"vote_{x}" for x in RULES]
     voted = materialize(counts(docs, doc_id, text).select("*", *(rule().alias(f"vote_{name}") for name, rule in RULES.items())))
-    model = fit(voted, names, iterations)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    model = fit(voted.where(~failed), names, iterations)
     return (
         voted.withColumn("base_failed", failed)
         .withColumn("p_good", posterior(model, names))
