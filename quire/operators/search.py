@@ -1,12 +1,14 @@
 """Full-text search with BM25 over page text.
 
-``index`` makes postings once; a search touches only the postings of its terms, so it reads and shuffles in
-proportion to their document frequencies.  N and the average length are those of the whole index.
+A search reads the text of all pages, for the matches and for the statistics of the whole index; what it
+shuffles is in proportion to the document frequencies of its terms.  ``postings`` makes the table of all
+terms for those who keep one.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +27,16 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(folded, r"[^\p{L}\p{N}]+"), "")
 
 
+def terms_of(query: str) -> list[tuple[str, bool]]:
+    """(term, whether it is a prefix) of a query, folded as the pages' tokens are."""
+    found = []
+    for part in query.split():
+        folded = part.replace("ſ", "s").lower().translate(str.maketrans(MARKED, PLAIN))
+        words = re.findall(r"[^\W_]+", folded)
+        found += [(w, part.endswith("*") and k == len(words) - 1) for k, w in enumerate(words)]
+    return list(dict.fromkeys(found))
+
+
 def postings(pages: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """key, length, token, tf."""
     found = pages.select(*key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
@@ -33,15 +45,15 @@ def postings(pages: DataFrame, key: list[str], text: str = "text") -> DataFrame:
 
 
 def search(pages: DataFrame, query: str, key: list[str], project: str | None = None, text: str = "text") -> DataFrame:
-    """Pages with all terms of ``query`` (a last ``*`` makes a prefix): rank (smaller is better) and score 1 / (1 + |rank|)."""
-    terms = [t for t in query.lower().split() if t]
+    """Pages with all terms of ``query``, folded as pages are (a last ``*`` makes a prefix): rank (smaller is better) and score 1 / (1 + |rank|)."""
+    terms = terms_of(query)
     if not terms:
         raise ValueError("the query is empty")
     stats = pages.select(F.size(tokens(F.coalesce(F.col(text), F.lit("")))).alias("n")).agg(F.count("*").alias("n"), F.avg("n").alias("mean")).first()
     hit = F.lit(False)
     term = F.lit(None).cast("int")
-    for k, t in enumerate(terms):
-        fits = F.col("token").startswith(t[:-1]) if t.endswith("*") else F.col("token") == t
+    for k, (t, prefix) in enumerate(terms):
+        fits = F.col("token").startswith(t) if prefix else F.col("token") == t
         hit, term = hit | fits, F.when(fits, k).otherwise(term)
     # The filter on tokens comes before any shuffle.
     found = pages.select(*key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t")).select(*key, F.size("_t").alias("length"), F.explode("_t").alias("token")).where(hit)

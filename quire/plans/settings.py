@@ -9,14 +9,14 @@ from quire.operators import settings as S
 from quire.registry import query
 from quire.tables import table
 
-_ROWS = "SELECT event_id % 40 AS page_no, CASE event_id % 5 WHEN 0 THEN 'page' WHEN 1 THEN 'project' WHEN 2 THEN 'all' ELSE 'registry' END AS tier, 'k' || CAST(user_id % 6 AS VARCHAR) AS key, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_type END AS value, event_id FROM events WHERE event_id % 7 = 0"
+_ROWS = "SELECT event_id % 40 AS page_no, CASE event_id % 5 WHEN 0 THEN 'page' WHEN 1 THEN 'project' WHEN 2 THEN 'all' ELSE 'registry' END AS tier, 'k' || CAST(user_id % 6 AS VARCHAR) AS key, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_type END AS value, event_id FROM events"
 _ONE = f"SELECT page_no, tier, key, arg_max(struct_pack(v := value), event_id).v AS value FROM ({_ROWS}) GROUP BY page_no, tier, key"
 
 
 def _settings(spark: SparkSession, d: str) -> DataFrame:
     e, u = F.col("event_id"), F.col("user_id")
     tier = F.when(e % 5 == 0, "page").when(e % 5 == 1, "project").when(e % 5 == 2, "all").otherwise("registry")
-    rows = table(spark, d, "events").where(e % 7 == 0).select((e % 40).alias("page_no"), tier.alias("tier"), F.concat(F.lit("k"), (u % 6).cast("string")).alias("key"), F.when(e % 4 == 0, None).otherwise(F.col("event_type")).alias("value"), e)
+    rows = table(spark, d, "events").select((e % 40).alias("page_no"), tier.alias("tier"), F.concat(F.lit("k"), (u % 6).cast("string")).alias("key"), F.when(e % 4 == 0, None).otherwise(F.col("event_type")).alias("value"), e)
     return rows.groupBy("page_no", "tier", "key").agg(F.max_by(F.struct("value"), "event_id").alias("s")).select("page_no", "tier", "key", "s.value")
 
 

@@ -59,6 +59,9 @@ def test_search(spark):
     pages = spark.createDataFrame([("a", 0, "The Café fox"), ("a", 1, "fox fox dog"), ("b", 2, "dog"), ("b", 3, None)], "project_id string, idx0 int, text string")
     assert [r.idx0 for r in search.search(pages, "fox", ["project_id", "idx0"]).orderBy("rank").collect()] == [1, 0]
     assert [r.idx0 for r in search.search(pages, "caf*", ["project_id", "idx0"], project="a").collect()] == [0]
+    for query in ("café", "CAFE", "Café*"):
+        assert [r.idx0 for r in search.search(pages, query, ["project_id", "idx0"], project="a").collect()] == [0], query
+    assert search.terms_of("ſword co-op* _x") == [("sword", False), ("co", False), ("op", True), ("x", False)]
     assert search.search(pages, "cafe dog", ["project_id", "idx0"]).count() == 0
     with pytest.raises(ValueError):
         search.search(pages, " ", ["project_id"])
