@@ -1,8 +1,6 @@
 from __future__ import annotations
 
-import os
 
-import pytest
 
 import corpus_pipeline
 from quire.llm import toxicity
@@ -20,7 +18,6 @@ def texts(frame):
     return {r["doc_id"]: r["text"] for r in frame.collect()}
 
 
-@pytest.mark.skipif("QUIRE_SLOW" not in os.environ, reason="takes minutes; has not been run yet")
 def test_stages_against_brute_force(spark):
     docs = read(spark, FOLDER, "documents")
     columns = docs.columns
@@ -58,6 +55,5 @@ def _not_leaked(spark):
     return lambda given: {i: t for i, t in given.items() if not leaked(t)}
 
 
-@pytest.mark.skipif("QUIRE_SLOW" not in os.environ, reason="takes minutes; has not been run yet")
 def test_run(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
