@@ -1,6 +1,9 @@
 """A training corpus from ``documents``: five stages, each over all that the one before kept.
 
-All stages but the last return the columns of ``documents``; ``n_chars`` follows the text.
+All stages but the last return the columns of ``documents``, others included; ``n_chars`` follows the text.
+Rows with a null text count as clean and stay until they are packed, as their end id alone; rows with a null id
+can't be named by the stages that remove documents by id, and stay.  Rows that share an id are one document: they
+go together.  Of ties the smallest id stays.  Empty tables give empty results.
 """
 
 from __future__ import annotations

@@ -62,9 +62,10 @@ def line_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return found.select(*_DOC, "_d", "seq", "x.line", "x.w", "x.a", "x.b")
 
 
-def suffixes(lines: DataFrame, many: int = MANY) -> DataFrame:
+def suffixes(lines: DataFrame, tables: Tables, many: int = MANY) -> DataFrame:
     """Lines that occur twice or more, with the words ahead of them among these lines in their document."""
-    often = lines.groupBy("a", "b").count().where("count > 1").select("a", "b", (F.col("count") >= many).alias("many"))
+    # Stored, so that Spark can split the join where a line is frequent.
+    often = tables.store(lines.groupBy("a", "b").count().where("count > 1").select("a", "b", (F.col("count") >= many).alias("many")))
     repeated = lines.join(often, ["a", "b"]).dropDuplicates([*_DOC, "seq"])
     upto = F.sum("w").over(Window.partitionBy(*_DOC).orderBy("seq"))
     return repeated.select(*_DOC, "seq", "_d", "line", (upto - F.col("w")).cast("long").alias("ahead"), "many", "w", "a", "b")
@@ -116,7 +117,7 @@ def longest_earlier_runs(levels: list[DataFrame], tables: Tables) -> DataFrame:
 def repeated_runs(docs: DataFrame, tables: Tables, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text", many: int = MANY) -> DataFrame:
     """_g, _h and ``runs``: (first line, last line) of the stretches to delete, in order and apart."""
     lines = tables.store(line_ids(docs, doc_id, text))
-    every = tables.store(suffixes(lines, many))
+    every = tables.store(suffixes(lines, tables, many))
     tables.drop(lines)
     levels = names(every, tables)
     found = longest_earlier_runs(levels, tables)
