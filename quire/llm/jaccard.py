@@ -238,9 +238,13 @@ def _similar(kind: type) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
+def _ids(pairs: DataFrame) -> DataFrame:
+    """The classes in pairs, each side made distinct before they meet."""
+    return pairs.select(F.col("a").alias("class")).distinct().union(pairs.select(F.col("b").alias("class")).distinct()).distinct()
+
+
 def _compared(pairs: DataFrame, sets: DataFrame, column: str, kind: type) -> DataFrame:
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    sets = sets.select("class", column).join(ids, "class", "left_semi").dropDuplicates(["class"])
+    sets = sets.select("class", column).join(_ids(pairs), "class", "left_semi").dropDuplicates(["class"])
     # A hub is in many pairs: its set goes once to each of the tasks over which they are spread.
     spread = pairs.withColumn("slot", F.pmod(F.xxhash64("a"), F.lit(SPREAD)))
     there = spread.select("b", "slot").distinct().join(sets.select(F.col("class").alias("b"), F.col(column).alias("y")), "b")
@@ -253,8 +257,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, tables: Tab
 
     Two bytes of each shingle rule out most pairs that aren't, the others are compared on the whole shingles.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "text_key"), "class")
-    ids = tables.store(ids)
+    ids = tables.store(_ids(pairs).join(classes.select("class", "text_key"), "class"))
     sets = tables.store(_sets(docs, ids))
     likely = tables.store(_compared(pairs, sets, "brief", np.uint16))
     links = tables.store(_compared(likely, sets, "set", np.uint64))
