@@ -13,6 +13,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
 #: Bits of a bitmap of keys.
 BITS = 1 << 23
+#: Spark's setting by which the shuffle files of a query go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +56,11 @@ def marked(frame: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
 
 
 class Tables:
-    """Tables written to the shared folder, which cut the lineage as a checkpoint does and can be deleted once nothing reads them."""
+    """Tables written to the shared folder, which cut the lineage as a checkpoint does and can be deleted once nothing reads them.
+
+    Once a table is written nothing reads the shuffles that led to it, so their files are removed at once rather
+    than when the driver happens to collect its garbage.
+    """
 
     def __init__(self, spark: SparkSession):
         self._spark, self._folder = spark, f"{shared_folder(spark)}/quire-{uuid.uuid4()}"
@@ -62,7 +68,13 @@ class Tables:
 
     def store(self, df: DataFrame) -> DataFrame:
         path = f"{self._folder}/{len(self._paths)}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+        before = self._spark.conf.get(CLEANUP, None)
+        self._spark.conf.set(CLEANUP, "true")
+        try:
+            # A query takes the setting when it is made.
+            df.select("*").write.parquet(path)
+        finally:
+            self._spark.conf.unset(CLEANUP) if before is None else self._spark.conf.set(CLEANUP, before)
         stored = self._spark.read.schema(df.schema).parquet(path)
         self._paths[id(stored)] = (stored, path)
         return stored
