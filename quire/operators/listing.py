@@ -63,3 +63,75 @@ def median_ratio(sizes: DataFrame, default: float = 1.65) -> DataFrame:
 def batch_order(jobs: DataFrame) -> DataFrame:
     """Order in which a collected batch is drained: by priority, then arrival."""
     return jobs.withColumn("position", F.row_number().over(Window.partitionBy("batch").orderBy("priority", "seq")))
+
+
+def children(pages: DataFrame) -> DataFrame:
+    """Pages that were split off another one (``parent_idx0``), by parent in their order."""
+    order = Window.partitionBy("project_id", "parent_idx0").orderBy("idx0")
+    return pages.where("parent_idx0 is not null").select("project_id", "parent_idx0", F.col("idx0").alias("child_idx0"), F.row_number().over(order).alias("position"))
+
+
+def newest(rows: DataFrame, by: str, order: Sequence[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of each owner in ``order``, with their ``position``."""
+    found = rows.withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    return found.where(F.col("position") <= n)
+
+
+def zone_rows(pages: DataFrame, states: DataFrame) -> DataFrame:
+    """Each page's zone state, and its number of zones where they are found; ``states``: key, status, zones (JSON)."""
+    out = pages.join(states, ["project_id", "idx0"], "left")
+    status = F.col("status")
+    state = F.when(status == "clean", "reviewed").when(status == "dirty", "flagged").when(status.isin("running", "failed"), status).otherwise("clean")
+    zones = F.when(status == "clean", F.size(F.from_json("zones", "array<string>")))
+    return out.select("project_id", "idx0", state.alias("state"), zones.alias("zones"))
+
+
+def zone_totals(rows: DataFrame) -> DataFrame:
+    """By project: pages by zone state; reviewed ones and those that never ran are done."""
+    of = lambda *names: F.count_if(F.col("state").isin(*names))
+    return rows.groupBy("project_id").agg(
+        F.count("*").alias("total"), of("clean").alias("clean"), of("flagged").alias("flagged"), of("reviewed").alias("reviewed"), of("reviewed", "clean").alias("done"), of("split").alias("splits")
+    )
+
+
+def regex_counts(rules: DataFrame) -> DataFrame:
+    """By project: rules, enabled ones by status, and matches of all; a rule is enabled unless it says no, matches that are no number count 0."""
+    enabled = F.coalesce("enabled", F.lit(True))
+    of = lambda name: F.count_if(enabled & (F.col("status") == name)).alias(name)
+    matches = F.sum(F.coalesce(F.expr("cast(try_cast(matches as double) as bigint)"), F.lit(0))).cast("bigint")
+    return rules.groupBy("project_id").agg(F.count("*").alias("rules"), of("applied"), of("review"), of("pending"), matches.alias("matches"))
+
+
+#: Statuses of a hyphen case that are counted.
+CASES = ("joined", "validated", "undecided", "flagged", "crosspage", "mismatch")
+#: Statuses that each list of hyphen cases shows.
+MODES = {"queue": ("undecided", "flagged"), "joined": ("joined", "crosspage"), "mismatch": ("mismatch",)}
+
+
+def hyphen_recount(cases: DataFrame) -> DataFrame:
+    """By project: cases by status, and joined ones that nobody validated."""
+    status = F.col("status")
+    open_ = status.isin(*MODES["joined"]) & ~F.coalesce("validated", F.lit(False))
+    return cases.groupBy("project_id").agg(F.count("*").alias("total"), *[F.count_if(status == c).alias(c) for c in CASES], F.count_if(open_).alias("unvalidated"))
+
+
+def hyphen_mode(cases: DataFrame, mode: str) -> DataFrame:
+    return cases.where(F.col("status").isin(*MODES[mode]))
+
+
+def ocr_summary(results: DataFrame) -> DataFrame:
+    """By project: pages sent to OCR, and how many went well, failed or were skipped."""
+    of = lambda name: F.count_if(F.col("outcome") == name).alias(name)
+    return results.groupBy("project_id").agg(F.count("*").alias("total"), of("success"), of("failed"), of("skipped"))
+
+
+def signal_means(signals: DataFrame, names: Sequence[str]) -> DataFrame:
+    """By project the mean of each image signal; images that couldn't be read have nulls and don't count."""
+    return signals.groupBy("project_id").agg(*[F.avg(n).alias(n) for n in names])
+
+
+def text_key(project_id: Column, outputs: Column, suffix: Column, source_stem: Column, prefix: Column) -> Column:
+    """The recorded key of a page's text for a split suffix, else the one made of its stem, prefix and suffix."""
+    recorded = F.get(F.filter(outputs, lambda o: (F.coalesce(o["split_suffix"], F.lit("")) == suffix) & (F.coalesce(o["ocr_text_key"], F.lit("")) != "")), F.lit(0))["ocr_text_key"]
+    stem = F.when(F.coalesce(source_stem, F.lit("")) != "", F.concat(source_stem, F.lit("_"))).otherwise("")
+    return F.coalesce(recorded, F.concat(F.lit("projects/"), project_id, F.lit("/ocr_text/"), stem, prefix, suffix, F.lit(".txt")))

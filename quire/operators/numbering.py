@@ -161,3 +161,19 @@ def gaps(numbers: DataFrame, by: str, number: str) -> DataFrame:
     """Places where consecutive numbers of a group differ by more than one."""
     before = F.lag(number).over(Window.partitionBy(by).orderBy(number))
     return numbers.withColumn("before", before).where(F.col(number) - F.col("before") > 1).select(by, "before", F.col(number).alias("after"), (F.col(number) - F.col("before") - 1).alias("missing"))
+
+
+def move_selection(leaves: DataFrame, moves: DataFrame) -> DataFrame:
+    """New ``position`` of each scan after the ``selected`` ones were moved before or after a target scan of their project.
+
+    ``leaves``: project_id, scan, position, selected; ``moves``: one row per project: target, after.  Without a move
+    nothing changes; a target that isn't there, or is selected itself, sends the selection to the end.
+    """
+    rest = leaves.where("not selected").select("project_id", F.col("scan").alias("target"), F.col("position").alias("_at"))
+    to = moves.join(rest, ["project_id", "target"], "left").select("project_id", "after", "_at", F.lit(True).alias("_move"))
+    moving = F.col("selected") & F.coalesce("_move", F.lit(False))
+    place = F.when(moving, F.coalesce("_at", F.lit(2**31 - 1))).otherwise(F.col("position"))
+    side = F.when(moving, F.when(F.col("after"), 2).otherwise(0)).otherwise(1)
+    order = Window.partitionBy("project_id").orderBy("_place", "_side", "_old")
+    out = leaves.join(to, "project_id", "left").select("project_id", "scan", place.alias("_place"), side.alias("_side"), F.col("position").alias("_old"))
+    return out.select("project_id", "scan", (F.row_number().over(order) - 1).alias("position"))

@@ -27,14 +27,14 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(folded, r"[^\p{L}\p{N}]+"), "")
 
 
-def terms_of(query: str) -> list[tuple[str, bool]]:
+def terms_of(query: str, unique: bool = True) -> list[tuple[str, bool]]:
     """(term, whether it is a prefix) of a query, folded as the pages' tokens are."""
     found = []
     for part in query.split():
         folded = part.replace("ſ", "s").lower().translate(str.maketrans(MARKED, PLAIN))
         words = re.findall(r"[^\W_]+", folded)
         found += [(w, part.endswith("*") and k == len(words) - 1) for k, w in enumerate(words)]
-    return list(dict.fromkeys(found))
+    return list(dict.fromkeys(found)) if unique else found
 
 
 def postings(pages: DataFrame, key: list[str], text: str = "text") -> DataFrame:
@@ -44,6 +44,43 @@ def postings(pages: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     return exploded.groupBy(*key, "length", "token").agg(F.count("*").alias("tf"))
 
 
+def reindex(index: DataFrame, pages: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """``index`` (as ``postings`` makes it) with the rows of ``pages`` in place of those it had of them."""
+    return index.join(pages.select(*key).distinct(), key, "left_anti").unionByName(postings(pages, key, text))
+
+
+def unindexed(clean: DataFrame, index: DataFrame, key: list[str]) -> DataFrame:
+    """Pages with clean text that the index hasn't got."""
+    return clean.join(index, key, "left_anti")
+
+
+def phrase_count(found: Column, phrase: str) -> Column:
+    """Times that the words of ``phrase``, folded as tokens are, follow each other in an array of tokens."""
+    words = [w for w, _ in terms_of(phrase, unique=False)]
+    if not words:
+        raise ValueError("the phrase is empty")
+    # Tokens are letters and digits only; looking ahead counts occurrences that overlap.
+    return F.regexp_count(F.concat(F.lit(" "), F.array_join(found, " "), F.lit(" ")), F.lit(f"(?= {' '.join(words)} )"))
+
+
+def phrase_search(pages: DataFrame, phrase: str, key: list[str], text: str = "text") -> DataFrame:
+    """Pages that have the words of ``phrase`` one after the other, ranked by BM25 with the phrase as a term; one pass for all counts."""
+    found = pages.select(*key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    counted = found.select(*key, F.size("_t").alias("length"), phrase_count(F.col("_t"), phrase).alias("tf"))
+    stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), F.count_if(F.col("tf") > 0).alias("df")).first()
+    idf = max(math.log((stats["n"] - stats["df"] + 0.5) / (stats["df"] + 0.5)), 1e-6)
+    weight = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(stats["mean"] or 1.0))))
+    return counted.where("tf > 0").select(*key, (-weight).alias("rank")).withColumn("score", 1 / (1 + F.abs("rank")))
+
+
+def search_page(found: DataFrame, order: list[str], offset: int = 0, limit: int = 50) -> DataFrame:
+    """Rows offset..offset+limit-1 of a search in order, each with the ``total``; at most 200 at a time."""
+    if not 1 <= limit <= 200 or offset < 0:
+        raise ValueError("the limit is 1 to 200, the offset 0 at least")
+    # The other side is one row.
+    return found.orderBy(*order).offset(offset).limit(limit).crossJoin(F.broadcast(found.agg(F.count("*").alias("total"))))
+
+
 def search(pages: DataFrame, query: str, key: list[str], project: str | None = None, text: str = "text") -> DataFrame:
     """Pages with all terms of ``query``, folded as pages are (a last ``*`` makes a prefix): rank (smaller is better) and score 1 / (1 + |rank|)."""
     terms = terms_of(query)

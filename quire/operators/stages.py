@@ -51,12 +51,18 @@ def edges(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(s, d) for s, _, needs in STAGES for d in needs], "stage string, depends_on string")
 
 
-def closure(spark: SparkSession, of: Sequence[tuple[str, str, tuple[str, ...]]] = STAGES) -> DataFrame:
-    """(stage, descendant) for all stages that depend on a stage, directly or not."""
+def descendants(of: Sequence[tuple[str, str, tuple[str, ...]]] = STAGES) -> dict[str, set[str]]:
+    """By stage all that depend on it, directly or not."""
     below: dict[str, set[str]] = {s: set() for s, _, _ in of}
     for stage, _, needs in reversed(of):
         for need in needs:
             below[need] |= {stage} | below[stage]
+    return below
+
+
+def closure(spark: SparkSession, of: Sequence[tuple[str, str, tuple[str, ...]]] = STAGES) -> DataFrame:
+    """(stage, descendant) for all stages that depend on a stage, directly or not."""
+    below = descendants(of)
     return spark.createDataFrame([(s, d) for s, ds in below.items() for d in sorted(ds)], "stage string, descendant string")
 
 
@@ -117,6 +123,29 @@ def cascade(states: DataFrame, changed: DataFrame, below: DataFrame, hit: Sequen
     return out.withColumn("status", F.when(F.col("_stale") & F.col("status").isin(*hit), "dirty").otherwise(F.col("status"))).drop("_stale")
 
 
+def split_cascade(states: DataFrame, changed: DataFrame, splits: DataFrame, hit: Sequence[str] = ("clean", "failed"), root: str = "grayscale") -> DataFrame:
+    """States after stages in ``changed`` were run again on pages that others were split off.
+
+    ``splits``: project_id, page_no, parent_no, split_stage.  A child whose split comes at or after the changed stage
+    starts anew: its root stage and all below it turn dirty where they are in one of ``hit``.  Children without a
+    row for the root stage stay as they are.
+    """
+    below = descendants()
+    after = F.create_map(*[x for s, ds in below.items() for x in (F.lit(s), F.array(*[F.lit(d) for d in sorted({s} | ds)]))])
+    parents = changed.select("project_id", F.col("page_no").alias("parent_no"), F.col("stage").alias("_stage"))
+    children = splits.join(parents, ["project_id", "parent_no"]).where(F.array_contains(after[F.col("_stage")], F.col("split_stage"))).select("project_id", "page_no").distinct()
+    rooted = children.join(states.where(F.col("stage") == root), ["project_id", "page_no"], "left_semi").withColumn("_stale", F.lit(True))
+    again = F.col("_stale") & F.col("stage").isin(root, *sorted(below[root])) & F.col("status").isin(*hit)
+    return states.join(rooted, ["project_id", "page_no"], "left").withColumn("status", F.when(again, "dirty").otherwise(F.col("status"))).drop("_stale")
+
+
+def project_cascade(states: DataFrame, changed: DataFrame, below: DataFrame) -> DataFrame:
+    """Project stages after those in ``changed`` (project_id, stage) were run again: all below turn dirty, whatever their status."""
+    stale = changed.join(below, "stage").select("project_id", F.col("descendant").alias("stage")).distinct().withColumn("_stale", F.lit(True))
+    out = states.join(stale, ["project_id", "stage"], "left")
+    return out.withColumn("status", F.when(F.col("_stale"), "dirty").otherwise(F.col("status"))).drop("_stale")
+
+
 def missing_dependencies(states: DataFrame, needs: DataFrame) -> DataFrame:
     """By page and stage, the page-scope dependencies that aren't clean, joined in order of name."""
     wanted = states.select("project_id", "page_no").distinct().join(F.broadcast(needs))

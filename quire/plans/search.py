@@ -34,3 +34,40 @@ def search_postings(spark: SparkSession, d: str) -> DataFrame:
 def search_snippets(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where(F.contains("text", F.lit("idiot")))
     return docs.select("doc_id", S.snippet(F.col("text"), "idiot").alias("snippet"))
+
+
+_SORTED = f"{_BM25}, t AS (SELECT doc_id, ROUND(rank, 6) AS rank FROM r WHERE terms = 2)"
+
+
+@query(_SORTED + " SELECT doc_id, rank, (SELECT COUNT(*) FROM t) AS total FROM t ORDER BY rank, doc_id LIMIT 20 OFFSET 10")
+def search_page(spark: SparkSession, d: str) -> DataFrame:
+    """The second page of ten of a search, twenty rows long, with the number of all."""
+    found = S.search(table(spark, d, "documents").select("doc_id", "text"), "idiot the", ["doc_id"])
+    return S.search_page(found.select("doc_id", F.round("rank", 6).alias("rank")), ["rank", "doc_id"], 10, 20)
+
+
+@query(
+    f"""WITH d AS ({_TOKENS}), c AS (SELECT doc_id, len(t) AS length, len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) AS tf FROM d),
+s AS (SELECT COUNT(*) AS n, AVG(length) AS mean, COUNT(*) FILTER (tf > 0) AS df FROM c)
+SELECT doc_id, ROUND(-greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * length / mean)), 6) AS rank FROM c, s WHERE tf > 0"""
+)
+def phrase_search(spark: SparkSession, d: str) -> DataFrame:
+    found = S.phrase_search(table(spark, d, "documents").select("doc_id", "text"), "Of the", ["doc_id"])
+    return found.select("doc_id", F.round("rank", 6).alias("rank"))
+
+
+_AGAIN = _TOKENS.replace("FROM documents", "FROM (SELECT doc_id, source, CASE WHEN doc_id % 10 = 0 THEN text || ' added line' ELSE text END AS text FROM documents)")
+
+
+@query(f"WITH d AS ({_AGAIN}) SELECT doc_id, CAST(len(t) AS INT) AS length, tok AS token, COUNT(*) AS tf FROM (SELECT doc_id, t, UNNEST(t) AS tok FROM d) GROUP BY doc_id, len(t), tok")
+def reindexed_postings(spark: SparkSession, d: str) -> DataFrame:
+    """The index after the text of one page in ten was changed."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    changed = docs.where("doc_id % 10 = 0").withColumn("text", F.concat("text", F.lit(" added line")))
+    return S.reindex(S.postings(docs, ["doc_id"]), changed, ["doc_id"])
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 3 <> 1 AND doc_id % 7 = 0")
+def unindexed_pages(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id")
+    return S.unindexed(docs.where("doc_id % 3 <> 1"), docs.where("doc_id % 7 <> 0"), ["doc_id"])

@@ -88,6 +88,24 @@ def heal_cascade(spark: SparkSession, d: str) -> DataFrame:
     return S.cascade(states, states.where("status = 'failed'").select("project_id", "page_no", "stage"), S.closure(spark), hit=("clean",))
 
 
+_SPLIT = "CASE page_no % 3 WHEN 0 THEN 'crop' WHEN 1 THEN 'ocr' ELSE 'denoise' END"
+_CHILDREN = f"SELECT DISTINCT s.project_id, s.page_no FROM (SELECT DISTINCT project_id, page_no, page_no - 1 AS parent_no, {_SPLIT} AS split_stage FROM n WHERE page_no % 5 = 2) s JOIN n c ON c.project_id = s.project_id AND c.page_no = s.parent_no AND c.status = 'dirty' JOIN (SELECT stage, descendant FROM closure UNION SELECT stage, stage FROM n) x ON x.stage = c.stage AND x.descendant = s.split_stage JOIN n r ON r.project_id = s.project_id AND r.page_no = s.page_no AND r.stage = 'grayscale'"
+
+
+@query(
+    oracle(
+        "SELECT n.project_id, n.page_no, n.stage, CASE WHEN h.page_no IS NOT NULL AND n.status IN ('clean','failed') AND (n.stage = 'grayscale' OR n.stage IN (SELECT descendant FROM closure WHERE stage = 'grayscale')) THEN 'dirty' ELSE n.status END AS status FROM n LEFT JOIN h ON h.project_id = n.project_id AND h.page_no = n.page_no",
+        "fx_state", recursive=True, n=_NAMED, closure=_CLOSURE, h=_CHILDREN,
+    )
+)
+def split_cascade(spark: SparkSession, d: str) -> DataFrame:
+    states = _named(spark, d)
+    no = F.col("page_no")
+    stage = F.when(no % 3 == 0, "crop").when(no % 3 == 1, "ocr").otherwise("denoise")
+    splits = states.where("page_no % 5 = 2").select("project_id", "page_no", (no - 1).alias("parent_no"), stage.alias("split_stage")).distinct()
+    return S.split_cascade(states, states.where("status = 'dirty'"), splits)
+
+
 _NEEDS = "(VALUES " + ", ".join(f"('{s}', '{n}')" for s, scope, needs in S.STAGES if scope == "page" for n in needs if n in S.PAGE_STAGES) + ") e(stage, depends_on)"
 
 
@@ -123,6 +141,17 @@ def stage_gates(spark: SparkSession, d: str) -> DataFrame:
     return S.gate(_project_states(spark, d), needs)
 
 
+@query(
+    oracle(
+        "SELECT p.project_id, p.stage, CASE WHEN EXISTS (SELECT 1 FROM ps c JOIN closure x ON x.stage = c.stage WHERE c.status = 'failed' AND c.project_id = p.project_id AND x.descendant = p.stage) THEN 'dirty' ELSE p.status END AS status FROM ps p",
+        "fx_state", recursive=True, ps=_PROJECT, closure=_CLOSURE,
+    )
+)
+def project_cascade(spark: SparkSession, d: str) -> DataFrame:
+    states = _project_states(spark, d)
+    return S.project_cascade(states, states.where("status = 'failed'").select("project_id", "stage"), S.closure(spark))
+
+
 @query(oracle("SELECT project_id, page_no, stage_ord, CASE WHEN status = 'clean' AND seq % 3 < CASE WHEN stage_ord % 2 = 0 THEN 2 ELSE 1 END THEN 'dirty' ELSE status END AS status FROM fx_state", "fx_state"))
 def stale_versions(spark: SparkSession, d: str) -> DataFrame:
     versions = _page_stages(spark).withColumn("current", F.when(F.col("stage_ord") % 2 == 0, 2).otherwise(1))
