@@ -1,40 +1,15 @@
-"""Full-text search with BM25 over page text.
+"""Full-text search over page text without a kept index, and postings as a table.
 
-A search reads the text of all pages, for the matches and for the statistics of the whole index; what it
-shuffles is in proportion to the document frequencies of its terms.  ``postings`` makes the table of all
-terms for those who keep one.
+A search reads the text of all pages twice, for the statistics and for the matches, and shuffles nothing; where
+pages are searched again and again, ``textindex`` keeps postings and reads those of the query's words only.
 """
 
 from __future__ import annotations
 
-import math
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import fold_long_s
-
-K1, B = 1.2, 0.75
-#: Letters with marks and their plain letters, as the tokenizer folds them.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
-
-
-def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and digits without marks."""
-    folded = F.translate(F.lower(fold_long_s(text)), MARKED, PLAIN)
-    return F.array_remove(F.split(folded, r"[^\p{L}\p{N}]+"), "")
-
-
-def terms_of(query: str, unique: bool = True) -> list[tuple[str, bool]]:
-    """(term, whether it is a prefix) of a query, folded as the pages' tokens are."""
-    found = []
-    for part in query.split():
-        folded = part.replace("ſ", "s").lower().translate(str.maketrans(MARKED, PLAIN))
-        words = re.findall(r"[^\W_]+", folded)
-        found += [(w, part.endswith("*") and k == len(words) - 1) for k, w in enumerate(words)]
-    return list(dict.fromkeys(found)) if unique else found
+from quire.operators.ranking import Query, places, tokens
 
 
 def postings(pages: DataFrame, key: list[str], text: str = "text") -> DataFrame:
@@ -54,25 +29,6 @@ def unindexed(clean: DataFrame, index: DataFrame, key: list[str]) -> DataFrame:
     return clean.join(index, key, "left_anti")
 
 
-def phrase_count(found: Column, phrase: str) -> Column:
-    """Times that the words of ``phrase``, folded as tokens are, follow each other in an array of tokens."""
-    words = [w for w, _ in terms_of(phrase, unique=False)]
-    if not words:
-        raise ValueError("the phrase is empty")
-    # Tokens are letters and digits only; looking ahead counts occurrences that overlap.
-    return F.regexp_count(F.concat(F.lit(" "), F.array_join(found, " "), F.lit(" ")), F.lit(f"(?= {' '.join(words)} )"))
-
-
-def phrase_search(pages: DataFrame, phrase: str, key: list[str], text: str = "text") -> DataFrame:
-    """Pages that have the words of ``phrase`` one after the other, ranked by BM25 with the phrase as a term; one pass for all counts."""
-    found = pages.select(*key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
-    counted = found.select(*key, F.size("_t").alias("length"), phrase_count(F.col("_t"), phrase).alias("tf"))
-    stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), F.count_if(F.col("tf") > 0).alias("df")).first()
-    idf = max(math.log((stats["n"] - stats["df"] + 0.5) / (stats["df"] + 0.5)), 1e-6)
-    weight = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(stats["mean"] or 1.0))))
-    return counted.where("tf > 0").select(*key, (-weight).alias("rank")).withColumn("score", 1 / (1 + F.abs("rank")))
-
-
 def search_page(found: DataFrame, order: list[str], offset: int = 0, limit: int = 50) -> DataFrame:
     """Rows offset..offset+limit-1 of a search in order, each with the ``total``; at most 200 at a time."""
     if not 1 <= limit <= 200 or offset < 0:
@@ -82,29 +38,23 @@ def search_page(found: DataFrame, order: list[str], offset: int = 0, limit: int
 
 
 def search(pages: DataFrame, query: str, key: list[str], project: str | None = None, text: str = "text") -> DataFrame:
-    """Pages with all terms of ``query``, folded as pages are (a last ``*`` makes a prefix): rank (smaller is better) and score 1 / (1 + |rank|)."""
-    terms = terms_of(query)
-    if not terms:
-        raise ValueError("the query is empty")
-    stats = pages.select(F.size(tokens(F.coalesce(F.col(text), F.lit("")))).alias("n")).agg(F.count("*").alias("n"), F.avg("n").alias("mean")).first()
-    hit = F.lit(False)
-    term = F.lit(None).cast("int")
-    for k, (t, prefix) in enumerate(terms):
-        fits = F.col("token").startswith(t) if prefix else F.col("token") == t
-        hit, term = hit | fits, F.when(fits, k).otherwise(term)
-    # The filter on tokens comes before any shuffle.
-    found = pages.select(*key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t")).select(*key, F.size("_t").alias("length"), F.explode("_t").alias("token")).where(hit)
-    found = found.groupBy(*key, "length", term.alias("term")).agg(F.count("*").alias("tf"))
-    df = {r["term"]: r["df"] for r in found.groupBy("term").agg(F.count("*").alias("df")).collect()}
-    idf = F.lit(0.0)
-    for k in range(len(terms)):
-        n = df.get(k, 0)
-        idf = F.when(F.col("term") == k, max(math.log((stats["n"] - n + 0.5) / (n + 0.5)), 1e-6)).otherwise(idf)
-    weight = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(stats["mean"] or 1.0))))
-    ranked = found.groupBy(*key).agg((-F.sum(weight)).alias("rank"), F.count_distinct("term").alias("terms")).where(F.col("terms") == len(terms)).drop("terms")
+    """Pages that match ``query`` in the language of ``querylang``: key, rank (smaller is better) and score 1 / (1 + |rank|).
+
+    The statistics are those of all ``pages``, whatever the project, which is a value of the first key.
+    """
+    wanted = Query.of(query)
+    found = pages.select(*key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    at = [places(F.col("_t"), s).alias(f"p{k}") for k, s in enumerate(wanted.slots)]
+    counted = wanted.counted(found.select(*key, F.size("_t").alias("length"), *at), *key, "length")
+    stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *wanted.frequencies()).first()
     if project is not None:
-        ranked = ranked.where(F.col(key[0]) == project)
-    return ranked.withColumn("score", 1 / (1 + F.abs("rank")))
+        counted = counted.where(F.col(key[0]) == project)
+    return wanted.ranked(counted, key, stats["n"], stats["mean"], stats)
+
+
+def phrase_search(pages: DataFrame, phrase: str, key: list[str], text: str = "text") -> DataFrame:
+    """Pages that have the words of ``phrase`` one after the other, ranked with the phrase as a term."""
+    return search(pages, '"' + phrase.replace('"', " ") + '"', key, text=text)
 
 
 def snippet(text: Column, term: str, width: int = 15) -> Column:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import drift, geometry, images, listing, search, settings, stages, words
+from quire.operators.ranking import Query
 from quire.sources import archives, packages
 
 
@@ -61,7 +62,7 @@ def test_search(spark):
     assert [r.idx0 for r in search.search(pages, "caf*", ["project_id", "idx0"], project="a").collect()] == [0]
     for query in ("café", "CAFE", "Café*"):
         assert [r.idx0 for r in search.search(pages, query, ["project_id", "idx0"], project="a").collect()] == [0], query
-    assert search.terms_of("ſword co-op* _x") == [("sword", False), ("co", False), ("op", True), ("x", False)]
+    assert Query.of("ſword co-op* _x").slots == [("sword", False), ("co", False), ("op", True), ("x", False)]
     assert search.search(pages, "cafe dog", ["project_id", "idx0"]).count() == 0
     with pytest.raises(ValueError):
         search.search(pages, " ", ["project_id"])
