@@ -19,8 +19,11 @@ from __future__ import annotations
 import functools
 import json
 import operator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +33,6 @@ from quire.tables import exists, remove
 BUCKETS = 64
 #: Letters of a token that choose its bucket.
 LETTERS = 2
-#: Tasks that write one bucket, so that a word on every page isn't one task's work.
-SALTS = 8
 
 
 def bucket_of(token: Column, buckets: int) -> Column:
@@ -42,13 +43,32 @@ def _page_bucket(key: list[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each token of each page, with its positions in order, from one row a page with its tokens ``_t``."""
+    for batch in batches:
+        found = batch.column("_t")
+        length = np.diff(found.offsets.to_numpy())
+        flat = found.flatten().dictionary_encode()
+        if not len(flat):
+            continue
+        page, code = np.repeat(np.arange(len(batch)), length), flat.indices.to_numpy()
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)
+        order = np.lexsort((place, code, page))
+        page, code, place = page[order], code[order], place[order]
+        start = np.flatnonzero(np.concatenate([[True], (page[1:] != page[:-1]) | (code[1:] != code[:-1])]))
+        cuts = pa.array(np.append(start, len(place)), pa.int32())
+        names = [n for n in batch.schema.names if n != "_t"]
+        columns = [batch.column(n).take(pa.array(page[start])) for n in names]
+        columns += [pa.array(length[page[start]], pa.int32()), flat.dictionary.take(pa.array(code[start])), pa.ListArray.from_arrays(cuts, pa.array(place, pa.int32()))]
+        yield pa.RecordBatch.from_arrays(columns, names=[*names, "length", "token", "positions"])
+
+
 def positions(pages: DataFrame, key: list[str], text: str, buckets: int) -> DataFrame:
-    """bucket, token, key, length, positions (ascending, from 0) of all pages; one shuffle."""
+    """key, length, token, positions (ascending, from 0), bucket of all pages, a row a page and token; no shuffle."""
     found = pages.select(*key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
-    each = found.select(*key, F.size("_t").alias("length"), F.posexplode("_t").alias("_p", "token")).withColumn("bucket", bucket_of(F.col("token"), buckets)).withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)))
-    # Rows of a token and page are in one task already, so grouping them needs no other shuffle.
-    grouped = each.repartition("bucket", "_salt").groupBy("bucket", "_salt", "token", *key, "length").agg(F.array_sort(F.collect_list("_p")).alias("positions"))
-    return grouped.drop("_salt").sortWithinPartitions("bucket", "token", *key)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.select(*key).schema)
+    each = found.mapInArrow(_grouped, f"{kinds}, length int, token string, positions array<int>").withColumn("bucket", bucket_of(F.col("token"), buckets))
+    return each
 
 
 def page_rows(pages: DataFrame, key: list[str], text: str, buckets: int) -> DataFrame:
@@ -89,8 +109,10 @@ class TextIndex:
         return self._read("pages", sorted(self.pages_versions) if wanted is None else wanted)
 
 
-def _write(frame: DataFrame, folder: str, version: int) -> None:
-    frame.write.partitionBy("bucket").mode("overwrite").parquet(f"{folder}/version={version}")
+def _write(frame: DataFrame, folder: str, version: int, order: list[str]) -> None:
+    """A bucket is one task's and one file's, but for large ones, which Spark splits."""
+    dealt = frame.hint("rebalance", "bucket").sortWithinPartitions("bucket", *order)
+    dealt.write.partitionBy("bucket").mode("overwrite").parquet(f"{folder}/version={version}")
 
 
 def _publish(spark: SparkSession, folder: str, version: int, state: dict) -> None:
@@ -108,8 +130,8 @@ def _buckets_in(spark: SparkSession, path: str) -> list[int]:
 def build(pages: DataFrame, folder: str, key: list[str], text: str = "text", buckets: int = BUCKETS) -> TextIndex:
     """Indexes all ``pages``, one row a key, into ``folder``."""
     spark = pages.sparkSession
-    for name, rows in (("postings", positions(pages, key, text, buckets)), ("pages", page_rows(pages, key, text, buckets).repartition("bucket"))):
-        _write(rows, f"{folder}/{name}", 1)
+    for name, rows, order in (("postings", positions(pages, key, text, buckets), ["token", *key]), ("pages", page_rows(pages, key, text, buckets), key)):
+        _write(rows, f"{folder}/{name}", 1, order)
         rows.limit(0).drop("bucket").write.mode("overwrite").parquet(f"{folder}/{name}/empty")
     stats = spark.read.parquet(f"{folder}/pages/version=1").agg(F.count("*").alias("n"), F.sum("length").alias("total")).first() if _buckets_in(spark, f"{folder}/pages/version=1") else {"n": 0, "total": 0}
     held = {name: {b: 1 for b in _buckets_in(spark, f"{folder}/{name}/version=1")} for name in ("postings", "pages")}
@@ -145,10 +167,9 @@ def upsert(index: TextIndex, changed: DataFrame, removed: DataFrame | None = Non
     stale = index.pages(homes).join(keys, key, "left_semi")
     touched = sorted({*numbers(stale, F.explode("token_buckets")), *numbers(fresh, F.explode("token_buckets"))})
     kept = index.pages(homes).join(keys, key, "left_anti").withColumn("bucket", _page_bucket(key, index.buckets))
-    _write(kept.unionByName(fresh).repartition("bucket"), f"{index.folder}/pages", version)
+    _write(kept.unionByName(fresh), f"{index.folder}/pages", version, key)
     old = index.postings(touched).join(keys, key, "left_anti").withColumn("bucket", bucket_of(F.col("token"), index.buckets))
-    rows = old.unionByName(positions(changed, key, text, index.buckets)).repartition("bucket", F.pmod(F.xxhash64(*key), F.lit(SALTS)))
-    _write(rows.sortWithinPartitions("bucket", "token", *key), f"{index.folder}/postings", version)
+    _write(old.unionByName(positions(changed, key, text, index.buckets)), f"{index.folder}/postings", version, ["token", *key])
     before, after = (f.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("total")).first() for f in (stale, fresh))
     state: dict = {"key": key, "buckets": index.buckets, "n": index.n - before["n"] + after["n"], "total": index.total - before["total"] + after["total"]}
     for name, mine, again in (("postings", index.postings_versions, touched), ("pages", index.pages_versions, homes)):
