@@ -7,7 +7,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import file_stem, flat_stem, is_image
@@ -38,6 +38,51 @@ def entries(archives: DataFrame) -> DataFrame:
     return archives.select("path", "content").mapInPandas(read, ENTRIES)
 
 
+LISTED = "path string, pos int, entry string, size long, compressed long, crc long, place long"
+
+
+def listing(archives: DataFrame) -> DataFrame:
+    """One row per entry of each zip archive (path, content) from its directory at the end, folders too; no entry is unpacked.
+
+    Archives that can't be read have none.
+    """
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        rows = [(path, k, i.filename, i.file_size, i.compress_size, i.CRC, i.header_offset) for k, i in enumerate(z.infolist())]
+                except (zipfile.BadZipFile, ValueError, OSError):
+                    continue
+                yield pd.DataFrame(rows, columns=["path", "pos", "entry", "size", "compressed", "crc", "place"])
+
+    return archives.select("path", "content").mapInPandas(read, LISTED)
+
+
+def archive_records(archives: DataFrame) -> DataFrame:
+    """path, sha256, size_bytes, file_count of each archive, 0 entries for one that can't be read."""
+    counted = listing(archives).groupBy("path").agg(F.count("*").alias("file_count"))
+    out = archives.select("path", F.sha2("content", 256).alias("sha256"), F.length("content").cast("long").alias("size_bytes"))
+    return out.join(counted, "path", "left").withColumn("file_count", F.coalesce("file_count", F.lit(0)))
+
+
+MANIFEST = "book_name string, project_id string, built_at string, page_count long, illustration_count long"
+
+
+def package_manifests(archives: DataFrame, project: Column) -> DataFrame:
+    """What a package says of itself in pgdp.json, with its record: project, pages, canvas (the book's name), built, files, sha256.
+
+    Where there is none, or none that can be read, ``project`` and empty values stand in.
+    """
+    told = entries(archives).where("entry = 'pgdp.json'").select("path", F.from_json(F.decode("content", "utf-8"), MANIFEST).alias("m")).dropDuplicates(["path"])
+    out = archive_records(archives).withColumn("_project", project).join(told, "path", "left")
+    return out.select(
+        "path", F.coalesce("m.project_id", "_project").alias("project"), F.coalesce("m.page_count", F.lit(0)).alias("pages"), F.coalesce("m.book_name", F.lit("")).alias("canvas"),
+        F.coalesce("m.built_at", F.lit("")).alias("built"), F.col("file_count").alias("files"), "sha256",
+    )
+
+
 def page_images(found: DataFrame) -> DataFrame:
     """Images among archive entries with a stem of their own and their place ``idx0``.
 

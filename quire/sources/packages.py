@@ -1,51 +1,236 @@
-"""Sinks: submission archives and their records."""
+"""Sinks: submission archives, made entry by entry, and their records.
+
+An archive is the sequence of its entries' bytes, a directory and an end.  Each entry is compressed where its page
+is; where it lies follows from the sizes before it, so only sizes are gathered by project.  ``archive_parts`` gives these
+pieces as rows, and ``save`` streams them to files, so that no task holds a project.
+"""
 
 from __future__ import annotations
 
-import io
+import hashlib
 import json
-import zipfile
+import os
+import struct
+import zlib
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Every entry's time, so that equal pages make equal bytes.
-EPOCH = (1980, 1, 1, 0, 0, 0)
-PACKAGE = "project_id string, content binary, pages long, crops long"
+from quire.tables import stored
 
+#: Every entry's time, 1 January 1980, so that equal pages make equal bytes.
+DATE, TIME = 0x21, 0
+DEFLATED, UTF8, UNIX, VERSION, VERSION_64 = 8, 0x800, 3, 20, 45
+#: What 32 and 16 bits hold; archives beyond use the 64-bit forms.
+MAX32, MAX16 = 0xFFFFFFFF, 0xFFFF
+#: Bits of an entry's place for what is within a page, and for the pages whose sizes are added up together.
+WITHIN, SLICE = 24, 10
+#: Where a project's directory and its end lie behind its entries.
+ENTRY, DIRECTORY, END = 0, 1, 2
 
-def build(pages: DataFrame, book: str, built_at: str) -> DataFrame:
-    """One zip per project; ``pages``: project_id, pos, prefix (null: left out), image, text, crops (array of name and content).
 
-    A book's package is one file, so its pages meet in one task.
+def _entry(name: str, data: bytes) -> tuple[bytes, int, int]:
+    """(an entry's bytes, check sum, compressed size)."""
+    if len(data) >= MAX32:
+        raise ValueError(f"{name} has 4 GiB or more")
+    squeeze = zlib.compressobj(6, zlib.DEFLATED, -15)
+    packed, crc, raw = squeeze.compress(data) + squeeze.flush(), zlib.crc32(data), name.encode()
+    return struct.pack("<IHHHHHIIIHH", 0x04034B50, VERSION, UTF8, DEFLATED, TIME, DATE, crc, len(packed), len(data), len(raw), 0) + raw + packed, crc, len(packed)
+
+
+def _listed(name: str, crc: int, packed: int, size: int, offset: int) -> bytes:
+    """An entry of the directory."""
+    raw, far = name.encode(), offset >= MAX32
+    extra = struct.pack("<HHQ", 1, 8, offset) if far else b""
+    version = VERSION_64 if far else VERSION
+    return struct.pack("<IHHHHHHIIIHHHHHII", 0x02014B50, UNIX << 8 | version, version, UTF8, DEFLATED, TIME, DATE, crc, packed, size, len(raw), len(extra), 0, 0, 0, 0o600 << 16, min(offset, MAX32)) + raw + extra
+
+
+def _end(count: int, size: int, offset: int) -> bytes:
+    """The end of an archive, whose directory of ``count`` entries and ``size`` bytes starts at ``offset``."""
+    out = b""
+    if count >= MAX16 or size >= MAX32 or offset >= MAX32:
+        out = struct.pack("<IQHHIIQQQQ", 0x06064B50, 44, UNIX << 8 | VERSION_64, VERSION_64, 0, 0, count, count, size, offset) + struct.pack("<IIQI", 0x07064B50, 0, offset + size, 1)
+    return out + struct.pack("<IHHHHIIH", 0x06054B50, 0, 0, min(count, MAX16), min(count, MAX16), min(size, MAX32), min(offset, MAX32), 0)
+
+
+def archive_parts(entries: DataFrame) -> DataFrame:
+    """project_id, kind, pos, bytes: by kind and pos the pieces of each project's archive.
+
+    ``entries``: project_id, pos (as ``place`` makes it, different in a project), name, data.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # One at a time: the entries of a batch together may be large.
+            for k, (name, data) in enumerate(zip(batch.column("name"), batch.column("data"), strict=True)):
+                record, crc, packed = _entry(name.as_py(), data.as_py() or b"")
+                row = batch.slice(k, 1)
+                yield pa.RecordBatch.from_arrays(
+                    [row.column("project_id"), row.column("pos"), row.column("name"), pa.array([crc]), pa.array([packed]), pa.array([len(data.as_py() or b"")]), pa.array([record], pa.binary())],
+                    names=["project_id", "pos", "name", "crc", "packed", "size", "bytes"],
+                )
+
+    def directory(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("name", "crc", "packed", "size", "offset")), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column("project_id"), batch.column("pos"), pa.array([_listed(*r) for r in rows], pa.binary())], names=["project_id", "pos", "bytes"])
+
+    def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("count", "size", "offset")), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column("project_id"), pa.array([_end(*r) for r in rows], pa.binary())], names=["project_id", "bytes"])
+
+    kind = entries.schema["project_id"].dataType.simpleString()
+    # Compressed once; what follows reads the sizes alone.
+    packed = stored(entries.select("project_id", F.col("pos").cast("long").alias("pos"), "name", "data").mapInArrow(pack, f"project_id {kind}, pos long, name string, crc long, packed long, size long, bytes binary"))
+    # Sizes alone are gathered, slice by slice, so a project of many entries isn't one task's work.
+    light = packed.select("project_id", "pos", "name", "crc", "packed", "size", F.length("bytes").cast("long").alias("length"), F.shiftright("pos", WITHIN + SLICE).alias("slice"))
+    by_slice = light.groupBy("project_id", "slice").agg(F.sum("length").alias("total"))
+    before = Window.partitionBy("project_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = by_slice.select("project_id", "slice", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("start"))
+    within = Window.partitionBy("project_id", "slice").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    placed = light.join(starts, ["project_id", "slice"]).withColumn("offset", F.col("start") + F.coalesce(F.sum("length").over(within), F.lit(0)))
+    listed = placed.select("project_id", "pos", "name", "crc", "packed", "size", "offset").mapInArrow(directory, f"project_id {kind}, pos long, bytes binary")
+    # 46 bytes, the name, and 12 bytes where the offset takes 64 bits.
+    room = F.octet_length("name") + 46 + F.when(F.col("offset") >= MAX32, 12).otherwise(0)
+    ends = placed.groupBy("project_id").agg(F.count("*").alias("count"), F.sum(room.cast("long")).alias("size"), F.max(F.col("offset") + F.col("length")).alias("offset")).mapInArrow(end, f"project_id {kind}, bytes binary")
+    parts = [packed.select("project_id", F.lit(ENTRY).alias("kind"), "pos", "bytes"), listed.select("project_id", F.lit(DIRECTORY).alias("kind"), "pos", "bytes"), ends.select("project_id", F.lit(END).alias("kind"), F.lit(0).cast("long").alias("pos"), "bytes")]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+SAVED = "project_id string, path string, sha256 string, size_bytes long, file_count long"
+
+
+def save(parts: DataFrame, folder: str) -> DataFrame:
+    """Streams each project's pieces to ``<project_id>.zip`` in ``folder``, a path that all executors share; the zip records.
+
+    A file is written beside its place and moved there when it is whole, so a task that runs again does no harm.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        project, out, digest, size, count, place = None, None, None, 0, 0, ""
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if out is not None:
+                out.close()
+                os.replace(out.name, place)
+                yield pa.RecordBatch.from_pylist([{"project_id": project, "path": place, "sha256": digest.hexdigest(), "size_bytes": size, "file_count": count}], pa.schema([("project_id", pa.string()), ("path", pa.string()), ("sha256", pa.string()), ("size_bytes", pa.int64()), ("file_count", pa.int64())]))
+
+        for batch in batches:
+            for name, kind, piece in zip(batch.column("project_id"), batch.column("kind").to_pylist(), batch.column("bytes"), strict=True):
+                if out is None or name.as_py() != project:
+                    yield from close()
+                    project, digest, size, count = name.as_py(), hashlib.sha256(), 0, 0
+                    place = os.path.join(folder, f"{project}.zip")
+                    out = open(f"{place}.{os.getpid()}-{os.urandom(4).hex()}", "wb")  # noqa: SIM115
+                data = piece.as_buffer()
+                out.write(data)
+                digest.update(data)
+                size, count = size + len(data), count + (kind == DIRECTORY)
+        yield from close()
+
+    os.makedirs(folder, exist_ok=True)
+    order = parts.withColumn("project_id", F.col("project_id").cast("string")).repartition("project_id").sortWithinPartitions("project_id", "kind", "pos")
+    return order.select("project_id", "kind", "bytes").mapInArrow(write, SAVED)
+
+
+def content(parts: DataFrame) -> DataFrame:
+    """project_id and the archive's bytes in one row: for small archives, which fit a row."""
+    rows = parts.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("kind", "pos", "bytes"))).alias("p"))
+    return rows.select("project_id", F.aggregate(F.transform("p", lambda x: x["bytes"]), F.lit(b""), lambda a, b: F.concat(a, b)).alias("content"))
+
+
+def place(page: Column, step: int, k: Column) -> Column:
+    """Where an entry lies: by page, then by step (0 to 15), then by k."""
+    return F.shiftleft(page.cast("long"), WITHIN) + F.lit(step << WITHIN - 4) + k
+
+
+def _named(data: Column, name: Column, step: int) -> Column:
+    return F.struct(place(F.col("at"), step, F.lit(0)).alias("pos"), name.alias("name"), data.cast("binary").alias("data"))
+
+
+#: The manifest's page: after all others.
+LAST = 1 << 38
+
+
+def _manifests(light: DataFrame, book: str, built_at: str, page: list[str]) -> DataFrame:
+    """pgdp.json of each project from a row a page: ``page`` are the fields it tells of each, ``n`` and ``crops`` are added up, ``cover`` may be null."""
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                found = {"book_name": book, "project_id": r["project_id"], "built_at": built_at, "page_count": r["n"], "illustration_count": r["crops"], "pages": [{k: p[k] for k in page} for p in r["pages"]]}
+                if r["cover"] is not None:
+                    found["cover_prefix"] = r["cover"]
+                out.append(json.dumps(found, indent=2).encode())
+            yield pa.RecordBatch.from_arrays([batch.column("project_id"), pa.array(out, pa.binary())], names=["project_id", "data"])
+
+    kind = light.schema["project_id"].dataType.simpleString()
+    cover = F.min(F.when(F.col("cover").isNotNull(), F.struct("at", "cover")))["cover"]
+    rows = light.groupBy("project_id").agg(F.sum("n").alias("n"), F.sum("crops").alias("crops"), cover.alias("cover"), F.array_sort(F.collect_list(F.struct("at", *page))).alias("pages"))
+    told = rows.mapInArrow(tell, f"project_id {kind}, data binary")
+    return told.select("project_id", F.lit(LAST << WITHIN).alias("pos"), F.lit("pgdp.json").alias("name"), "data")
+
+
+def submission(pages: DataFrame, book: str, built_at: str) -> DataFrame:
+    """project_id, pos, name, data of the entries of each project's submission.
+
+    ``pages``: project_id, pos (different in a project), prefix (null: left out), image, text, crops (array of name and content).
+    """
+    kept = pages.where("prefix is not null").withColumn("at", F.col("pos").cast("long")).withColumn("crops", F.array_sort(F.coalesce("crops", F.array().cast(pages.schema["crops"].dataType))))
+    prefix = F.col("prefix")
+    crop = lambda c, k: F.struct(place(F.col("at"), 2, k).alias("pos"), F.format_string("images/%s_%02d.%s", prefix, k + 1, F.element_at(F.split(c["name"], r"\."), -1)).alias("name"), c["content"].cast("binary").alias("data"))
+    every = F.concat(
+        F.when(F.col("image").isNotNull(), F.array(_named(F.col("image"), F.concat(prefix, F.lit(".png")), 0))).otherwise(F.array()),
+        F.when(F.col("text").isNotNull(), F.array(_named(F.col("text"), F.concat(prefix, F.lit(".txt")), 1))).otherwise(F.array()),
+        F.transform("crops", crop),
+    )
+    rows = kept.select("project_id", F.inline(every))
+    told = [F.col("prefix"), F.col("image").isNotNull().alias("has_image"), F.col("text").isNotNull().alias("has_text"), F.size("crops").alias("illustration_count")]
+    light = kept.select("project_id", "at", F.lit(None).cast("string").alias("cover"), F.col("image").isNotNull().cast("int").alias("n"), F.size("crops").alias("crops"), *told)
+    return rows.unionByName(_manifests(light, book, built_at, ["prefix", "has_image", "has_text", "illustration_count"]))
+
+
+def first_package(pages: DataFrame, book: str, built_at: str) -> DataFrame:
+    """Entries of the first kind of package, of split pages: outputs by reading order, a cover's first image as cover.png too, regions as images.
+
+    ``pages``: project_id, idx0 (different in a project), prefix, source_stem, page_type, ignore, splits (array of
+    strings), outputs (array of reading_order, full_prefix, image, text), regions (array of index, output_format, content).
     """
+    kept = pages.where(~F.coalesce(F.col("ignore"), F.lit(False))).withColumn("at", F.col("idx0").cast("long"))
+    first = F.filter("outputs", lambda o: (o["reading_order"] == 0) & o["image"].isNotNull())
+    stem = F.when(F.coalesce(F.col("prefix"), F.lit("")) != "", F.col("prefix")).otherwise(F.col("source_stem"))
+    kept = kept.withColumn("own_cover", F.when((F.col("page_type") == "cover") & (F.size(first) > 0), F.coalesce(stem, F.lit(""))))
+    chosen = kept.where("own_cover is not null").groupBy("project_id").agg(F.min("at").alias("at"), F.lit(True).alias("is_cover"))
+    kept = kept.join(chosen, ["project_id", "at"], "left").withColumn("cover", F.when(F.col("is_cover"), F.col("own_cover")))
+
+    def output(o: Column, k: Column) -> Column:
+        entry = lambda step, name, data: F.struct(place(F.col("at"), 0, 3 * k + step).alias("pos"), name.alias("name"), data.cast("binary").alias("data"))
+        alias = F.col("cover").isNotNull() & (o["reading_order"] == 0)
+        found = F.array(
+            F.when(o["image"].isNotNull(), entry(0, F.concat(o["full_prefix"], F.lit(".png")), o["image"])), F.when(alias & o["image"].isNotNull(), entry(1, F.lit("cover.png"), o["image"])),
+            F.when(o["text"].isNotNull(), entry(2, F.concat(o["full_prefix"], F.lit(".txt")), o["text"])),
+        )
+        return F.array_compact(found)
+
+    by_order = F.array_sort("outputs", lambda a, b: F.when(a["reading_order"] < b["reading_order"], -1).when(a["reading_order"] > b["reading_order"], 1).otherwise(0))
+    regions = F.filter("regions", lambda r: r["content"].isNotNull())
+    region = lambda r, k: F.struct(place(F.col("at"), 1, k).alias("pos"), F.format_string("images/%s_%02d.%s", F.col("prefix"), r["index"], r["output_format"]).alias("name"), r["content"].cast("binary").alias("data"))
+    every = F.concat(F.flatten(F.transform(by_order, output)), F.transform(regions, region))
+    rows = kept.select("project_id", F.inline(every))
+    images = F.size(F.filter("outputs", lambda o: o["image"].isNotNull()))
+    light = kept.select("project_id", "at", "cover", images.alias("n"), F.size(regions).alias("crops"), "prefix", "idx0", "page_type", "splits")
+    return rows.unionByName(_manifests(light, book, built_at, ["prefix", "idx0", "page_type", "splits"]))
 
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("pos", kind="stable")
-        project, out, listed, n, crops = frame["project_id"].iloc[0], io.BytesIO(), [], 0, 0
-        with zipfile.ZipFile(out, "w") as z:
-
-            def put(name: str, data: bytes) -> None:
-                info = zipfile.ZipInfo(name, EPOCH)
-                info.compress_type = zipfile.ZIP_DEFLATED
-                z.writestr(info, data)
-
-            for r in frame[frame["prefix"].notna()].itertuples():
-                if r.image is not None:
-                    put(f"{r.prefix}.png", r.image)
-                    n += 1
-                if r.text is not None:
-                    put(f"{r.prefix}.txt", r.text.encode())
-                of = sorted(r.crops, key=lambda c: c["name"]) if r.crops is not None else []
-                for k, c in enumerate(of, 1):
-                    put(f"images/{r.prefix}_{k:02d}.{c['name'].rsplit('.', 1)[-1]}", c["content"])
-                crops += len(of)
-                listed.append({"prefix": r.prefix, "has_image": r.image is not None, "has_text": r.text is not None, "illustration_count": len(of)})
-            put("pgdp.json", json.dumps({"book_name": book, "project_id": project, "built_at": built_at, "page_count": n, "illustration_count": crops, "pages": listed}, indent=2).encode())
-        return pd.DataFrame({"project_id": [project], "content": [out.getvalue()], "pages": [n], "crops": [crops]})
-
-    return pages.groupBy("project_id").applyInPandas(pack, PACKAGE)
+
+def build(pages: DataFrame, book: str, built_at: str) -> DataFrame:
+    """project_id, content, pages and crops of each project's submission, for archives that fit a row; larger ones are saved."""
+    counts = pages.where("prefix is not null").groupBy("project_id").agg(F.count("image").alias("pages"), F.sum(F.greatest(F.size("crops"), F.lit(0))).cast("long").alias("crops"))
+    return content(archive_parts(submission(pages, book, built_at))).join(counts, "project_id", "left").select("project_id", "content", F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("crops", F.lit(0)).alias("crops"))
 
 
 def records(packages: DataFrame) -> DataFrame:

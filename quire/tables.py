@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +40,13 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def stored(frame: DataFrame) -> DataFrame:
+    """``frame`` written to the shared folder and read from there: made once, and its lineage is cut."""
+    path = f"{shared_folder(frame.sparkSession)}/stored-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def kept_folder(spark: SparkSession, sf_dir: str, name: str, purpose: str) -> str:
     """A folder for what is derived from an input table as it is now: other files, or files of other sizes or times, give another folder."""
     files, where = _file_system(spark, f"{sf_dir}/{name}.parquet")
