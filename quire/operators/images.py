@@ -17,7 +17,13 @@ from pyspark.sql import functions as F
 BLANK_LUMA, COLOR_SHARE, COLOR_LEVEL, NARROW, DARK = 245.0, 0.05, 30, 0.5, 200
 
 
+#: Pixels of an image at most; larger ones get an error before anything is computed of them.
+MOST_PIXELS = 200_000_000
+
+
 def array(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
+    if height * width > MOST_PIXELS:
+        raise ValueError(f"image too large: {width}x{height} = {width * height} pixels (limit {MOST_PIXELS})")
     out = np.frombuffer(data, np.uint8)
     return out.reshape((height, width) if channels == 1 else (height, width, channels))
 
@@ -110,41 +116,162 @@ def flip(image: np.ndarray, horizontal: bool = False, vertical: bool = False, tu
     return np.rot90(image[::-1] if vertical else image, -turns)
 
 
-def components(mask: np.ndarray) -> np.ndarray:
-    """Numbers of connected (four neighbours) areas, 0 outside, by spreading the smallest label until it stays."""
-    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    big = mask.size + 1
+def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first column and column behind the last of each stretch of a mask, in order."""
+    h, w = mask.shape
+    edges = np.zeros((h, w + 2), np.int8)
+    edges[:, 1:-1] = mask
+    step = np.diff(edges, axis=1)
+    row, first = np.nonzero(step == 1)
+    return row, first, np.nonzero(step == -1)[1]
+
+
+def _touching(row: np.ndarray, first: np.ndarray, behind: np.ndarray, width: int, corners: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of stretches of neighbouring rows that touch, with ``corners`` at corners too."""
+    reach, wide = int(corners), width + 2
+    # The stretches of the row below that end behind this one's start and start before its end.
+    low = np.searchsorted(row * wide + behind, (row + 1) * wide + first - reach, side="right")
+    high = np.searchsorted(row * wide + first, (row + 1) * wide + behind + reach, side="left")
+    count = np.maximum(high - low, 0)
+    above = np.repeat(np.arange(len(row)), count)
+    return above, np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+
+
+def _united(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest member of each one's set after all pairs were united: roots are hooked onto smaller ones, paths halved."""
+    parent = np.arange(n)
     while True:
-        low = np.where(mask, label, big)
-        for axis in (0, 1):
-            for shift in (1, -1):
-                near = np.roll(low, shift, axis)
-                edge = [slice(None)] * 2
-                edge[axis] = 0 if shift == 1 else -1
-                near[tuple(edge)] = big
-                low = np.where(mask, np.minimum(low, near), big)
-        new = np.where(mask, low, 0)
-        if (new == label).all():
-            return label
-        label = new
-
-
-def denoise(binary: np.ndarray, least_area: int = 6) -> np.ndarray:
-    """Black areas smaller than ``least_area`` turn white."""
-    label = components(binary == 0)
-    area = np.bincount(label.ravel())
-    small = (area < least_area) & (np.arange(len(area)) > 0)
-    return np.where(small[label], 255, binary).astype(np.uint8)
-
-
-def zones(binary: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Boxes (x, y, w, h) of the black areas, in order of y and x."""
-    label = components(binary == 0)
-    out = []
-    for k in np.unique(label[label > 0]):
-        y, x = np.nonzero(label == k)
-        out.append((int(x.min()), int(y.min()), int(x.max() - x.min() + 1), int(y.max() - y.min() + 1)))
-    return sorted(out, key=lambda b: (b[1], b[0]))
+        x, y = parent[a], parent[b]
+        apart = x != y
+        if not apart.any():
+            return parent
+        np.minimum.at(parent, np.maximum(x[apart], y[apart]), np.minimum(x[apart], y[apart]))
+        while True:
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent = up
+
+
+def areas(mask: np.ndarray, corners: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of a mask (row, first, behind), the number of each one's connected area, and the areas' pixels.
+
+    Work is in proportion to the stretches, whatever the areas' shapes; areas are numbered in order of their first pixel.
+    """
+    row, first, behind = _runs(mask)
+    root = _united(len(row), *_touching(row, first, behind, mask.shape[1], corners))
+    _, number = np.unique(root, return_inverse=True)
+    return row, first, behind, number, np.bincount(number, weights=behind - first).astype(np.int64)
+
+
+def components(mask: np.ndarray, corners: bool = False) -> np.ndarray:
+    """Numbers of connected (four neighbours, with ``corners`` eight) areas from 1 on, 0 outside."""
+    row, first, behind, number, _ = areas(mask, corners)
+    change = np.zeros((mask.shape[0], mask.shape[1] + 1), np.int64)
+    np.add.at(change, (row, first), number + 1)
+    np.add.at(change, (row, behind), -number - 1)
+    return change.cumsum(axis=1)[:, :-1]
+
+
+def median(binary: np.ndarray, size: int) -> np.ndarray:
+    """Each pixel of a black and white image as most of the ``size`` times ``size`` around it; edges go on outside."""
+    if size < 3:
+        return binary
+    h, w = binary.shape
+    sums = np.pad(np.pad(binary > 127, size // 2, mode="edge").astype(np.int64).cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+    white = sums[size : size + h, size : size + w] - sums[:h, size : size + w] - sums[size : size + h, :w] + sums[:h, :w]
+    return np.where(2 * white > size * size, 255, 0).astype(np.uint8)
+
+
+def denoise(binary: np.ndarray, least_area: int = 6, median_size: int = 0, white_text: bool = False) -> np.ndarray:
+    """Black areas smaller than ``least_area`` turn white, after a median filter if it has a size; with ``white_text`` white ones turn black."""
+    page = median(255 - binary if white_text else binary, median_size)
+    row, first, behind, number, size = areas(page == 0)
+    change = np.zeros((page.shape[0], page.shape[1] + 1), np.int8)
+    small = size[number] < least_area
+    np.add.at(change, (row[small], first[small]), 1)
+    np.add.at(change, (row[small], behind[small]), -1)
+    out = np.where(change.cumsum(axis=1, dtype=np.int8)[:, :-1] > 0, 255, page).astype(np.uint8)
+    return 255 - out if white_text else out
+
+
+def zones(binary: np.ndarray, least_area: int = 1, corners: bool = False) -> list[tuple[int, int, int, int]]:
+    """Boxes (x, y, w, h) of the black areas of ``least_area`` pixels, in order of y and x."""
+    row, first, behind, number, size = areas(binary == 0, corners)
+    low, high = np.full((2, len(size)), max(binary.shape), np.int64), np.zeros((2, len(size)), np.int64)
+    for k, values in enumerate((first, row)):
+        np.minimum.at(low[k], number, values)
+    for k, values in enumerate((behind, row + 1)):
+        np.maximum.at(high[k], number, values)
+    kept = size >= least_area
+    boxes = zip(*(v[kept].tolist() for v in (*low, *(high - low))), strict=True)
+    return sorted(boxes, key=lambda b: (b[1], b[0]))
+
+
+def resample(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """An image in another size; each new pixel is the mean of the area that it covers."""
+
+    def shares(n: int, m: int) -> np.ndarray:
+        edge = np.arange(m + 1) * n / m
+        cell = np.arange(n)
+        return np.clip(np.minimum(edge[1:, None], cell + 1) - np.maximum(edge[:-1, None], cell), 0, None) * m / n
+
+    down, across = shares(image.shape[0], height), shares(image.shape[1], width)
+    out = np.tensordot(down, image.astype(float), axes=(1, 0))
+    out = np.moveaxis(np.tensordot(out, across, axes=(1, 1)), -1, 1)
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+
+
+def turned(image: np.ndarray, degrees: float, fill: int = 255) -> np.ndarray:
+    """An image turned around its middle, counter-clockwise; each pixel is taken between the four around where it was."""
+    h, w = image.shape[:2]
+    angle = np.deg2rad(degrees)
+    y, x = np.mgrid[:h, :w].astype(float)
+    y, x = y - (h - 1) / 2, x - (w - 1) / 2
+    from_x, from_y = np.cos(angle) * x - np.sin(angle) * y + (w - 1) / 2, np.sin(angle) * x + np.cos(angle) * y + (h - 1) / 2
+    framed = np.pad(image.astype(float), ((1, 1), (1, 1), *[(0, 0)] * (image.ndim - 2)), constant_values=fill)
+    at_y, at_x = np.clip(from_y + 1, 0, h + 1), np.clip(from_x + 1, 0, w + 1)
+    top, left = np.minimum(at_y.astype(int), h), np.minimum(at_x.astype(int), w)
+    down, right = at_y - top, at_x - left
+    if image.ndim == 3:
+        down, right = down[..., None], right[..., None]
+    upper = framed[top, left] * (1 - right) + framed[top, left + 1] * right
+    lower = framed[top + 1, left] * (1 - right) + framed[top + 1, left + 1] * right
+    return np.clip(np.rint(upper * (1 - down) + lower * down), 0, 255).astype(np.uint8)
+
+
+def skew(binary: np.ndarray, most: float = 5.0, steps: tuple[float, ...] = (0.5, 0.1, 0.02)) -> float:
+    """Degrees, counter-clockwise, by which the black lines of a page rise: where the profile of its rows is sharpest.
+
+    The sharpest of the angles a step apart is searched around with the next smaller step.  An empty page has 0.
+    """
+    y, x = np.nonzero(binary == 0)
+    if not len(y):
+        return 0.0
+    best, x = 0.0, x - binary.shape[1] / 2
+    for k, step in enumerate(steps):
+        reach = most if not k else steps[k - 1]
+        tries = best + np.arange(-round(reach / step), round(reach / step) + 1) * step
+        rows = [np.rint(y + x * np.tan(np.deg2rad(a))).astype(np.int64) for a in tries]
+        sharp = [(np.bincount(r - r.min()).astype(float) ** 2).sum() for r in rows]
+        # Of equal ones the smallest turn.
+        best = float(min(tries[np.flatnonzero(np.array(sharp) == max(sharp))], key=abs))
+    return best
+
+
+def deskew(image: np.ndarray, most: float = 5.0, fill: int = 255) -> np.ndarray:
+    return turned(image, -skew(threshold(image), most), fill)
+
+
+def on_canvas(image: np.ndarray, height: int, width: int, align: str = "default", fill: int = 255) -> np.ndarray:
+    """An image scaled to fit a canvas and laid on it, in the middle across; ``align`` is top, bottom, center or default, a third of the room above."""
+    scale = min(height / image.shape[0], width / image.shape[1])
+    h, w = max(1, min(height, round(image.shape[0] * scale))), max(1, min(width, round(image.shape[1] * scale)))
+    out = np.full((height, width, *image.shape[2:]), fill, np.uint8)
+    top = {"top": 0, "bottom": height - h, "center": (height - h) // 2}.get(align, (height - h) // 3)
+    left = (width - w) // 2
+    out[top : top + h, left : left + w] = resample(image, h, w)
+    return out
 
 
 def chain(images: DataFrame, key: str, steps: list[Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
