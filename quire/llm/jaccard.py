@@ -6,9 +6,12 @@
    shingles in that order, their prefixes.
 3. Documents with equal sets are one class; classes with equal prefixes and sizes are one group.  Only groups
    are listed under the shingles of their prefix.
-4. Group pairs that share a prefix shingle are filtered by size and by position; those left are expanded to
-   their members' pairs and verified on the whole sets.  A prefix shingle that no other group has can't be
-   shared, so positions count the others only, which rules out nearly all pairs that aren't alike.
+4. Group pairs that share a prefix shingle are filtered by size, by position and by sketch; those left are expanded to
+   their members' pairs and verified on the whole sets, each pair once.  A prefix shingle that no other group has can't be
+   shared, so positions count the others only.  The position has to leave enough shingles behind the first shared
+   one, which is where a pair has to meet.  A sketch tells for each of ``SKETCH`` bits whether an odd number of the
+   set's shingles fall on it: two sketches differ in no more bits than their sets have shingles that aren't shared, which
+   rules out nearly all pairs that aren't alike, by an exact bound, of sets up to about twice that size.
 5. Verified links are joined to components by the smallest class reachable.
 
 Near copies by the thousand would give pairs by the million, so the groups listed under a shingle meet in
@@ -45,6 +48,11 @@ WORDS = 5
 PERCENT = 80
 BUCKETS = 1 << 20
 SLICES = 64
+#: Bits of a set's sketch, and the long columns that hold them.
+SKETCH = 512
+LONGS = [f"s{k}" for k in range(SKETCH // 64)]
+#: Rows whose sketches are made at a time.
+SKETCHED = 1024
 #: Slots of a list in a round for each in the round before.
 GROWTH = 8
 #: One list in so many is worked on in the first round.
@@ -80,6 +88,18 @@ def _classes(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def sketches(doc: np.ndarray, hashes: np.ndarray, rows: int) -> np.ndarray:
+    """A row of ``SKETCH`` bits, as bytes, for each text: whether an odd number of its shingles fall on the bit."""
+    out = np.zeros((rows, SKETCH // 8), np.uint8)
+    bit = ((hashes >> np.uint64(8)) % np.uint64(SKETCH)).astype(np.int64)
+    for first in range(0, rows, SKETCHED):
+        last = min(first + SKETCHED, rows)
+        a, b = np.searchsorted(doc, [first, last])
+        odd = np.bincount((doc[a:b] - first) * SKETCH + bit[a:b], minlength=(last - first) * SKETCH) & 1
+        out[first:last] = np.packbits(odd.reshape(last - first, SKETCH).astype(bool), axis=1, bitorder="little")
+    return out
+
+
 def levels(docs: DataFrame) -> np.ndarray:
     """By bucket 0, or for buckets that stand out 8 times the binary logarithm of their shingles' occurrences in the corpus."""
     width = BUCKETS // SLICES
@@ -112,7 +132,7 @@ def levels(docs: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, level: np.ndarray) -> DataFrame:
-    """doc_id, text's hash, n shingles, class (a hash of the set) and prefix (its shingles, eight bytes each); n is 0 and the rest null without shingles."""
+    """doc_id, text's hash, n shingles, class (a hash of the set), prefix (its shingles, eight bytes each) and sketch; n is 0 and the rest null without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,12 +145,20 @@ def prefixes(docs: DataFrame, level: np.ndarray) -> DataFrame:
                 ordered = hashes[order]
                 length = prefix_length(n)
                 found = [ordered[a : a + p].tobytes() if k else None for a, p, k in zip(start, length, n, strict=True)]
+                sketch = [x.tobytes() if k else None for x, k in zip(sketches(doc, hashes, rows), n, strict=True)]
                 ids, keys = (batch.column(c).slice(first, rows) for c in ("doc_id", "text_key"))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, keys, pa.array(n, pa.int64()), pa.array(classes, mask=n == 0), pa.array(found, pa.binary())], names=["doc_id", "text_key", "n", "class", "prefix"]
+                    [ids, keys, pa.array(n, pa.int64()), pa.array(classes, mask=n == 0), pa.array(found, pa.binary()), pa.array(sketch, pa.binary())],
+                    names=["doc_id", "text_key", "n", "class", "prefix", "sketch"],
                 )
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, n long, class long, prefix binary")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, n long, class long, prefix binary, sketch binary")
+
+
+def _longs(sketch: Column) -> list[Column]:
+    """A sketch as long columns."""
+    part = lambda k: F.conv(F.hex(F.substring(sketch, 8 * k + 1, 8)), 16, -10).cast("long")
+    return [part(k).alias(name) for k, name in enumerate(LONGS)]
 
 
 def _listed(groups: DataFrame, level: np.ndarray) -> DataFrame:
@@ -140,6 +168,7 @@ def _listed(groups: DataFrame, level: np.ndarray) -> DataFrame:
         for batch in batches:
             group, last, n = (batch.column(c).to_numpy() for c in ("group", "last", "n"))
             packed = batch.column("prefix").to_pylist()
+            sketch = {c: batch.column(c) for c in LONGS}
             size = np.array([len(p) // 8 for p in packed])
             place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             token = np.frombuffer(b"".join(packed), np.uint64)
@@ -151,9 +180,13 @@ def _listed(groups: DataFrame, level: np.ndarray) -> DataFrame:
                 "place": pa.array(place, pa.int32()),
                 "frequent": pa.array(level[_bucket(token)] > 0),
             }
+            of = pa.array(np.repeat(np.arange(len(batch)), size))
+            columns |= {c: v.take(of) for c, v in sketch.items()}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return groups.select("group", "last", "n", "prefix").mapInArrow(run, "token long, node long, last long, n long, place int, frequent boolean")
+    # The classes of a group have different sketches.
+    one = groups.withColumn("sketch", F.when(F.col("group") == F.col("last"), F.col("sketch"))).select("group", "last", "n", "prefix", *_longs(F.col("sketch")))
+    return one.mapInArrow(run, "token long, node long, last long, n long, place int, frequent boolean, " + ", ".join(f"{c} long" for c in LONGS))
 
 
 def _least_shared(n: Column, m: Column) -> Column:
@@ -162,10 +195,10 @@ def _least_shared(n: Column, m: Column) -> Column:
 
 
 def lists(groups: DataFrame, level: np.ndarray) -> DataFrame:
-    """The prefix shingles that several groups of fitting sizes have, and these groups: token, node (a group), several (whether it has more classes than one), n, before, rest, low, high.
+    """The prefix shingles that several groups of fitting sizes have, and these groups: token, node (a group), several (whether it has more classes than one), n, before, rest, low, high and the sketch.
 
     ``before`` are shingles ahead of this one that such others have too, ``rest`` is how many others may have of
-    this one and those behind it; together they tell how much of the group none of them has.  A shingle of an
+    this one and those behind it.  A shingle of an
     ordinary bucket occurs about as often as the bucket's others at most, so the window by shingle has no
     key that stands out; those of frequent buckets are taken for shared without being counted.
     """
@@ -178,7 +211,7 @@ def lists(groups: DataFrame, level: np.ndarray) -> DataFrame:
     place = F.row_number().over(node.orderBy("place", "token")).cast("long")
     shared = F.count("*").over(node.orderBy("place", "token").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     prefix = prefix_length(F.col("n"))
-    marked = rare.unionByName(every.where("frequent")).select("token", "node", "last", "n", place.alias("k"), shared.alias("shared"))
+    marked = rare.unionByName(every.where("frequent")).select("token", "node", "last", "n", place.alias("k"), shared.alias("shared"), *LONGS)
     return marked.select(
         "token",
         "node",
@@ -188,6 +221,7 @@ def lists(groups: DataFrame, level: np.ndarray) -> DataFrame:
         (F.col("n") - prefix + F.col("shared") - F.col("k") + 1).alias("rest"),
         F.col("node").alias("low"),
         F.col("last").alias("high"),
+        *LONGS,
     )
 
 
@@ -303,13 +337,16 @@ def _renamed(frame: DataFrame, merged: DataFrame, column: str) -> DataFrame:
 
 def _meet(state: DataFrame, hubs: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs of classes (a, b, and their components) of the pairs of groups that pass the filters."""
-    other = hubs.select("token", *(F.col(c).alias(f"{c}2") for c in ("node", "several", "n", "before", "rest", "low", "high")))
+    other = hubs.select("token", *(F.col(c).alias(f"{c}2") for c in ("node", "several", "n", "rest", "low", "high", *LONGS)))
     col = F.col
+    least = _least_shared(col("n"), col("n2"))
+    apart = sum((F.bit_count(col(c).bitwiseXOR(col(f"{c}2"))) for c in LONGS), F.lit(0))
     fits = (
         ((col("node") != col("node2")) | (col("several") != col("several2")))
         & (F.least("low", "low2") != F.greatest("high", "high2"))
         & (100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2"))
-        & (F.least("before", "before2") + F.least("rest", "rest2") >= _least_shared(col("n"), col("n2")))
+        & (F.least("rest", "rest2") >= least)
+        & F.coalesce(apart <= col("n") + col("n2") - 2 * least, F.lit(True))
     )
     one, two = F.struct("node", "several", "low"), F.struct(col("node2").alias("node"), col("several2").alias("several"), col("low2").alias("low"))
     pairs = state.join(other, "token").where(fits).select(one.alias("x"), two.alias("y")).select(F.when(col("x") < col("y"), col("x")).otherwise(col("y")).alias("p"), F.greatest("x", "y").alias("q")).distinct()
@@ -320,13 +357,16 @@ def _meet(state: DataFrame, hubs: DataFrame, members: DataFrame) -> DataFrame:
     return pairs.where("of_a <> of_b").select("a", "b", "of_a", "of_b").distinct()
 
 
-def _round(state: DataFrame, members: DataFrame, number: int, tables: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pairs to verify, lists still to work on, hubs to forget)."""
+def _round(state: DataFrame, members: DataFrame, checked: list[DataFrame], number: int, tables: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs to verify, none of those ``checked`` before, lists still to work on, hubs to forget)."""
     slot = F.pmod(F.xxhash64("node", "several", F.lit(number)), F.lit(GROWTH**number))
     own = (F.col("n") - F.col("before") - F.col("rest")) / prefix_length(F.col("n"))
-    hub = F.min(F.struct(own.cast("float").alias("own"), "node", "several", "n", "before", "rest", "low", "high")).alias("hub")
+    hub = F.min(F.struct(own.cast("float").alias("own"), "node", "several", "n", "before", "rest", "low", "high", *LONGS)).alias("hub")
     hubs = tables.store(state.groupBy("token", slot.alias("slot")).agg(hub))
-    pairs = tables.store(_meet(state, hubs.select("token", "hub.*"), members))
+    met = _meet(state, hubs.select("token", "hub.*"), members)
+    for before in checked:
+        met = met.join(before.select("a", "b"), ["a", "b"], "left_anti")
+    pairs = tables.store(met)
     stays = (F.col("node") != F.col("hub.node")) | (F.col("several") != F.col("hub.several"))
     left = state.withColumn("slot", slot).join(hubs, ["token", "slot"]).where(stays).select(*state.columns)
     return pairs, left, hubs
@@ -335,20 +375,22 @@ def _round(state: DataFrame, members: DataFrame, number: int, tables: Tables) ->
 def links(groups: DataFrame, classes: DataFrame, level: np.ndarray, docs: DataFrame, tables: Tables) -> DataFrame | None:
     """All verified links (a, b) that components need; none if no two groups meet."""
     several = groups.where(F.col("group") != F.col("last")).select("n", "key", "group")
-    members = tables.store(classes.join(several, ["n", "key"]).select("class", "group", "n", F.col("class").alias("component")))
+    members = tables.store(classes.join(several, ["n", "key"]).select("class", "group", "n", F.col("class").alias("component"), *_longs(F.col("sketch"))))
     # Members of one group share their whole prefix, as if it were one more shingle.
     inside = members.select(
         F.xxhash64("group", F.lit("inside")).alias("token"), F.col("class").alias("node"), F.lit(False).alias("several"), "n", F.lit(0).cast("long").alias("before"), F.col("n").alias("rest"),
-        F.col("class").alias("low"), F.col("class").alias("high"),
+        F.col("class").alias("low"), F.col("class").alias("high"), *LONGS,
     )
     every = tables.store(lists(groups, level).unionByName(inside))
     first = F.pmod(F.xxhash64("token"), F.lit(FIRST)) == 0
     state, others, done = every.where(first), every.where(~first), [every]
     found: list[DataFrame] = []
+    checked: list[DataFrame] = []
     number = 0
     while others is not None or not state.isEmpty():
-        pairs, left, hubs = _round(state, members, number, tables)
-        left, old = left if others is None else left.unionByName(others), [pairs, hubs]
+        pairs, left, hubs = _round(state, members, checked, number, tables)
+        left, old = left if others is None else left.unionByName(others), [hubs]
+        checked.append(pairs)
         one = None if pairs.isEmpty() else _verified(pairs, docs, classes, tables)
         if one is not None and not one.isEmpty():
             found.append(one)
@@ -368,7 +410,7 @@ def links(groups: DataFrame, classes: DataFrame, level: np.ndarray, docs: DataFr
         tables.drop(named)
         others, done = None, [state]
         number += 1
-    tables.drop(*done, members)
+    tables.drop(*done, *checked, members)
     out = None
     for one in found:
         out = one.select("a", "b") if out is None else out.union(one.select("a", "b"))
@@ -388,8 +430,8 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     level = levels(rows)
     found = tables.store(prefixes(rows, level).withColumn("key", F.xxhash64("prefix")))
     full = found.where("n > 0")
-    classes = tables.store(full.groupBy("n", "key", "class").agg(F.min("text_key").alias("text_key"), F.min("doc_id").alias("doc_id")))
-    groups = full.groupBy("n", "key").agg(F.min("class").alias("group"), F.max("class").alias("last"), F.first("prefix").alias("prefix"))
+    classes = tables.store(full.groupBy("n", "key", "class").agg(F.min("text_key").alias("text_key"), F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")))
+    groups = full.groupBy("n", "key").agg(F.min("class").alias("group"), F.max("class").alias("last"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
     verified = links(groups, classes, level, rows, tables)
     same = _of_one_id(full.select("doc_id", "class"))
     joined = components(same if verified is None else verified.union(same), tables)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -130,3 +131,40 @@ def test_edges(spark):
     assert by[5]["component_id"] == 4
     assert sorted((r["n_shingles"], r["component_id"]) for r in found if r["doc_id"] == 4) == [(1, 4), (1, 4), (2, 4)]
     assert jaccard_join(documents(spark, [])).count() == 0
+
+
+def near_but_unlinked(n: int):
+    """Documents of one template, each with enough words of its own that no two link: similarities of about 0.7, three links among them."""
+    template = prose(21, 120, 10_000).split()
+    rows = []
+    for k in range(n):
+        w = list(template)
+        for j in range(3):
+            w[(k * 7 + j * 40) % 120] = f"own{k}x{j}"
+        rows.append((k, " ".join(w)))
+    return rows + [(n + k, rows[k * 5][1] + " more") for k in range(3)]
+
+
+def test_near_but_unlinked_documents_are_verified_once(spark, monkeypatch):
+    pairs, rows = [], near_but_unlinked(400)
+    verified = jaccard._verified
+
+    def counted(found, *more):
+        pairs.extend((r["a"], r["b"]) for r in found.collect())
+        return verified(found, *more)
+
+    monkeypatch.setattr(jaccard, "_verified", counted)
+    start = time.time()
+    assert result(jaccard_join(documents(spark, rows))) == brute(rows)
+    assert time.time() - start < 120
+    assert len({frozenset(p) for p in pairs}) == len(pairs) <= 403 * 402 // 2
+
+
+def test_sketches_never_rule_out_a_link():
+    r = np.random.default_rng(1)
+    for n in (1, 5, 90, 700, 5000):
+        x = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+        for changed in (0, 1, len(x) // 10, len(x) // 9):
+            y = np.concatenate([x[changed:], r.integers(0, 1 << 63, changed).astype(np.uint64)])
+            found = jaccard.sketches(np.repeat([0, 2], [len(x), len(y)]), np.concatenate([x, y]), 3)
+            assert np.bitwise_count(found[0] ^ found[2]).sum() <= len(np.setxor1d(x, y)) and not found[1].any()
