@@ -78,11 +78,15 @@ def newest(rows: DataFrame, by: str, order: Sequence[Column], n: int) -> DataFra
 
 
 def zone_rows(pages: DataFrame, states: DataFrame) -> DataFrame:
-    """Each page's zone state, and its number of zones where they are found; ``states``: key, status, zones (JSON)."""
+    """Each page's zone state, and its number of zones where they are found; ``states``: key, status, zones (JSON).
+
+    The artifact is an object with ``zones``; the bare list of older ones counts too.
+    """
     out = pages.join(states, ["project_id", "idx0"], "left")
     status = F.col("status")
     state = F.when(status == "clean", "reviewed").when(status == "dirty", "flagged").when(status.isin("running", "failed"), status).otherwise("clean")
-    zones = F.when(status == "clean", F.size(F.from_json("zones", "array<string>")))
+    found = F.coalesce(F.from_json("zones", "struct<zones:array<string>>")["zones"], F.from_json("zones", "array<string>"))
+    zones = F.when((status == "clean") & found.isNotNull(), F.size(found))
     return out.select("project_id", "idx0", state.alias("state"), zones.alias("zones"))
 
 
