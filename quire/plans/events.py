@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from quire.fixtures import oracle
 from quire.operators import images as I
 from quire.registry import query
 from quire.streaming import events as E
-from quire.tables import table
+from quire.streaming import fold
+from quire.tables import shared_folder, table
 
 
 def _pixels(spark: SparkSession, d: str) -> DataFrame:
@@ -44,3 +47,29 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
 @query(oracle("SELECT project_id, MIN(ts) AS start, COUNT(*) AS events FROM (SELECT *, SUM(n) OVER (PARTITION BY project_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts - LAG(ts) OVER (PARTITION BY project_id ORDER BY ts, seq) < INTERVAL 20 MINUTE THEN 0 ELSE 1 END AS n FROM fx_page_stages)) GROUP BY project_id, s", "fx_page_stages"))
 def event_sessions(spark: SparkSession, d: str) -> DataFrame:
     return E.sessions(fx.page_stages(spark, d), "20 minutes").select("project_id", "start", "events")
+
+
+_FOLDED = """SELECT project_id, page_no, stage_ord, arg_max(status, k) AS status, arg_max(seq, k) AS seq, CAST(COUNT(*) FILTER (before IS DISTINCT FROM status) AS INT) AS changes, CAST(COUNT(*) AS INT) AS events
+FROM (SELECT *, row_number() OVER w AS k, lag(status) OVER w AS before FROM {rows} WINDOW w AS (PARTITION BY project_id, page_no, stage_ord ORDER BY ts, seq)) GROUP BY project_id, page_no, stage_ord"""
+
+
+@query(oracle(_FOLDED.format(rows="fx_page_stages"), "fx_page_stages"))
+def folded_states(spark: SparkSession, d: str) -> DataFrame:
+    """The log folded into the last state of each key, with the number of changes and events, in batch."""
+    return fold.states_in_batch(fx.page_stages(spark, d))
+
+
+@query(oracle(_FOLDED.format(rows="(SELECT * FROM fx_page_stages WHERE epoch_ms(ts) <= (SELECT MAX(epoch_ms(ts)) - 3600000 FROM fx_page_stages))"), "fx_page_stages"))
+def streamed_states(spark: SparkSession, d: str) -> DataFrame:
+    """The same by a stream over the log, as far as its watermark has come, an hour behind the last event."""
+    rows, before = fx.page_stages(spark, d), spark.conf.get(fold.STORE[0], None)
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{folder}/log")
+    spark.conf.set(*fold.STORE)
+    try:
+        found = fold.states(E.read(spark, f"{folder}/log", rows.schema, 1000), "1 hour")
+        found.writeStream.format("parquet").option("path", f"{folder}/states").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(fold.STORE[0]) if before is None else spark.conf.set(fold.STORE[0], before)
+    held = spark.read.schema(fold.STATE).parquet(f"{folder}/states")
+    return held.groupBy(*fold.KEY).agg(F.max_by(F.struct("status", "seq", "changes", "events"), "events").alias("s")).select(*fold.KEY, "s.*")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire import fixtures as fx
 from quire.fixtures import oracle
+from quire.functions import lineends as E
 from quire.functions import text as T
 from quire.operators import words as words_
 from quire.registry import query
@@ -217,3 +218,19 @@ def file_stems(spark: SparkSession, d: str) -> DataFrame:
 
     path = F.concat(F.regexp_replace("url", "^[a-z]+://", ""), F.when(F.col("page_id") % 3 == 0, ".PNG").when(F.col("page_id") % 3 == 1, ".txt").otherwise(""))
     return table(spark, d, "pages").select("page_id", T.flat_stem(path).alias("flat"), T.file_stem(path).alias("stem"), T.is_image(path).alias("image"))
+
+
+_ENDS = rf"""(?i)-\n((?:on|ing)(?:{"|".join(E.ENDINGS)})?(?:{E.PUNCTUATION.replace("'", "''")}{{1,4}}[^\s]*)?)[\n ]"""
+
+
+@query(oracle(f"SELECT project_id, idx0, regexp_replace(regexp_replace(raw_text, '{_ENDS}', '\\1' || chr(10), 'g'), ' ([:;!?])', '\\1', 'g') AS page_text FROM fx_text", "fx_text"))
+def joined_line_ends(spark: SparkSession, d: str) -> DataFrame:
+    """Words broken before common endings put together, spaces before closing signs taken out."""
+    text = E.close_up(E.join_endings(F.col("raw_text"), ["on", "ing"]))
+    return fx.text(spark, d).select("project_id", "idx0", text.alias("page_text"))
+
+
+@query(oracle("SELECT project_id, idx0, regexp_replace(regexp_replace(raw_text, ' *— *', '--', 'g'), ' *--{1,2} *', '--', 'g') AS page_text FROM fx_text", "fx_text"))
+def tidied_dashes(spark: SparkSession, d: str) -> DataFrame:
+    """Dashes of page text; no line of it ends or starts with one, which only lookarounds could say in SQL."""
+    return fx.text(spark, d).select("project_id", "idx0", E.tidy_dashes(F.col("raw_text")).alias("page_text"))
