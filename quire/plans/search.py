@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import search as S
+from quire.operators import snippets
 from quire.operators import textindex as T
 from quire.operators.querylang import MARKED, PLAIN
 from quire.registry import query
@@ -170,3 +171,10 @@ def repaired_index(spark: SparkSession, d: str) -> DataFrame:
     before = T.build(table(spark, d, "documents").select("source", "doc_id", "text"), folder, KEY)
     after = T.repaired(before, _changed(spark, d))
     return after.postings().select("source", "doc_id", "token", F.size("positions").cast("long").alias("tf"), F.col("positions")[0].cast("long").alias("first"))
+
+
+@query()
+def found_snippets(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that a search of several phrases finds, with the words that show most of them; compared with another engine's in tests."""
+    text = '"in the" AND than OR than nd*'
+    return snippets.with_snippets(T.search(kept_index(spark, d), text), table(spark, d, "documents"), text, KEY).select("source", "doc_id", "snippet")

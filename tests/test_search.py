@@ -123,3 +123,22 @@ def test_null_empty_and_no_pages(spark, tmp_path):
     assert T.search(none, "fox").count() == 0 and none.pages().count() == 0
     assert result(T.search(T.upsert(none, frame(spark, rows)), "fox")) == by_sqlite(rows, "fox")
     assert index.postings().select(F.max("length")).first()[0] == 2
+
+
+@pytest.mark.parametrize("query", QUERIES)
+def test_snippets_are_those_of_sqlite(spark, query):
+    from quire.operators.ranking import Query
+    from quire.operators.snippets import snippet, with_snippets
+
+    r = random.Random(11)
+    rows = [("a", k, " ".join(r.choice(WORDS) + r.choice(["", "", "", ",", ".", ": ", "\n"]) for _ in range(r.randrange(1, 70))).strip()) for k in range(150)]
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE f USING fts5(project UNINDEXED, page UNINDEXED, text, tokenize='unicode61 remove_diacritics 2')")
+    con.executemany("INSERT INTO f VALUES (?, ?, ?)", [(p, i, t.replace("ſ", "s")) for p, i, t in rows])
+    want = dict(con.execute("SELECT page, snippet(f, 2, '', '', '...', 15) FROM f WHERE f MATCH ?", (query.replace("ſ", "s"),)))
+    text = {i: t.replace("ſ", "s") for _, i, t in rows}
+    assert {i: snippet(text[i], Query.of(query)) for i in want} == want
+    if query == "fox dog":
+        pages = frame(spark, rows)
+        found = with_snippets(S.search(pages, query, ["project", "page"]), pages, query, ["project", "page"])
+        assert {r["page"]: r["snippet"].replace("ſ", "s") for r in found.collect()} == want
