@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import fixtures as X
@@ -34,7 +34,10 @@ def _saved(spark: SparkSession, parts: DataFrame) -> tuple[DataFrame, DataFrame]
     return saved, archives.files(spark, f"{folder}/*.zip")
 
 
-_PROJECT = F.regexp_extract("path", r"([^/]+)\.zip$", 1)
+def _project() -> Column:
+    return F.regexp_extract("path", r"([^/]+)\.zip$", 1)
+
+
 _ENTRIES = f"""WITH fx_pages AS ({X.SQL["fx_pages"]}), p AS (SELECT f.*, d.text FROM fx_pages f JOIN documents d ON d.doc_id = f.doc_id WHERE page_type <> 'skip'),
 e AS (SELECT project_id, {_PREFIX} || '.png' AS entry, text AS data FROM p WHERE page_type <> 'blank' AND text IS NOT NULL
   UNION ALL SELECT project_id, {_PREFIX} || '.txt', text FROM p WHERE text IS NOT NULL
@@ -47,7 +50,7 @@ def package_entries(spark: SparkSession, d: str) -> DataFrame:
     """Every entry of every submission but the manifest, as it comes back out of the archive."""
     _, found = _saved(spark, packages.archive_parts(packages.submission(_pages(spark, d), "A book", BUILT)))
     back = archives.entries(found).where("entry <> 'pgdp.json'")
-    return back.select(_PROJECT.alias("project_id"), "entry", "size", F.md5("content").alias("digest"))
+    return back.select(_project().alias("project_id"), "entry", "size", F.md5("content").alias("digest"))
 
 
 @query(
@@ -57,7 +60,7 @@ def package_entries(spark: SparkSession, d: str) -> DataFrame:
 def package_manifests(spark: SparkSession, d: str) -> DataFrame:
     """What packages say of themselves, and whether what was recorded while they were written is so."""
     records, found = _saved(spark, packages.archive_parts(packages.submission(_pages(spark, d), "A book", BUILT)))
-    told = archives.package_manifests(found, _PROJECT)
+    told = archives.package_manifests(found, _project())
     both = told.join(records.select(F.col("project_id").alias("project"), F.col("sha256").alias("s"), "file_count"), "project")
     return both.select("project", "pages", "canvas", "built", "files", ((F.col("sha256") == F.col("s")) & (F.col("files") == F.col("file_count"))).alias("same"))
 
@@ -82,4 +85,4 @@ def first_package_entries(spark: SparkSession, d: str) -> DataFrame:
     )
     _, found = _saved(spark, packages.archive_parts(packages.first_package(rows, "A book", BUILT)))
     back = archives.entries(found).where("entry <> 'pgdp.json'")
-    return back.select(_PROJECT.alias("project_id"), "entry", F.md5("content").alias("digest"))
+    return back.select(_project().alias("project_id"), "entry", F.md5("content").alias("digest"))
