@@ -18,8 +18,9 @@ Near copies by the thousand would give pairs by the million, so the groups liste
 rounds.  In a round every list is dealt into slots, ``GROWTH`` times as many as in the round before, and the
 group of each slot with the fewest shingles of its own, so the likeliest original, is a hub: all groups of the
 list meet it, and it leaves the list.  Groups that the links found so far have joined already don't meet, and a
-list leaves once it is all one component.  Alike groups share most of their shingles, so the first round works on
-the lists of one shingle in ``FIRST``, and finds most lists joined when the others come in.  A group has the smallest and the largest component of its classes,
+list leaves once it is all one component.  Alike groups share most of their shingles, the rarest among them, so a pass
+over the first ``FIRST`` of each group's shared shingles goes ahead of all rounds and finds most lists joined before they
+are worked on.  A group has the smallest and the largest component of its classes,
 so a pair is passed over only where these are all one; pairs of classes are passed over where their two
 components are equal.  No pair with different components is left unverified, so components are exact.  The
 classes of one group share their whole prefix and meet in a list of their own.
@@ -55,8 +56,8 @@ LONGS = [f"s{k}" for k in range(SKETCH // 64)]
 SKETCHED = 1024
 #: Slots of a list in a round for each in the round before.
 GROWTH = 8
-#: One list in so many is worked on in the first round.
-FIRST = 16
+#: Shared shingles of each group that are worked on ahead of all.
+FIRST = 2
 #: Tasks over which the pairs of one hub are spread.
 SPREAD = 256
 
@@ -168,7 +169,6 @@ def _listed(groups: DataFrame, level: np.ndarray) -> DataFrame:
         for batch in batches:
             group, last, n = (batch.column(c).to_numpy() for c in ("group", "last", "n"))
             packed = batch.column("prefix").to_pylist()
-            sketch = {c: batch.column(c) for c in LONGS}
             size = np.array([len(p) // 8 for p in packed])
             place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             token = np.frombuffer(b"".join(packed), np.uint64)
@@ -180,13 +180,9 @@ def _listed(groups: DataFrame, level: np.ndarray) -> DataFrame:
                 "place": pa.array(place, pa.int32()),
                 "frequent": pa.array(level[_bucket(token)] > 0),
             }
-            of = pa.array(np.repeat(np.arange(len(batch)), size))
-            columns |= {c: v.take(of) for c, v in sketch.items()}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    # The classes of a group have different sketches.
-    one = groups.withColumn("sketch", F.when(F.col("group") == F.col("last"), F.col("sketch"))).select("group", "last", "n", "prefix", *_longs(F.col("sketch")))
-    return one.mapInArrow(run, "token long, node long, last long, n long, place int, frequent boolean, " + ", ".join(f"{c} long" for c in LONGS))
+    return groups.select("group", "last", "n", "prefix").mapInArrow(run, "token long, node long, last long, n long, place int, frequent boolean")
 
 
 def _least_shared(n: Column, m: Column) -> Column:
@@ -211,7 +207,9 @@ def lists(groups: DataFrame, level: np.ndarray) -> DataFrame:
     place = F.row_number().over(node.orderBy("place", "token")).cast("long")
     shared = F.count("*").over(node.orderBy("place", "token").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     prefix = prefix_length(F.col("n"))
-    marked = rare.unionByName(every.where("frequent")).select("token", "node", "last", "n", place.alias("k"), shared.alias("shared"), *LONGS)
+    marked = rare.unionByName(every.where("frequent")).select("token", "node", "last", "n", place.alias("k"), shared.alias("shared"))
+    # The classes of a group have different sketches.  The lists are dealt by group already.
+    marked = marked.join(groups.where(F.col("group") == F.col("last")).select(F.col("group").alias("node"), *_longs(F.col("sketch"))), "node", "left")
     return marked.select(
         "token",
         "node",
@@ -382,14 +380,14 @@ def links(groups: DataFrame, classes: DataFrame, level: np.ndarray, docs: DataFr
         F.col("class").alias("low"), F.col("class").alias("high"), *LONGS,
     )
     every = tables.store(lists(groups, level).unionByName(inside))
-    first = F.pmod(F.xxhash64("token"), F.lit(FIRST)) == 0
-    state, others, done = every.where(first), every.where(~first), [every]
+    # The first pass only finds links: all lists are whole in the rounds after it.
+    state, others, done = every.where(F.col("before") < FIRST), every, [every]
     found: list[DataFrame] = []
     checked: list[DataFrame] = []
     number = 0
     while others is not None or not state.isEmpty():
         pairs, left, hubs = _round(state, members, checked, number, tables)
-        left, old = left if others is None else left.unionByName(others), [hubs]
+        ahead, left, old = others is not None, left if others is None else others, [hubs]
         checked.append(pairs)
         one = None if pairs.isEmpty() else _verified(pairs, docs, classes, tables)
         if one is not None and not one.isEmpty():
@@ -409,7 +407,7 @@ def links(groups: DataFrame, classes: DataFrame, level: np.ndarray, docs: DataFr
         state = tables.store(named.join(mixed, "token", "left_semi"))
         tables.drop(named)
         others, done = None, [state]
-        number += 1
+        number += not ahead
     tables.drop(*done, *checked, members)
     out = None
     for one in found:
