@@ -209,3 +209,14 @@ def waived(blockers: DataFrame, waivers: DataFrame) -> DataFrame:
 def gate_event(gates: DataFrame, actor: str) -> DataFrame:
     """An event row for each project whose gate is open: confirmed by ``actor``; ``gates``: project_id, stage, missing (array), at."""
     return gates.where(F.size("missing") == 0).select("project_id", "stage", F.lit("GateConfirmed").alias("event"), F.lit(actor).alias("actor_id"), "at")
+
+
+def reviewed_texts(joined: DataFrame, passed: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The text that review starts from, that of the regex stage where it has run, and its attestation, which is empty."""
+    both = joined.select(*key, F.col("text").alias("_joined")).join(passed.select(*key, F.col("text").alias("_passed")), list(key), "left")
+    return both.select(*key, F.coalesce("_passed", "_joined").alias("text"), F.lit("{}").alias("attestation"))
+
+
+def duration_ms(started: Column, ended: Column) -> Column:
+    """Whole milliseconds from start to end; null while it runs, and 0 where clocks ran back."""
+    return F.greatest(F.unix_millis(ended.cast("timestamp")) - F.unix_millis(started.cast("timestamp")), F.when(ended.isNotNull() & started.isNotNull(), F.lit(0).cast("long")))

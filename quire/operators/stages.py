@@ -190,3 +190,32 @@ def split_is_whole() -> Column:
     """Split fields are all there or none is."""
     n = sum(F.col(c).isNotNull().cast("int") for c in ("parent_idx0", "split_index", "split_stage"))
     return n.isin(0, 3)
+
+
+def reset(states: DataFrame, chosen: Column, key: Sequence[str]) -> DataFrame:
+    """Rows that are ``chosen`` as if they had never run: nothing but their key is kept."""
+    cleared = {c: F.when(chosen, F.lit("not-run") if c == "status" else F.lit(None)).otherwise(F.col(c)) for c in states.columns if c not in key}
+    return states.withColumns(cleared)
+
+
+def rerun(states: DataFrame, chosen: Column) -> DataFrame:
+    return states.withColumn("status", F.when(chosen, "dirty").otherwise(F.col("status")))
+
+
+def purge(states: DataFrame, files: DataFrame, projects: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(states, files left, bytes and files that go, by project) after all artifacts of ``projects`` are deleted and their stages reset.
+
+    ``files``: project_id, path, size; what lies under a project's pages' stages are its artifacts.
+    """
+    names = projects.select("project_id").distinct()
+    artifact = F.col("path").rlike(r"/pages/[^/]+/stages/")
+    marked = files.join(names.withColumn("_goes", F.lit(True)), "project_id", "left").withColumn("_goes", F.coalesce(F.col("_goes") & artifact, F.lit(False)))
+    gone = marked.where("_goes").groupBy("project_id").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    after = reset(states.join(names.withColumn("_reset", F.lit(True)), "project_id", "left"), F.coalesce("_reset", F.lit(False)), [*key, "_reset"]).drop("_reset")
+    return after.select(*states.columns), marked.where("not _goes").select(*files.columns), gone
+
+
+def unsplit(pages: DataFrame, states: DataFrame, parents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pages and stage rows without the children of ``parents`` (project_id, parent_idx0); a parent and its rows stay as they are."""
+    gone = pages.join(parents.distinct(), ["project_id", "parent_idx0"], "left_semi").select("project_id", "idx0")
+    return pages.join(gone, ["project_id", "idx0"], "left_anti").select(*pages.columns), states.join(gone, ["project_id", "idx0"], "left_anti").select(*states.columns)

@@ -57,3 +57,8 @@ def page_text(words: DataFrame, key: Sequence[str] = ("project_id", "idx0")) ->
     kept = words.where(~F.coalesce("deleted", F.lit(False)))
     grouped = kept.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("word_id", "left", "top", "width", "height", "text"))).alias("words"))
     return grouped.select(*key, lines(F.col("words")).alias("page_text"))
+
+
+def open_counts(flags: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Flags that nobody has decided on, and all flags; ``flags`` as ``decided`` gives them."""
+    return flags.groupBy(*by).agg(F.count_if(F.col("status") == "open").alias("open"), F.count("*").alias("flags"))

@@ -116,3 +116,14 @@ def split_children(spark: SparkSession, d: str) -> DataFrame:
 
     part = lambda s: F.struct(F.lit(s).alias("suffix"))
     return split(fx.pages(spark, d).where("doc_id % 31 = 0").withColumn("splits", F.array(part("a"), part("b"))))
+
+
+@query(oracle("SELECT p.project_id, p.idx0, p.doc_id FROM fx_pages p WHERE p.doc_id % 5 <> 2 OR p.idx0 % 4 <> 0", "fx_pages"))
+def unsplit_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages after the splits of some parents were taken back: their children are gone."""
+    from quire.operators import stages
+
+    pages = fx.pages(spark, d).select("project_id", "idx0", "doc_id", F.when(F.col("doc_id") % 5 == 2, F.col("idx0") % 4).alias("parent_idx0"))
+    parents = pages.where("parent_idx0 = 0").select("project_id", "parent_idx0")
+    left, _ = stages.unsplit(pages, pages.select("project_id", "idx0"), parents)
+    return left.select("project_id", "idx0", "doc_id")

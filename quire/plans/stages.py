@@ -242,3 +242,43 @@ def job_rollup(spark: SparkSession, d: str) -> DataFrame:
 
     results = table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("pos"), (F.col("event_type") != "error").alias("ok"), F.col("props").alias("error"))
     return rollup(results).withColumnRenamed("job_id", "user_id")
+
+
+@query(oracle("SELECT project_id, page_no, stage_ord, CASE WHEN stage_ord >= 12 THEN 'not-run' WHEN page_no % 2 = 0 THEN 'dirty' ELSE status END AS status, CASE WHEN stage_ord < 12 THEN seq END AS seq FROM fx_state", "fx_state"))
+def stage_resets(spark: SparkSession, d: str) -> DataFrame:
+    """The last stages as if they had never run, the others of even pages to run again."""
+    states = _state(spark, d).select("project_id", "page_no", "stage_ord", "status", "seq")
+    return S.reset(S.rerun(states, F.col("page_no") % 2 == 0), F.col("stage_ord") >= 12, ["project_id", "page_no", "stage_ord"])
+
+
+@query(oracle("SELECT project_id, COUNT(*) AS files, CAST(SUM(seq % 1000) AS BIGINT) AS bytes FROM fx_state WHERE status = 'clean' AND project_id <> 'proj3' AND stage_ord <> 5 GROUP BY project_id", "fx_state"))
+def purged_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files and bytes that a purge of all projects but one gives back; the sources beside the stages stay."""
+    states = _state(spark, d).select("project_id", "page_no", "stage_ord", "status", "seq")
+    folder = F.when(F.col("stage_ord") == 5, "source").otherwise(F.concat(F.lit("pages/"), F.col("page_no").cast("string"), F.lit("/stages")))
+    files = states.where("status = 'clean'").select("project_id", F.concat_ws("/", F.lit("/projects"), "project_id", folder, F.col("stage_ord").cast("string"), F.lit("output.png")).alias("path"), (F.col("seq") % 1000).alias("size"))
+    return S.purge(states, files, states.where("project_id <> 'proj3'"), ["project_id", "page_no", "stage_ord"])[2]
+
+
+@query(oracle("SELECT project_id, CAST(COUNT(*) FILTER (finding IS NOT NULL) AS BIGINT) AS findings, CAST(COUNT(*) FILTER (finding = 'missing') AS BIGINT) AS failed, CAST(COUNT(*) FILTER (finding = 'hash-mismatch') AS BIGINT) AS dirtied, CAST(COUNT(*) FILTER (finding NOT IN ('missing', 'hash-mismatch')) AS BIGINT) AS quarantined FROM f GROUP BY project_id HAVING COUNT(finding) > 0", "fx_state", files=_FILES, j=_DRIFT, f=_FOUND))
+def heal_counts(spark: SparkSession, d: str) -> DataFrame:
+    return drift_.heal_counts(drift_.heal_plan(_findings(spark, d)))
+
+
+@query(
+    oracle(
+        """SELECT project_id, page_no, stage_ord, finding, 'projects/' || project_id || '/.orphan-stage-artifacts/pages/' || page_no || '/stages/' || stage_ord || '/output.a' || CASE WHEN page_no % 3 = 0 AND stage_ord % 2 = 0 THEN '.2' WHEN page_no % 3 = 0 THEN '.1' ELSE '' END AS moved_to
+FROM f WHERE finding IN ('non-clean-row', 'unknown-stage', 'no-row')""",
+        "fx_state", files=_FILES, j=_DRIFT, f=_FOUND,
+    )
+)
+def quarantine_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Where files without a clean row go; some names are taken there, some with one number too."""
+    found = _findings(spark, d).where("finding in ('non-clean-row', 'unknown-stage', 'no-row')")
+    place = F.concat(F.lit("pages/"), F.col("page_no").cast("string"), F.lit("/stages/"), F.col("stage_ord").cast("string"), F.lit("/output.a"))
+    root = F.concat(F.lit("projects/"), "project_id", F.lit("/"))
+    orphans = found.select("project_id", F.col("page_no").cast("string").alias("page_id"), F.col("stage_ord").cast("string").alias("stage_id"), F.col("finding").alias("reason"), F.concat(root, place).alias("path"))
+    there = found.where("page_no % 3 = 0").select("project_id", F.concat(root, F.lit(f"{drift_.QUARANTINE}/"), place).alias("path"), "stage_ord")
+    taken = there.select("project_id", "path").union(there.where("stage_ord % 2 = 0").select("project_id", F.concat("path", F.lit(".1"))))
+    moved = drift_.quarantined(orphans, taken)
+    return moved.select("project_id", F.col("page_id").cast("int").alias("page_no"), F.col("stage_id").cast("int").alias("stage_ord"), F.col("reason").alias("finding"), F.get_json_object("line", "$.to").alias("moved_to"))
