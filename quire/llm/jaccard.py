@@ -12,6 +12,8 @@
    one, which is where a pair has to meet.  A sketch tells for each of ``SKETCH`` bits whether an odd number of the
    set's shingles fall on it: two sketches differ in no more bits than their sets have shingles that aren't shared, which
    rules out nearly all pairs that aren't alike, by an exact bound, of sets up to about twice that size.
+   Shingles that the same groups have, such as those of a passage that just these share, are one list: a pair meets once for all
+   of them, with the places of the first.
 5. Verified links are joined to components by the smallest class reachable.
 
 Near copies by the thousand would give pairs by the million, so the groups listed under a shingle meet in
@@ -36,6 +38,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -195,20 +198,27 @@ def lists(groups: DataFrame, level: np.ndarray) -> DataFrame:
 
     ``before`` are shingles ahead of this one that such others have too, ``rest`` is how many others may have of
     this one and those behind it.  A shingle of an
-    ordinary bucket occurs about as often as the bucket's others at most, so the window by shingle has no
-    key that stands out; those of frequent buckets are taken for shared without being counted.
+    ordinary bucket occurs about as often as the bucket's others at most, so the windows by shingle have no
+    key that stands out; those of frequent buckets are taken for shared without being counted.  Ordinary shingles of the same
+    groups are one list, named by a hash of these groups; should two hashes be equal, their lists are one and no pair is lost.
     """
     every = _listed(groups, level)
     # In order of size, a group whose neighbours' sizes don't fit has no partner here.
     order = Window.partitionBy("token").orderBy("n", "node")
     rare = every.where("not frequent").withColumn("x", F.lag("n").over(order)).withColumn("y", F.lead("n").over(order))
     rare = rare.where((100 * F.col("x") >= PERCENT * F.col("n")) | (100 * F.col("n") >= PERCENT * F.col("y"))).drop("x", "y")
+    shingle = Window.partitionBy("token")
+    # A list has a group once, so none is cancelled.
+    name = F.xxhash64(*(F.bit_xor(F.xxhash64("node", F.lit(k))).over(shingle) for k in (1, 2)), F.count("*").over(shingle))
+    rare = rare.withColumn("list", name)
     node = Window.partitionBy("node")
     place = F.row_number().over(node.orderBy("place", "token")).cast("long")
     shared = F.count("*").over(node.orderBy("place", "token").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     prefix = prefix_length(F.col("n"))
-    marked = rare.unionByName(every.where("frequent")).select("token", "node", "last", "n", place.alias("k"), shared.alias("shared"))
-    # The classes of a group have different sketches.  The lists are dealt by group already.
+    marked = rare.unionByName(every.where("frequent").withColumn("list", F.col("token"))).select("list", "node", "last", "n", place.alias("k"), shared.alias("shared"))
+    # Dealt by group, as the windows before and the join after it.
+    marked = marked.groupBy("node", F.col("list").alias("token")).agg(F.first("last").alias("last"), F.first("n").alias("n"), F.min("k").alias("k"), F.first("shared").alias("shared"))
+    # The classes of a group have different sketches.
     marked = marked.join(groups.where(F.col("group") == F.col("last")).select(F.col("group").alias("node"), *_longs(F.col("sketch"))), "node", "left")
     return marked.select(
         "token",
@@ -362,8 +372,8 @@ def _round(state: DataFrame, members: DataFrame, checked: list[DataFrame], numbe
     hub = F.min(F.struct(own.cast("float").alias("own"), "node", "several", "n", "before", "rest", "low", "high", *LONGS)).alias("hub")
     hubs = tables.store(state.groupBy("token", slot.alias("slot")).agg(hub))
     met = _meet(state, hubs.select("token", "hub.*"), members)
-    for before in checked:
-        met = met.join(before.select("a", "b"), ["a", "b"], "left_anti")
+    if checked:
+        met = met.join(reduce(DataFrame.union, (before.select("a", "b") for before in checked)), ["a", "b"], "left_anti")
     pairs = tables.store(met)
     stays = (F.col("node") != F.col("hub.node")) | (F.col("several") != F.col("hub.several"))
     left = state.withColumn("slot", slot).join(hubs, ["token", "slot"]).where(stays).select(*state.columns)
