@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words that are usually recognition errors.
@@ -28,35 +29,63 @@ def decided(flags: DataFrame, decisions: DataFrame, key: str = "word_id", order:
     return flags.join(last, key, "left").withColumn("status", F.coalesce("decision", F.lit("open"))).drop("decision")
 
 
-def lines(words: Column) -> Column:
-    """Text of a page from its words (left, top, width, height, text), lines by the middle of each word.
-
-    Words in order of middle and left join the line whose smallest word's middle is within half that word's height
-    (at least 1); a line's words are then put in order of their left edges.
-    """
-    mid = lambda w: w["top"] + w["height"] / 2.0
-    ordered = F.sort_array(F.transform(words, lambda w, i: F.struct(mid(w).alias("mid"), w["left"].alias("left"), i.alias("i"), w["height"].alias("height"), w["text"].alias("text"))))
-    ordered = F.transform(ordered, lambda w, k: F.struct(w["mid"].alias("mid"), w["left"].alias("left"), k.alias("i"), w["height"].alias("height"), w["text"].alias("text")))
-    line_type = "array<struct<height:int,mid:double,words:array<struct<left:int,i:int,text:string>>>>"
-    one = lambda w: F.array(F.struct(w["left"].cast("int").alias("left"), w["i"].cast("int").alias("i"), w["text"].alias("text")))
-
-    def step(a: Column, w: Column) -> Column:
-        last = F.get(a, F.size(a) - 1)
-        joins = F.coalesce(F.abs(w["mid"] - last["mid"]) <= F.greatest(F.lit(1.0), F.least(last["height"], w["height"]) / 2.0), F.lit(False))
-        smaller = w["height"] < last["height"]
-        grown = F.struct(F.when(smaller, w["height"]).otherwise(last["height"]).cast("int").alias("height"), F.when(smaller, w["mid"]).otherwise(last["mid"]).alias("mid"), F.concat(last["words"], one(w)).alias("words"))
-        new = F.struct(w["height"].cast("int").alias("height"), w["mid"].alias("mid"), one(w).alias("words"))
-        return F.when(joins, F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(a, F.array(new)))
-
-    found = F.aggregate(ordered, F.array().cast(line_type), step)
-    return F.array_join(F.transform(found, lambda x: F.array_join(F.transform(F.sort_array(x["words"]), lambda w: w["text"]), " ")), "\n")
+def _rebuilt(keys: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Text of each page from batches of its words in order of middle and left: the key's columns, middle, left, height, text."""
+
+    def shown(words: list[tuple]) -> str:
+        # Stable, so words with equal left edges stay in order; those without one come first.
+        return " ".join(text for _, text in sorted(words, key=lambda w: (w[0] is not None, w[0])) if text is not None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, schema, done = None, None, []
+        lines, words, low, at = [], [], None, None
+
+        def close() -> None:
+            done.append((*page, "\n".join([*lines, shown(words)])))
+
+        def batch_of() -> pa.RecordBatch:
+            columns = zip(*done, strict=True) if done else [[]] * len(schema)
+            out = pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            done.clear()
+            return out
+
+        for batch in batches:
+            if schema is None:
+                schema = pa.schema([*(batch.schema.field(k) for k in range(keys)), pa.field("page_text", pa.string())])
+            columns = [c.to_pylist() for c in batch.columns]
+            for key, mid, left, height, text in zip(zip(*columns[:keys], strict=True), *columns[keys:], strict=True):
+                if key != page:
+                    if page is not None:
+                        close()
+                    page, lines, words, low, at = key, [], [(left, text)], height, mid
+                    continue
+                least = min((h for h in (low, height) if h is not None), default=0)
+                if mid is not None and at is not None and abs(mid - at) <= max(1.0, least / 2.0):
+                    words.append((left, text))
+                    if height is not None and low is not None and height < low:
+                        low, at = height, mid
+                else:
+                    lines.append(shown(words))
+                    words, low, at = [(left, text)], height, mid
+            yield batch_of()
+        if page is not None:
+            close()
+            yield batch_of()
+
+    return run
 
 
 def page_text(words: DataFrame, key: Sequence[str] = ("project_id", "idx0")) -> DataFrame:
-    """Text of every page from its words that aren't deleted; a page's words are one group."""
-    kept = words.where(~F.coalesce("deleted", F.lit(False)))
-    grouped = kept.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("word_id", "left", "top", "width", "height", "text"))).alias("words"))
-    return grouped.select(*key, lines(F.col("words")).alias("page_text"))
+    """Text of every page from its words that aren't deleted (left, top, width, height, text), lines by the middle of each word.
+
+    Words in order of middle and left join the line whose smallest word's middle is within half that word's height
+    (at least 1); a line's words are then put in order of their left edges.  Pages are read off words in that order,
+    each word once; a task holds the text of the page that it is at.
+    """
+    kept = words.where(~F.coalesce("deleted", F.lit(False))).withColumn("mid", F.col("top") + F.col("height") / 2.0)
+    ordered = kept.repartition(*key).sortWithinPartitions(*key, "mid", "left", "word_id", "top", "width", "height", "text")
+    kinds = ", ".join(f"`{c}` {words.schema[c].dataType.simpleString()}" for c in key)
+    return ordered.select(*key, "mid", "left", "height", "text").mapInArrow(_rebuilt(len(key)), f"{kinds}, page_text string")
 
 
 def open_counts(flags: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -117,3 +117,24 @@ def test_packages_are_the_same_bytes_again(spark):
     with zipfile.ZipFile(io.BytesIO(one.content)) as z:
         assert z.namelist() == ["001p001.png", "001p001.txt", "images/001p001_01.jpg", "images/001p001_02.jpg", "002p002.txt", "pgdp.json"]
         assert z.read("images/001p001_01.jpg") == b"1"
+
+
+def test_text_of_a_page_takes_time_in_proportion_to_its_words(spark):
+    import time
+
+    def page(n):
+        # Lines of a thousand words, each word on its own page place.
+        return spark.range(n).select(F.lit("p").alias("project_id"), F.lit(None).cast("int").alias("idx0"), F.col("id").alias("word_id"), (F.col("id") % 1000).cast("int").alias("left"), (F.floor(F.col("id") / 1000) * 30).cast("int").alias("top"), F.lit(5).alias("width"), F.lit(18).alias("height"), F.concat(F.lit("w"), F.col("id")).alias("text"), F.lit(False).alias("deleted"))
+
+    words.page_text(page(1000)).collect()
+    started = time.monotonic()
+    (found,) = words.page_text(page(60_000)).collect()
+    assert time.monotonic() - started < 20
+    assert (found.project_id, found.idx0) == ("p", None)
+    assert found.page_text == "\n".join(" ".join(f"w{k}" for k in range(a, a + 1000)) for a in range(0, 60_000, 1000))
+
+
+def test_words_without_place_or_text_keep_their_order(spark):
+    rows = [("p", 1, 3, 50, 10, 5, 20, "b", False), ("p", 1, 1, None, 10, 5, 20, "a", False), ("p", 1, 2, 60, 10, 5, 20, None, False), ("p", 1, 4, 10, 34, 5, 20, "c", None), ("p", 1, 5, 5, 34, 5, 20, "x", True), ("q", 1, 1, 5, None, 5, 20, "d", False)]
+    frame = spark.createDataFrame(rows, "project_id string, idx0 int, word_id long, left int, top int, width int, height int, text string, deleted boolean")
+    assert {(r.project_id, r.page_text) for r in words.page_text(frame).collect()} == {("p", "a b\nc"), ("q", "d")}
