@@ -15,9 +15,11 @@ documents.  An empty table gives an empty result.  Other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +28,19 @@ from pyspark.sql import functions as F
 
 from quire.llm._common import materialize
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 SIZE = 4096
 END = 1
 SALTS = 512
-#: Words whose ids a Python worker remembers.
-REMEMBERED = 1_000_000
+#: Words whose ids a Python worker remembers, and as many from before that; words that come again stay.
+REMEMBERED = 150_000
+#: New words that are encoded as one text.
+TOGETHER = 64
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
-_known: dict[str, dict[str, bytes]] = {}
+_known: dict[str, tuple[dict[str, bytes], dict[str, bytes], Tokenizer]] = {}
 
 
 def encode(texts: list[str | None], tokenizer: str) -> list[bytes]:
@@ -41,22 +48,48 @@ def encode(texts: list[str | None], tokenizer: str) -> list[bytes]:
 
     The tokenizer never joins what white space parts, so each distinct word is encoded once and remembered.
     """
-    known = _known.setdefault(tokenizer, {})
-    if "" not in known:
+    if tokenizer not in _known:
         from tokenizers import Tokenizer
 
-        known[""] = Tokenizer.from_file(tokenizer)
-    model = known[""]
-    ids = lambda batch: (array("I", e.ids).tobytes() for e in model.encode_batch_fast(batch, add_special_tokens=False))
+        # Tasks fill the cores; more threads in a task only add memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _known[tokenizer] = {}, {}, Tokenizer.from_file(tokenizer)
+    known, before, model = _known[tokenizer]
+    if len(known) > REMEMBERED:
+        known, before = {}, known
+        _known[tokenizer] = known, before, model
     # Python also splits at these four, which the tokenizer takes for symbols.
     split = [None if t is None or any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-    if len(known) > REMEMBERED:
-        known.clear()
-        known[""] = model
-    new = list(set().union(*(set(s).difference(known) for s in split if s)))
+    there: set[str] = set()
+    there.update(*(s for s in split if s))
+    there -= known.keys()
+    again = there.intersection(before)
+    known.update((w, before[w]) for w in again)
+    new = list(there - again)
     for at in range(0, len(new), 10_000):
-        known.update(zip(new[at : at + 10_000], ids(new[at : at + 10_000]), strict=True))
-    return [b"".join(map(known.__getitem__, s)) if s is not None else next(ids([t or ""])) for s, t in zip(split, texts, strict=True)]
+        known.update(zip(new[at : at + 10_000], _ids_of(new[at : at + 10_000], model), strict=True))
+    return [b"".join(map(known.__getitem__, s)) if s is not None else _each([t or ""], model)[0] for s, t in zip(split, texts, strict=True)]
+
+
+def _each(texts: list[str], model: Tokenizer) -> list[bytes]:
+    return [array("I", e.ids).tobytes() for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def _ids_of(words: list[str], model: Tokenizer) -> Iterator[bytes]:
+    """Ids of each word; many are encoded as one text, with a special token between them that is in none."""
+    marks = {k: t.content for k, t in model.get_added_tokens_decoder().items() if t.special and not (t.single_word or t.lstrip or t.rstrip)}
+    mark = max(marks, default=None)
+    if mark is None or any(marks[mark] in w for w in words):
+        yield from _each(words, model)
+        return
+    groups = [words[at : at + TOGETHER] for at in range(0, len(words), TOGETHER)]
+    for group, ids in zip(groups, _each([marks[mark].join(g) for g in groups], model), strict=True):
+        ends = np.flatnonzero(np.frombuffer(ids, np.uint32) == mark)
+        assert len(ends) == len(group) - 1
+        start = 0
+        for end in [*(4 * ends).tolist(), len(ids)]:
+            yield ids[start:end]
+            start = end + 4
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:

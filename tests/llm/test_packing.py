@@ -54,3 +54,15 @@ def test_edges(spark):
     assert sum(r["piece"] == 0 for r in found) == len(rows)
     assert [r["length"] for r in found if r["doc_id"] in (1, 2)] == [1, 1]
     assert packing.best_fit_packing(documents(spark, []), tokenizer()).count() == 0
+
+
+def test_words_are_encoded_alike_together_and_alone(monkeypatch):
+    """Also those that hold special tokens; what is remembered is bounded, and words that come again stay."""
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    monkeypatch.setattr(packing, "_known", {})
+    model, alone = Tokenizer.from_file(tokenizer()), lambda t: np.array(model.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
+    for k in range(20):
+        texts = [f"often w{k}x{n} Don't 3.5 é" for n in range(30)] + ["<|endoftext|> a<|endoftext|>b c"] * (k % 2) + ["<|startoftext|>x y", "", None, "\x1cx y", "́a b"]
+        assert packing.encode(texts, tokenizer()) == [alone(t) for t in texts]
+        known, before, _ = packing._known[tokenizer()]
+        assert "often" in known and len(known) + len(before) < 200
