@@ -33,6 +33,8 @@ from quire.tables import exists, remove
 BUCKETS = 64
 #: Letters of a token that choose its bucket.
 LETTERS = 2
+#: Tokens that a task groups at a time; a longer page goes by itself.
+GROUPED = 200_000
 
 
 def bucket_of(token: Column, buckets: int) -> Column:
@@ -43,9 +45,19 @@ def _page_bucket(key: list[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Consecutive pages of a batch with ``GROUPED`` tokens at most, or one page."""
+    ends = batch.column("_t").offsets.to_numpy()
+    at = 0
+    while at < len(batch):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + GROUPED, side="right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each token of each page, with its positions in order, from one row a page with its tokens ``_t``."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in _parts(whole)):
         found = batch.column("_t")
         length = np.diff(found.offsets.to_numpy())
         flat = found.flatten().dictionary_encode()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import sqlite3
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +143,14 @@ def test_snippets_are_those_of_sqlite(spark, query):
         pages = frame(spark, rows)
         found = with_snippets(S.search(pages, query, ["project", "page"]), pages, query, ["project", "page"])
         assert {r["page"]: r["snippet"].replace("ſ", "s") for r in found.collect()} == want
+
+
+def test_tokens_are_grouped_by_bounded_parts(monkeypatch):
+    """Whatever the rows of a batch; a long page goes by itself, and a page without tokens has no rows."""
+    monkeypatch.setattr(T, "GROUPED", 10)
+    pages = [["a", "b", "a"], [], ["b"] * 4, ["c"] * 25, ["a", "c"], ["d"] * 10, []]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(pages))), pa.array(pages, pa.list_(pa.string()))], names=["id", "_t"]).slice(1)
+    parts = list(T._parts(batch))
+    assert [p.column("id").to_pylist() for p in parts] == [[1, 2], [3], [4], [5, 6]]
+    rows = [tuple(r.values()) for part in T._grouped(iter([batch])) for r in part.to_pylist()]
+    assert sorted(rows) == sorted((i, len(t), w, [k for k, x in enumerate(t) if x == w]) for i, t in enumerate(pages) if i for w in set(t))
