@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import file_stem, flat_stem, is_image
 
 ENTRIES = "path string, archive_bytes long, entry string, pos int, size long, content binary"
+ROWS = 1000
 
 
 def files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
@@ -20,22 +22,46 @@ def files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
 
 
-def entries(archives: DataFrame) -> DataFrame:
-    """One row per file of each zip archive (path, content), in the archive's order; broken archives have none."""
+def entries(archives: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+    """One row per file of each zip archive (path, content), in the archive's order; broken archives have none.
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        # One row at a time: an archive's entries together may be large.
-                        for pos, info in enumerate(z.infolist()):
-                            if not info.is_dir():
-                                yield pd.DataFrame({"path": [path], "archive_bytes": [len(content)], "entry": [info.filename], "pos": [pos], "size": [info.file_size], "content": [z.read(info)]})
-                except zipfile.BadZipFile:
-                    continue
+    With ``names`` only files of these names are unpacked.
+    """
 
-    return archives.select("path", "content").mapInPandas(read, ENTRIES)
+    def unpacked(path: str, content: pa.Scalar) -> Iterator[tuple]:
+        if not content.is_valid:
+            return
+        try:
+            # Read where it lies, without a copy.
+            with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as z:
+                for pos, info in enumerate(z.infolist()):
+                    if not info.is_dir() and (names is None or info.filename in names):
+                        yield path, len(content.as_buffer()), info.filename, pos, info.file_size, z.read(info)
+        except zipfile.BadZipFile:
+            return
+
+    kinds = pa.schema([("path", pa.string()), ("archive_bytes", pa.int64()), ("entry", pa.string()), ("pos", pa.int32()), ("size", pa.int64()), ("content", pa.binary())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = (row for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True) for row in unpacked(path, content))
+            for rows in bounded(found, lambda row: len(row[-1])):
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+
+    return archives.select("path", "content").mapInArrow(read, ENTRIES)
+
+
+def bounded(rows: Iterator[tuple], size: Callable[[tuple], int], most: int = 1 << 22) -> Iterator[list[tuple]]:
+    """Rows in lists of ``ROWS`` at most that end where their sizes reach ``most``: entries together may be large."""
+    held, total = [], 0
+    for row in rows:
+        held.append(row)
+        total += size(row)
+        if len(held) == ROWS or total >= most:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
 
 
 LISTED = "path string, pos int, entry string, size long, compressed long, crc long, place long"
@@ -75,7 +101,7 @@ def package_manifests(archives: DataFrame, project: Column) -> DataFrame:
 
     Where there is none, or none that can be read, ``project`` and empty values stand in.
     """
-    told = entries(archives).where("entry = 'pgdp.json'").select("path", F.from_json(F.decode("content", "utf-8"), MANIFEST).alias("m")).dropDuplicates(["path"])
+    told = entries(archives, ["pgdp.json"]).select("path", F.from_json(F.decode("content", "utf-8"), MANIFEST).alias("m")).dropDuplicates(["path"])
     out = archive_records(archives).withColumn("_project", project).join(told, "path", "left")
     return out.select(
         "path", F.coalesce("m.project_id", "_project").alias("project"), F.coalesce("m.page_count", F.lit(0)).alias("pages"), F.coalesce("m.book_name", F.lit("")).alias("canvas"),

@@ -107,3 +107,21 @@ def test_records_of_good_and_bad_archives(spark, tmp_path):
     assert {(r.pos, r.entry, r.size) for r in archives.listing(files).where("path like '%good%'").collect()} >= {(0, "a.txt", 5), (1, "folder/", 0)}
     told = {r.n: (r.project, r.pages, r.canvas, r.built, r.files) for r in archives.package_manifests(files, name).select(name.alias("n"), "*").collect()}
     assert told["good"] == ("q", 7, "B", "then", 3) and told["odd"] == ("odd", 0, "", "", 1) and told["cut"] == ("cut", 0, "", "", 0)
+
+
+def test_entries_go_in_batches_of_bounded_size(spark, tmp_path):
+    from quire.sources.archives import ROWS, bounded, entries, files
+
+    sizes = [1] * (ROWS + 1) + [10, 3, 3, 50]
+    cut = [[n for (n,) in rows] for rows in bounded(((n,) for n in sizes), lambda row: row[0], ROWS + 5)]
+    assert [n for rows in cut for n in rows] == sizes and len(cut[0]) == ROWS and all(sum(rows[:-1]) < ROWS + 5 for rows in cut)
+    # Many small entries are no batch each, and only what is asked for is unpacked.
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for k in range(3000):
+            z.writestr(f"{k}.txt", str(k))
+    (tmp_path / "b.zip").write_bytes(b"no archive")
+    found = entries(files(spark, str(tmp_path)))
+    assert sorted((r.pos, r.entry, r.size, r.content) for r in found.collect()) == [(k, f"{k}.txt", len(str(k)), str(k).encode()) for k in range(3000)]
+    assert [(r.entry, bytes(r.content)) for r in entries(files(spark, str(tmp_path)), ["7.txt", "none"]).collect()] == [("7.txt", b"7")]
