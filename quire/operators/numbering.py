@@ -7,6 +7,9 @@ by project or run.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,28 +46,34 @@ def ordinals_with_continue(leaves: DataFrame, runs: DataFrame) -> DataFrame:
     """As ``ordinals``, for runs that may continue the run before them.
 
     A continued run starts after the last number of the nearest earlier declared run that has one at that leaf, so
-    each project's leaves are folded in order; a project is a book.
+    each project's leaves are read in order, once; a task holds the count and last number of each of the project's runs.
     """
     declared = runs.groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct("run_pos", "run_id", "style", "start_mode", "start_no", "step_no"))).alias("runs"))
-    grouped = leaves.groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct("scan", "leaf_role", "run_id"))).alias("leaves"))
-    both = grouped.join(declared, "project_id", "left").withColumn("runs", F.coalesce("runs", F.array().cast(declared.schema["runs"].dataType)))
-    runs_ = F.col("runs")
-    zero = F.struct(F.transform(runs_, lambda r: F.lit(0)).alias("count"), F.transform(runs_, lambda r: F.lit(None).cast("int")).alias("last"), F.array().cast("array<struct<scan:int,ordinal:int>>").alias("out"))
-
-    def step(a: Column, leaf: Column) -> Column:
-        k = F.array_position(F.transform(runs_, lambda r: r["run_id"]), leaf["run_id"]).cast("int")
-        run = F.get(runs_, k - 1)
-        earlier = F.filter(F.transform(runs_, lambda r, i: F.when((i < k - 1) & (r["style"] != "none"), F.get(a["last"], i))), lambda v: v.isNotNull())
-        start = F.when(run["start_mode"] == "set", run["start_no"]).otherwise(F.coalesce(F.get(earlier, F.size(earlier) - 1) + run["step_no"], run["start_no"]))
-        n = (start + F.get(a["count"], k - 1) * run["step_no"]).cast("int")
-        counts = (k > 0) & (leaf["leaf_role"] != "plate")
-        put = lambda array, value: F.transform(array, lambda v, i: F.when(i == k - 1, value).otherwise(v))
-        return F.when(
-            F.coalesce(counts, F.lit(False)),
-            F.struct(put(a["count"], F.get(a["count"], k - 1) + 1).alias("count"), put(a["last"], n).alias("last"), F.concat(a["out"], F.array(F.struct(leaf["scan"].cast("int").alias("scan"), n.alias("ordinal")))).alias("out")),
-        ).otherwise(a)
-
-    found = both.select("project_id", F.inline(F.aggregate("leaves", zero, step)["out"]))
+    rows = leaves.select("project_id", "scan", "leaf_role", "run_id").join(declared, "project_id").repartition("project_id").sortWithinPartitions("project_id", "scan", "leaf_role", "run_id")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        project, count, last = None, [], []
+        for batch in batches:
+            out = []
+            for at, scan, role, run_id, known in zip(*(batch.column(c).to_pylist() for c in ("project_id", "scan", "leaf_role", "run_id", "runs")), strict=True):
+                if at != project:
+                    project, count, last = at, [0] * len(known), [None] * len(known)
+                k = next((i for i, r in enumerate(known) if run_id is not None and r["run_id"] == run_id), None)
+                if k is None or role is None or role == "plate":
+                    continue
+                run, start = known[k], known[k]["start_no"]
+                if run["start_mode"] != "set":
+                    earlier = [n for n, r in zip(last[:k], known, strict=False) if n is not None and r["style"] not in (None, "none")]
+                    start = earlier[-1] + run["step_no"] if earlier and run["step_no"] is not None else start
+                n = None if start is None or run["step_no"] is None else start + count[k] * run["step_no"]
+                count[k], last[k] = count[k] + 1, n
+                out.append((at, scan, n))
+            columns = zip(*out, strict=True) if out else ([], [], [])
+            kinds = (batch.schema.field("project_id").type, batch.schema.field("scan").type, pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)], names=["project_id", "scan", "ordinal"])
+
+    kind = {c: leaves.schema[c].dataType.simpleString() for c in ("project_id", "scan")}
+    found = rows.mapInArrow(number, f"project_id {kind['project_id']}, scan {kind['scan']}, ordinal int")
     return leaves.join(found, ["project_id", "scan"], "left").join(runs.select("project_id", "run_id", "style"), ["project_id", "run_id"], "left")
 
 

@@ -48,3 +48,20 @@ def test_empty(spark):
     runs = spark.createDataFrame([], RUN)
     assert N.manifest(leaves(spark, []), runs).count() == 0
     assert by_scan(N.labels(leaves(spark, [("text", "r", None)]), runs), "label") == [""]
+
+
+def test_numbering_goes_on_in_time_in_proportion_to_the_leaves(spark):
+    """A hundred thousand leaves of one project: the second run continues the first's last number."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from quire.operators import numbering
+
+    runs = spark.createDataFrame([("p", 0, "front", "arabic", "set", 5, 2, 0, 3), ("p", 1, "body", "arabic", "continue", 1, 1, 4, 9)], "project_id string, run_pos int, run_id string, style string, start_mode string, start_no int, step_no int, lo int, hi int")
+    leaves = spark.range(100_000).select(F.lit("p").alias("project_id"), F.col("id").cast("int").alias("scan"), F.when(F.col("id") % 10 == 9, "plate").otherwise("text").alias("leaf_role"), F.when(F.col("id") < 50_000, "front").otherwise("body").alias("run_id"))
+    started = time.monotonic()
+    found = {r.scan: r.ordinal for r in numbering.ordinals_with_continue(leaves, runs).collect()}
+    assert time.monotonic() - started < 40
+    assert found[0] == 5 and found[8] == 21 and found[9] is None and found[10] == 23
+    assert found[49_998] == 5 + 2 * 44_999 and found[50_000] == found[49_998] + 1 and found[99_998] == found[49_998] + 45_000
