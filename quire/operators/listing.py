@@ -77,6 +77,16 @@ def newest(rows: DataFrame, by: str, order: Sequence[Column], n: int) -> DataFra
     return found.where(F.col("position") <= n)
 
 
+def next_marked(pages: DataFrame, marked: Column) -> DataFrame:
+    """Adds ``next_flagged``: the next ``idx0`` of the project with a mark, the page itself not counted.
+
+    Read from the end, so that each page adds itself to what is known of those behind it; a frame that ends with
+    the project is summed up anew for every page.
+    """
+    behind = Window.partitionBy("project_id").orderBy(F.desc("idx0")).rowsBetween(Window.unboundedPreceding, -1)
+    return pages.withColumn("next_flagged", F.min(F.when(marked, F.col("idx0"))).over(behind))
+
+
 def zone_rows(pages: DataFrame, states: DataFrame) -> DataFrame:
     """Each page's zone state, and its number of zones where they are found; ``states``: key, status, zones (JSON).
 

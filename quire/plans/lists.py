@@ -104,10 +104,9 @@ def ocr_totals(spark: SparkSession, d: str) -> DataFrame:
 
 @query(oracle("SELECT project_id, idx0, MIN(CASE WHEN doc_id % 8 = 0 THEN idx0 END) OVER (PARTITION BY project_id ORDER BY idx0 ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_flagged FROM fx_pages", "fx_pages"))
 def next_flagged(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
+    from quire.operators.listing import next_marked
 
-    after = Window.partitionBy("project_id").orderBy("idx0").rowsBetween(1, Window.unboundedFollowing)
-    return fx.pages(spark, d).select("project_id", "idx0", F.min(F.when(F.col("doc_id") % 8 == 0, F.col("idx0"))).over(after).alias("next_flagged"))
+    return next_marked(fx.pages(spark, d), F.col("doc_id") % 8 == 0).select("project_id", "idx0", "next_flagged")
 
 
 @query(oracle("SELECT project_id, idx0 AS parent_idx0, CAST(k AS INT) AS split_index, suffix FROM (SELECT project_id, idx0, UNNEST(['a', 'b']) AS suffix, UNNEST([1, 2]) AS k FROM fx_pages WHERE doc_id % 31 = 0)", "fx_pages"))
