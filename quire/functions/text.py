@@ -6,14 +6,19 @@ code points.  All functions give null for null unless they say otherwise.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import re
+import unicodedata
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 W = r"[\p{L}\p{N}_]"
+#: The same in a lookbehind: Java looks back by whole code points only where the pattern has one beyond U+FFFF, so it names such a letter.
+BEHIND = r"[\p{L}\p{N}_𝒜]"
 TOKEN = rf"{W}+(?:[-']{W}+)*"
-HYPHEN = rf"({W}+)-\n({W}+)"
+#: Where a word is broken at a line end; what has to match comes first, so that other places are passed over fast.
+BREAK = rf"-\n(?<={BEHIND}-\n)(?={W})"
 #: Curly quotes and the straight ones they become.
 CURLY = "‘’‚‛“”„‟"
 STRAIGHT = "''''\"\"\"\""
@@ -48,15 +53,68 @@ def rewrite(text: Column, pattern: str, each: Callable[[Column], Column]) -> Col
     return let(text, rewritten)
 
 
+def _is_token(word: str) -> bool:
+    return all(part and all(c == "_" or unicodedata.category(c)[0] in "LN" for c in part) for part in re.split("[-']", word))
+
+
+def _any_of(words: Iterable[str]) -> str:
+    """A pattern of ``words`` as a tree of their letters: what is tried at a place doesn't grow with the list."""
+    after: dict[str, list[str]] = {}
+    for word in (words := list(words)):
+        if word:
+            after.setdefault(word[0], []).append(word[1:])
+    if not after:
+        return ""
+    return "(?:" + "|".join(re.escape(c) + _any_of(rest) for c, rest in after.items()) + ")" + ("?" if "" in words else "")
+
+
 def replace_scannos(text: Column, scannos: Mapping[str, str]) -> Column:
     """Whole tokens found in ``scannos``, case-sensitive, are replaced.
 
-    Only the matches are looked at, one pattern finds them, so the cost doesn't grow with the list.
+    Only the tokens listed are looked at, one pattern finds them, so the cost doesn't grow with the list.
     """
+    scannos = {x: y for x, y in scannos.items() if _is_token(x)}
     if not scannos:
         return text
+    first = "".join(re.escape(c) for c in sorted({x[0] for x in scannos}))
+    pattern = rf"(?=[{first}])(?<!{BEHIND})(?<!{BEHIND}[-']){_any_of(scannos)}(?![-']?{W})"
+    if len(set(scannos.values())) == 1:
+        return F.regexp_replace(text, pattern, next(iter(scannos.values())).replace("\\", r"\\").replace("$", r"\$"))
     known = F.create_map(*[F.lit(x) for pair in scannos.items() for x in pair])
-    return rewrite(text, TOKEN, lambda m: F.coalesce(F.try_element_at(known, m), m))
+    return rewrite(text, pattern, lambda m: F.try_element_at(known, m))
+
+
+def _breaks(pieces: Column) -> Column:
+    """(prefix, suffix, char_offset) of the word broken between each two ``pieces`` of a text cut at ``BREAK``.
+
+    Null where the first part is already the second part of the word broken before: a word is broken once.
+    """
+    kind = "array<struct<prefix:string,suffix:string,char_offset:int>>"
+    none = F.struct(F.lit(0).alias("at"), F.lit(False).alias("taken"), F.array().cast(kind).alias("out"))
+
+    def parts(left: Column, right: Column) -> Column:
+        # The last word has no space in it, so that only the end of a piece is looked at.
+        prefix = F.regexp_extract(F.substring_index(left, " ", -1), rf"(?<!{BEHIND}){W}++\z", 0)
+        return F.struct(F.length(left).alias("n"), prefix.alias("prefix"), F.regexp_extract(right, rf"\A{W}++", 0).alias("suffix"))
+
+    def step(a: Column, x: Column) -> Column:
+        length = F.length(x["prefix"])
+        free = ~(a["taken"] & (length == x["n"]))
+        one = F.when(free, F.struct(x["prefix"].alias("prefix"), x["suffix"].alias("suffix"), (a["at"] + x["n"] - length).alias("char_offset")))
+        return F.struct((a["at"] + x["n"] + F.lit(2)).alias("at"), free.alias("taken"), F.concat(a["out"], F.array(one)).alias("out"))
+
+    n = F.size(pieces) - 1
+    return F.aggregate(F.zip_with(F.slice(pieces, F.lit(1), n), F.slice(pieces, F.lit(2), n), parts), none, step)["out"]
+
+
+def _joined(text: Column, join: Callable[[Column], Column]) -> Column:
+    """``text`` with the broken words put together for which ``join`` of (prefix, suffix, char_offset) holds."""
+
+    def put(pieces: Column) -> Column:
+        joins = F.transform(_breaks(pieces), lambda x: F.coalesce(join(x), F.lit(False)))
+        return F.array_join(F.zip_with(pieces, joins, lambda p, j: F.concat(p, F.when(j.isNull() | j, "").otherwise("-\n"))), "")
+
+    return F.when(F.contains(text, F.lit("-\n")), let(F.split(text, BREAK, -1), put)).otherwise(text)
 
 
 def join_hyphens(text: Column, allowed: Sequence[str]) -> Column:
@@ -64,8 +122,7 @@ def join_hyphens(text: Column, allowed: Sequence[str]) -> Column:
     if not allowed:
         return text
     parts = [x.rstrip("-").lower() for x in allowed]
-    first = lambda m: F.regexp_extract(m, HYPHEN, 1)
-    return rewrite(text, HYPHEN, lambda m: F.when(F.lower(first(m)).isin(parts), F.concat(first(m), F.regexp_extract(m, HYPHEN, 2))).otherwise(m))
+    return let(text, lambda t: _joined(t, lambda x: F.lower(x["prefix"]).isin(parts)))
 
 
 def regex_passes(text: Column, passes: Sequence[tuple[str, str]]) -> Column:
@@ -84,17 +141,14 @@ def post_process(text: Column, system: Mapping[str, str], project: Mapping[str,
 def hyphen_candidates(text: Column) -> Column:
     """Array of (prefix, suffix, char_offset, match, candidate_id) of words broken at a line end."""
     kind = "array<struct<prefix:string,suffix:string,char_offset:int,match:string,candidate_id:string>>"
-    none = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["gap"])
-        prefix, suffix = F.regexp_extract(x["m"], HYPHEN, 1), F.regexp_extract(x["m"], HYPHEN, 2)
-        one = F.struct(prefix.alias("prefix"), suffix.alias("suffix"), start.alias("char_offset"), x["m"].alias("match"), candidate_id(prefix, suffix, start).alias("candidate_id"))
-        return F.struct((start + F.length(x["m"])).alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
+    def whole(x: Column) -> Column:
+        match = F.concat(x["prefix"], F.lit("-\n"), x["suffix"])
+        return F.struct(*(x[c].alias(c) for c in ("prefix", "suffix", "char_offset")), match.alias("match"), candidate_id(x["prefix"], x["suffix"], x["char_offset"]).alias("candidate_id"))
 
     def found(t: Column) -> Column:
-        pairs = F.zip_with(F.split(t, HYPHEN, -1), F.regexp_extract_all(t, F.lit(HYPHEN), 0), lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
-        return F.when(t.rlike(HYPHEN), F.aggregate(F.filter(pairs, lambda x: x["m"].isNotNull()), none, step)["out"]).otherwise(none["out"])
+        out = let(F.split(t, BREAK, -1), lambda pieces: F.transform(F.array_compact(_breaks(pieces)), whole))
+        return F.when(F.contains(t, F.lit("-\n")), out).otherwise(F.array().cast(kind))
 
     return let(text, found)
 
@@ -105,10 +159,8 @@ def candidate_id(prefix: Column, suffix: Column, offset: Column) -> Column:
 
 def apply_joins(text: Column, joined: Column) -> Column:
     """Joins the candidates whose ids are in the array ``joined``, each at its own place."""
-    found = hyphen_candidates(text)
-    gaps = F.split(text, HYPHEN, -1)
-    pieces = F.zip_with(gaps, found, lambda gap, c: F.concat(gap, F.when(c.isNull(), "").when(F.array_contains(joined, c["candidate_id"]), F.concat(c["prefix"], c["suffix"])).otherwise(c["match"])))
-    return F.when(text.rlike(HYPHEN) & joined.isNotNull(), F.array_join(pieces, "")).otherwise(text)
+    put = _joined(text, lambda x: F.array_contains(joined, candidate_id(x["prefix"], x["suffix"], x["char_offset"])))
+    return F.when(joined.isNotNull(), put).otherwise(text)
 
 
 def roman(n: Column) -> Column:

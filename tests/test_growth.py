@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from quire.functions import text as T
 from quire.operators import listing
 
 
@@ -15,3 +18,37 @@ def test_next_marked_of_a_long_project(spark):
     assert "unboundedfollowing" not in found._jdf.queryExecution().executedPlan().toString().lower()
     want = {("p", k): next((x for x in range(k + 1, min(k + 1001, n)) if x % 1000 == 7), None) for k in range(0, n, 53)} | {("q", 0): None}
     assert {(r.project_id, r.idx0): r.next_flagged for r in found.where("idx0 % 53 = 0").collect()} == want
+
+
+W = r"[^\W]"
+AWKWARD = [
+    None, "", "-\n", "a-\nb", "a-\nb-\nc", "a-\nb-\nc-\nd e-\nf-\n-\ng", "ti-\non Ti-\non tI-\nti-\non", "x-\nti-\non ti-\nti-\nti-\non", "xti-\non 𝒜ti-\non ti-\n𝒜", " ti-\non-\nti-\non", "ti-\r\non ti-\n on é_ti-\non",
+    "tbe", "tbe-tbe tbe' 'tbe --tbe a-tbe a--tbe tbe- tbe-a tbe's atbe tbea 𝒜tbe tbe𝒜 _tbe (tbe)", "tbes arid arid-zone arid. ar is is's 'is' İs ıs", "x'tbe x''tbe 1tbe 1'tbe ’tbe tbe—tbe", "$1 is \\ is", "𝒜-\nb a𝒜-\n𝒜-\n𝒜 😀-\nx x-\n😀", "ACT-\nOR aC-\nt ac-\n-\nac-\nact",
+]
+
+
+def test_scannos_and_hyphens_at_the_edges_of_tokens(spark):
+    scannos = {"tbe": "the", "tbes": "t$1\\s", "arid": "and", "a b": "no token", "": "nothing", "tbe's": "the's"}
+    rows = spark.createDataFrame(list(enumerate(AWKWARD)), "k int, t string")
+    t = F.col("t")
+    found = rows.select("k", T.replace_scannos(t, scannos), T.replace_scannos(t, {"is": "$1\\"}), T.join_hyphens(t, ["ti-", "Ac"]), T.hyphen_candidates(t), T.apply_joins(t, F.transform(F.filter(T.hyphen_candidates(t), lambda c: c["char_offset"] % 2 == 0), lambda c: c["candidate_id"])))
+    for k, several, one, joined, candidates, applied in found.collect():
+        text = AWKWARD[k]
+        if text is None:
+            assert (several, one, joined, candidates, applied) == (None, None, None, [], None)
+            continue
+        matches = list(re.finditer(rf"({W}+)-\n({W}+)", text))
+        by = lambda names: re.sub(rf"{W}+(?:[-']{W}+)*", lambda m: names.get(m[0], m[0]), text)  # noqa: B023, E731
+        put = lambda when: re.sub(rf"({W}+)-\n({W}+)", lambda m: m[1] + m[2] if when(m) else m[0], text)  # noqa: B023, E731
+        assert (several, one) == (by(scannos), by({"is": "$1\\"}))
+        assert joined == put(lambda m: m[1].lower() in ("ti", "ac"))
+        assert [(c["prefix"], c["suffix"], c["char_offset"], c["match"]) for c in candidates] == [(m[1], m[2], m.start(), m[0]) for m in matches]
+        assert applied == put(lambda m: m.start() % 2 == 0)
+
+
+def test_long_words_and_tokens(spark):
+    """A word of 300,000 letters isn't read again from each of its letters, a token of many parts needs no deep stack."""
+    rows = spark.createDataFrame([("ti-\non " + "x" * 300_000 + "-\ny",), ("a-" * 100_000 + "tbe tbe ti-\non",)], "t string")
+    out = T.replace_scannos(T.join_hyphens(F.col("t"), ["ti"]), {"tbe": "the", "wbich": "which"})
+    found = [(r[0], [c["char_offset"] for c in r[1]]) for r in rows.select(out, T.hyphen_candidates(F.col("t"))).collect()]
+    assert found == [("tion " + "x" * 300_000 + "-\ny", [0, 7]), ("a-" * 100_000 + "tbe the tion", [200_008])]
