@@ -2,9 +2,10 @@
 
 A folder holds two tables, both cut into buckets whose files are named by the version that wrote them:
 
-* ``postings``: token, key, length of the page in tokens, positions; bucketed by the token's first two letters, so that a
-  word and a prefix of two letters or more are in one bucket, and sorted by token, so that a scan skips
-  most of the bucket;
+* ``postings``: token and a list of pages with it: key, length of the page in tokens, positions; bucketed by the token's first
+  two letters, so that a word and a prefix of two letters or more are in one bucket, and sorted by token, so that a scan
+  skips most of the bucket.  A token has a list for each part of the pages that a task groups at a time: so rows that
+  are dealt out and sorted are few;
 * ``pages``: key, length, hash of the text and the buckets of its tokens; bucketed by key.
 
 A small manifest tells the version of each bucket and the statistics of the whole index.  An update writes the buckets
@@ -28,13 +29,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators.ranking import Query, fits, tokens
-from quire.tables import exists, remove
+from quire.tables import exists, remove, stored
 
 BUCKETS = 64
 #: Letters of a token that choose its bucket.
 LETTERS = 2
 #: Tokens that a task groups at a time; a longer page goes by itself.
 GROUPED = 200_000
+#: Keys of an update that are sent to every executor at most; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
 def bucket_of(token: Column, buckets: int) -> Column:
@@ -75,12 +78,43 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=[*names, "length", "token", "positions"])
 
 
+def _listed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A row for each token, with the list of its pages, from a row for each token of each page."""
+    token = batch.column("token").dictionary_encode()
+    code = token.indices.to_numpy()
+    order = np.argsort(code, kind="stable")
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(token.dictionary)))])
+    names = [n for n in batch.schema.names if n != "token"]
+    one = pa.StructArray.from_arrays([c.take(pa.array(order)) for c in map(batch.column, names)], names=names)
+    return pa.RecordBatch.from_arrays([token.dictionary, pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), one)], names=["token", "pages"])
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from map(_listed, _grouped(batches))
+
+
+def _lists_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists from rows for each token of each page, ``GROUPED`` rows at a time or a batch."""
+    held, rows = [], 0
+    for batch in batches:
+        if held and rows + len(batch) > GROUPED:
+            yield _listed(pa.concat_batches(held))
+            held, rows = [], 0
+        held.append(batch)
+        rows += len(batch)
+    if rows:
+        yield _listed(pa.concat_batches(held))
+
+
+def _kinds(rows: DataFrame, key: list[str]) -> str:
+    of = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in rows.select(*key).schema)
+    return f"token string, pages array<struct<{of}, length: int, positions: array<int>>>"
+
+
 def positions(pages: DataFrame, key: list[str], text: str, buckets: int) -> DataFrame:
-    """key, length, token, positions (ascending, from 0), bucket of all pages, a row a page and token; no shuffle."""
+    """token, pages (key, length, positions ascending from 0), bucket of all pages, a row a token and part of the pages; no shuffle."""
     found = pages.select(*key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.select(*key).schema)
-    each = found.mapInArrow(_grouped, f"{kinds}, length int, token string, positions array<int>").withColumn("bucket", bucket_of(F.col("token"), buckets))
-    return each
+    return found.mapInArrow(_lists, _kinds(found, key)).withColumn("bucket", bucket_of(F.col("token"), buckets))
 
 
 def page_rows(pages: DataFrame, key: list[str], text: str, buckets: int) -> DataFrame:
@@ -115,7 +149,9 @@ class TextIndex:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def postings(self, wanted: list[int] | None = None) -> DataFrame:
-        return self._read("postings", sorted(self.postings_versions) if wanted is None else wanted)
+        """key, length, token, positions: a row a page and token."""
+        lists = self._read("postings", sorted(self.postings_versions) if wanted is None else wanted)
+        return lists.select("token", F.inline("pages")).select(*self.key, "length", "token", "positions")
 
     def pages(self, wanted: list[int] | None = None) -> DataFrame:
         return self._read("pages", sorted(self.pages_versions) if wanted is None else wanted)
@@ -142,7 +178,7 @@ def _buckets_in(spark: SparkSession, path: str) -> list[int]:
 def build(pages: DataFrame, folder: str, key: list[str], text: str = "text", buckets: int = BUCKETS) -> TextIndex:
     """Indexes all ``pages``, one row a key, into ``folder``."""
     spark = pages.sparkSession
-    for name, rows, order in (("postings", positions(pages, key, text, buckets), ["token", *key]), ("pages", page_rows(pages, key, text, buckets), key)):
+    for name, rows, order in (("postings", positions(pages, key, text, buckets), ["token"]), ("pages", page_rows(pages, key, text, buckets), key)):
         _write(rows, f"{folder}/{name}", 1, order)
         rows.limit(0).drop("bucket").write.mode("overwrite").parquet(f"{folder}/{name}/empty")
     stats = spark.read.parquet(f"{folder}/pages/version=1").agg(F.count("*").alias("n"), F.sum("length").alias("total")).first() if _buckets_in(spark, f"{folder}/pages/version=1") else {"n": 0, "total": 0}
@@ -171,8 +207,8 @@ def upsert(index: TextIndex, changed: DataFrame, removed: DataFrame | None = Non
     """
     key, version = index.key, index.version + 1
     keys = changed.select(*key) if removed is None else changed.select(*key).union(removed.select(*key))
-    keys = keys.distinct()
-    fresh = page_rows(changed, key, text, index.buckets)
+    keys = stored(keys.distinct())
+    fresh = stored(page_rows(changed, key, text, index.buckets))
     # Bucket numbers: at most index.buckets of them come to the driver.
     numbers = lambda frame, column: sorted(r[0] for r in frame.select(column).distinct().collect() if r[0] is not None)
     homes = numbers(keys, _page_bucket(key, index.buckets))
@@ -180,8 +216,11 @@ def upsert(index: TextIndex, changed: DataFrame, removed: DataFrame | None = Non
     touched = sorted({*numbers(stale, F.explode("token_buckets")), *numbers(fresh, F.explode("token_buckets"))})
     kept = index.pages(homes).join(keys, key, "left_anti").withColumn("bucket", _page_bucket(key, index.buckets))
     _write(kept.unionByName(fresh), f"{index.folder}/pages", version, key)
-    old = index.postings(touched).join(keys, key, "left_anti").withColumn("bucket", bucket_of(F.col("token"), index.buckets))
-    _write(old.unionByName(positions(changed, key, text, index.buckets)), f"{index.folder}/postings", version, ["token", *key])
+    # Where the keys go to every task, rows stay in order of tokens and are put into as few lists as before.
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    old = index.postings(touched).join(F.broadcast(keys) if few else keys, key, "left_anti").select(*key, "length", "token", "positions")
+    old = old.mapInArrow(_lists_again, _kinds(keys, key)).withColumn("bucket", bucket_of(F.col("token"), index.buckets))
+    _write(old.unionByName(positions(changed, key, text, index.buckets)), f"{index.folder}/postings", version, ["token"])
     before, after = (f.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("total")).first() for f in (stale, fresh))
     state: dict = {"key": key, "buckets": index.buckets, "n": index.n - before["n"] + after["n"], "total": index.total - before["total"] + after["total"]}
     for name, mine, again in (("postings", index.postings_versions, touched), ("pages", index.pages_versions, homes)):
@@ -212,7 +251,7 @@ def missing(index: TextIndex, pages: DataFrame, text: str = "text") -> DataFrame
 
 def repaired(index: TextIndex, pages: DataFrame, text: str = "text") -> TextIndex:
     """The index brought in step with ``pages``: nothing but pages that differ is tokenized or written."""
-    found = missing(index, pages, text)
+    found = stored(missing(index, pages, text))
     wrong = found.where("reason <> 'orphan'").select(*index.key)
     return upsert(index, pages.join(wrong, index.key, "left_semi"), found.where("reason = 'orphan'"), text)
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+import time
 
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import listing
+from quire.operators import listing, textindex
+from quire.operators.ranking import Query
+from quire.operators.snippets import snippet
 
 
 def test_next_marked_of_a_long_project(spark):
@@ -52,3 +55,24 @@ def test_long_words_and_tokens(spark):
     out = T.replace_scannos(T.join_hyphens(F.col("t"), ["ti"]), {"tbe": "the", "wbich": "which"})
     found = [(r[0], [c["char_offset"] for c in r[1]]) for r in rows.select(out, T.hyphen_candidates(F.col("t"))).collect()]
     assert found == [("tion " + "x" * 300_000 + "-\ny", [0, 7]), ("a-" * 100_000 + "tbe the tion", [200_008])]
+
+
+def test_snippet_of_a_long_text():
+    """The text isn't copied for each word nor all places looked at for each: that would take minutes here."""
+    words = [("the fox. " if k % 3 else "in the ") + f"w{k}" for k in range(60_000)]
+    began = time.time()
+    assert snippet(" ".join(words), Query.of('"in the" AND fox')) == "in the w0 the fox. w1 the fox. w2 in the w3 the fox. w4..."
+    assert time.time() - began < 20
+
+
+def test_an_index_keeps_lists_of_pages(spark, tmp_path):
+    pages = spark.range(400).select(F.lit("p").alias("project"), F.col("id").alias("page"), F.concat(F.lit("the fox the "), F.col("id") % 7).alias("text")).coalesce(1)
+    index = textindex.build(pages, str(tmp_path / "index"), ["project", "page"], buckets=4)
+    after = textindex.upsert(index, pages.where("page % 2 = 0").withColumn("text", F.lit("a fox")), pages.where("page = 1").select("project", "page"))
+    rows = lambda i: sorted((r.page, r.length, r.token, tuple(r.positions)) for r in i.postings().collect())
+    want = lambda k: [(k, 4, "fox", (1,)), (k, 4, "the", (0, 2)), (k, 4, str(k % 7), (3,))]
+    assert rows(index) == sorted(r for k in range(400) for r in want(k))
+    assert rows(after) == sorted(r for k in range(400) if k != 1 for r in (want(k) if k % 2 else [(k, 2, "a", (0,)), (k, 2, "fox", (1,))]))
+    # A row for each page and token was dealt out, sorted and written before.
+    kept = [spark.read.parquet(f"{tmp_path}/index/postings/version={v}").groupBy("token").count().agg(F.max("count")).first()[0] for v in (1, 2)]
+    assert kept[0] == 1 and kept[1] <= 4
