@@ -6,6 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GAP = 10
+#: Boxes that a task orders at a time, on average; a page is never divided.
+ROWS = 500_000
+
+
+def by_page(boxes: DataFrame, by: str) -> DataFrame:
+    """``boxes`` dealt out by page to as many tasks as their number asks for, where that is more than Spark would take."""
+    parts = boxes.count() // ROWS + 1
+    return boxes.repartition(parts, by) if parts > int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions")) else boxes
 
 
 def merge_zones(boxes: DataFrame, by: str = "page_no", gap: int = GAP) -> DataFrame:
@@ -16,7 +24,7 @@ def merge_zones(boxes: DataFrame, by: str = "page_no", gap: int = GAP) -> DataFr
     order = Window.partitionBy(by).orderBy("y", "x", "w", "h").rowsBetween(Window.unboundedPreceding, -1)
     starts = F.when(F.col("y") > F.max(F.col("y") + F.col("h")).over(order) + gap, 1).otherwise(0)
     zone = F.sum("_new").over(Window.partitionBy(by).orderBy("y", "x", "w", "h").rowsBetween(Window.unboundedPreceding, 0))
-    grouped = boxes.withColumn("_new", starts).withColumn("zone", zone).groupBy(by, "zone")
+    grouped = by_page(boxes, by).withColumn("_new", starts).withColumn("zone", zone).groupBy(by, "zone")
     merged = grouped.agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("_r"), F.max(F.col("y") + F.col("h")).alias("_b"), F.count("*").alias("boxes"))
     return merged.select(by, F.col("zone").cast("int").alias("zone"), "x", "y", (F.col("_r") - F.col("x")).alias("w"), (F.col("_b") - F.col("y")).alias("h"), "boxes")
 

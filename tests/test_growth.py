@@ -8,7 +8,7 @@ import time
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import listing, textindex
+from quire.operators import geometry, listing, textindex
 from quire.operators.ranking import Query
 from quire.operators.snippets import snippet
 
@@ -76,3 +76,13 @@ def test_an_index_keeps_lists_of_pages(spark, tmp_path):
     # A row for each page and token was dealt out, sorted and written before.
     kept = [spark.read.parquet(f"{tmp_path}/index/postings/version={v}").groupBy("token").count().agg(F.max("count")).first()[0] for v in (1, 2)]
     assert kept[0] == 1 and kept[1] <= 4
+
+
+def test_boxes_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
+    boxes = spark.range(9000).select((F.col("id") % 300).alias("page_no"), *((F.hash("id", F.lit(c)) % 500 + 500).alias(c) for c in "xywh"))
+    want = sorted(map(tuple, geometry.merge_zones(boxes, gap=-300).collect()))
+    monkeypatch.setattr(geometry, "ROWS", 500)
+    found = geometry.merge_zones(boxes, gap=-300)
+    # The number of tasks was that of Spark's setting, whatever the number of boxes.
+    assert "REPARTITION_BY_NUM" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning(page_no" in plan and ", 19)" in plan
+    assert sorted(map(tuple, found.collect())) == want and len(want) > 300
