@@ -79,30 +79,36 @@ def fit(rows: list[tuple[int, bytes]], terms: int = TERMS, factors: int = FACTOR
     model = {"bias": np.log(base / (1 - base)) if 0 < base < 1 else None, "base": base, "buckets": np.zeros(0, np.int64), "w": np.zeros(0), "v": np.zeros((0, factors))}
     if model["bias"] is None:
         return model
-    doc = np.repeat(np.arange(len(rows)), [len(r[1]) // 4 for r in rows])
-    bucket = np.frombuffer(b"".join(r[1] for r in rows), "<u4").astype(np.int64)
-    n, positive = np.bincount(bucket, minlength=BUCKETS), np.bincount(bucket, weights=y[doc], minlength=BUCKETS)
+    # The driver never holds all terms as numbers, only those chosen, and one factor of each at a time.
+    parts = [range(at, min(at + 500, len(rows))) for at in range(0, len(rows), 500)]
+    docs_of = lambda part: np.repeat(np.array(part, np.int32), [len(rows[k][1]) // 4 for k in part])
+    buckets_of = lambda part: np.frombuffer(b"".join(rows[k][1] for k in part), "<u4")
+    n, positive = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS)
+    for part in parts:
+        n += np.bincount(buckets_of(part), minlength=BUCKETS)
+        positive += np.bincount(buckets_of(part), weights=y[docs_of(part)], minlength=BUCKETS)
     score = np.where(n >= 3, np.abs(positive - n * base) / np.sqrt(np.maximum(n, 1) * base * (1 - base)), 0)
     best = np.sort(np.argsort(-score, kind="stable")[:terms])
     best = best[score[best] > 0]
     place = np.full(BUCKETS, -1)
     place[best] = np.arange(len(best))
-    here = place[bucket] >= 0
-    doc, term = doc[here], place[bucket[here]]
+    chosen = [(docs_of(part)[here := place[found := buckets_of(part)] >= 0], place[found[here]].astype(np.int32)) for part in parts]
+    doc, term = (np.concatenate(c) for c in zip(*chosen, strict=True))
     random = np.random.default_rng(7)
     p = {"bias": np.array([model["bias"]]), "w": np.zeros(len(best)), "v": random.normal(0, 0.05, (len(best), factors))}
     first, second = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    by = lambda index, values, size: np.stack([np.bincount(index, values[:, f], size) for f in range(values.shape[1])], 1)
+    by = lambda index, values, size: np.stack([np.bincount(index, v, size) for v in values], 1)
+    each = range(factors)
     for step in range(1, steps + 1):
-        v = p["v"][term]
-        sums = by(doc, v, len(y))
-        z = p["bias"][0] + np.bincount(doc, p["w"][term], len(y)) + 0.5 * (sums**2 - by(doc, v**2, len(y))).sum(1)
+        v = p["v"]
+        sums = by(doc, (v[term, f] for f in each), len(y))
+        z = p["bias"][0] + np.bincount(doc, p["w"][term], len(y)) + 0.5 * (sums**2 - by(doc, (v[term, f] ** 2 for f in each), len(y))).sum(1)
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * np.where(y > 0, weight, 1.0) / len(y)
         e = error[doc]
         gradient = {
             "bias": np.array([error.sum()]),
             "w": np.bincount(term, e, len(best)) + decay * p["w"],
-            "v": by(term, e[:, None] * (sums[doc] - v), len(best)) + decay * p["v"],
+            "v": by(term, (e * (sums[doc, f] - v[term, f]) for f in each), len(best)) + decay * v,
         }
         for k, g in gradient.items():
             first[k] = 0.9 * first[k] + 0.1 * g
@@ -145,7 +151,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """The model fitted on the labelled documents that aren't held out."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("label")).where(~_held_out(F.col("doc_id")))
-    return fit([(r["label"], bytes(r["terms"])) for r in sampled_terms(rows, known, sample).collect()])
+    return fit([(r["label"], r["terms"]) for r in sampled_terms(rows, known, sample).collect()])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 import time
+import tracemalloc
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.llm import toxicity
 from quire.operators import geometry, listing, textindex
 from quire.operators.ranking import Query
 from quire.operators.snippets import snippet
@@ -86,3 +89,17 @@ def test_boxes_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
     # The number of tasks was that of Spark's setting, whatever the number of boxes.
     assert "REPARTITION_BY_NUM" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning(page_no" in plan and ", 19)" in plan
     assert sorted(map(tuple, found.collect())) == want and len(want) > 300
+
+
+def test_fit_keeps_numbers_of_chosen_terms_only():
+    """As many terms as the sample may have: the driver held each of them as several 64-bit numbers, 191 MB here."""
+    random = np.random.default_rng(3)
+    rows = [(k % 2, np.unique(np.append(random.integers(1000, toxicity.BUCKETS, 700), k % 2)).astype("<u4").tobytes()) for k in range(9000)]
+    tracemalloc.start()
+    try:
+        model = toxicity.fit(rows, terms=64, steps=2)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert {0, 1} <= set(model["buckets"].tolist()) and len(model["buckets"]) == 64
+    assert most < 80e6, most
