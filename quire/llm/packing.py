@@ -15,18 +15,23 @@ documents.  An empty table gives an empty result.  Other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from typing import TYPE_CHECKING
+from itertools import pairwise
+from typing import TYPE_CHECKING, NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm._common import materialize
+from quire.llm._vector import chunks
 
 if TYPE_CHECKING:
     from tokenizers import Tokenizer
@@ -35,40 +40,126 @@ SIZE = 4096
 END = 1
 SALTS = 512
 #: Words whose ids a Python worker remembers, and as many from before that; words that come again stay.
-REMEMBERED = 150_000
+REMEMBERED = 60_000
 #: New words that are encoded as one text.
 TOGETHER = 64
+#: Documents whose ids are held at a time.
+ROWS = 500
+#: What one kind of tokenizer does ahead of its model, ...
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+#: ... and the words that this only lower-cases and parts.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+SPACE, LETTER, DIGIT, SYMBOL, OTHER = range(5)
+KINDS = np.array([SPACE if c in b" \t\n\v\f\r" else OTHER if not 32 < c < 127 else LETTER if chr(c).isalpha() else DIGIT if chr(c).isdigit() else SYMBOL for c in range(256)], np.uint8)
+LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
-_known: dict[str, tuple[dict[str, bytes], dict[str, bytes], Tokenizer]] = {}
+_known: dict[str, tuple[dict[str, bytes], dict[str, bytes], Models]] = {}
 
 
-def encode(texts: list[str | None], tokenizer: str) -> list[bytes]:
+class Models(NamedTuple):
+    """A tokenizer, the same for parts of ``PLAIN`` words if it is of that kind, and the tokens it finds in texts ahead of all else."""
+
+    whole: Tokenizer
+    parts: Tokenizer | None
+    own: list[str]
+
+
+def _models(tokenizer: str) -> Models:
+    from tokenizers import Tokenizer
+
+    # Tasks fill the cores; more threads in a task only add memory.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    whole = Tokenizer.from_file(tokenizer)
+    of = json.loads(whole.to_str())
+    before, added = (of["pre_tokenizer"] or {}).get("pretokenizers", []), of["added_tokens"]
+    alike = (of["normalizer"] or {}).get("normalizers") == NORMALIZERS and len(before) == 2 and before[0] == SPLIT
+    alike = alike and before[1]["type"] == "ByteLevel" and not before[1]["add_prefix_space"] and not before[1]["use_regex"]
+    alike = alike and not any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in added)
+    parts = Tokenizer.from_str(json.dumps(of | {"normalizer": None, "pre_tokenizer": before[1]})) if alike else None
+    return Models(whole, parts, [t["content"] for t in added])
+
+
+def encode(texts: list[str | None] | pa.Array, tokenizer: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers.
 
-    The tokenizer never joins what white space parts, so each distinct word is encoded once and remembered.
+    The tokenizer never joins what white space parts, nor the parts of plain words, so each distinct one is encoded once and remembered.
     """
     if tokenizer not in _known:
-        from tokenizers import Tokenizer
-
-        # Tasks fill the cores; more threads in a task only add memory.
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _known[tokenizer] = {}, {}, Tokenizer.from_file(tokenizer)
-    known, before, model = _known[tokenizer]
+        _known[tokenizer] = {}, {}, _models(tokenizer)
+    models = _known[tokenizer][2]
+    texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts
+    out = []
+    for _, _, data, offsets in chunks(texts):
+        data, at, kind = parted(data, offsets, models.parts is not None)
+        words = kind != SPACE
+        strings = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(data))), pa.py_buffer(data))
+        coded = strings.filter(pa.array(words)).dictionary_encode()
+        ids = _ids(coded.dictionary.to_pylist(), tokenizer)
+        number, cuts = coded.indices.to_numpy(), np.searchsorted(at[words], offsets).tolist()
+        out += [b"".join([ids[k] for k in number[a:b].tolist()]) for a, b in pairwise(cuts)]
+    for own in models.own:
+        for k in np.flatnonzero(pc.fill_null(pc.match_substring(texts, own), False).to_numpy(zero_copy_only=False)).tolist():
+            out[k] = _each([texts[k].as_py()], models.whole)[0]
+    return out
+
+
+def parted(data: np.ndarray, offsets: np.ndarray, alike: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, starts and kinds of the parts of texts, white space too: plain words are parted as ``SPLIT`` does it and lower-cased, all are whole if the tokenizer isn't ``alike``."""
+    n = len(data)
+    kind = KINDS[data] if alike else np.where(KINDS[data] == SPACE, SPACE, OTHER)
+    edge = np.zeros(n + 3, bool)
+    edge[offsets] = True
+    start = edge.copy()
+    start[1:n] |= (kind[1:] == SPACE) != (kind[:-1] == SPACE)
+    if alike:
+        # Letters of two bytes; the signs of multiplication and division would be among them.
+        second = np.zeros(n, bool)
+        second[1:] = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        kind[second] = LETTER
+        kind[:-1][second[1:]] = LETTER
+        if (kind == OTHER).any():
+            word = np.cumsum(start[:n], dtype=np.int32) - 1
+            whole = np.zeros(int(word[-1]) + 1, bool)
+            whole[word[kind == OTHER]] = True
+            kind[whole[word]] = OTHER
+        letter = kind == LETTER
+        data = np.where(letter, LOWER[data], data)
+        data[letter & second & (data < 0x9F)] += 0x20
+        start[:n] |= kind == DIGIT
+        start[1:n] |= kind[1:] != kind[:-1]
+        # An apostrophe that opens a part takes some letters along.
+        at = np.flatnonzero((data == ord("'")) & (kind == SYMBOL) & start[:n])
+        one, two = (np.where(np.append(letter, [False] * 2)[at + k] & ~edge[at + k], np.append(data, [0] * 2)[at + k], 0) for k in (1, 2))
+        short = np.isin(one, list(b"stmd"))
+        long = np.isin(one.astype(int) * 256 + two, [256 * a + b for a, b in (b"re", b"ve", b"ll")])
+        start[at[short | long] + 1] = False
+        start[at[short] + 2] = True
+        start[at[long] + 3] = True
+    at = np.flatnonzero(start[:n])
+    return data, at, kind[at]
+
+
+def _ids(words: list[str], tokenizer: str) -> list[bytes]:
+    """Ids of each of some parts or words."""
+    known, before, models = _known[tokenizer]
     if len(known) > REMEMBERED:
         known, before = {}, known
-        _known[tokenizer] = known, before, model
-    # Python also splits at these four, which the tokenizer takes for symbols.
-    split = [None if t is None or any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-    there: set[str] = set()
-    there.update(*(s for s in split if s))
-    there -= known.keys()
-    again = there.intersection(before)
-    known.update((w, before[w]) for w in again)
-    new = list(there - again)
-    for at in range(0, len(new), 10_000):
-        known.update(zip(new[at : at + 10_000], _ids_of(new[at : at + 10_000], model), strict=True))
-    return [b"".join(map(known.__getitem__, s)) if s is not None else _each([t or ""], model)[0] for s, t in zip(split, texts, strict=True)]
+        _known[tokenizer] = known, before, models
+    new = []
+    for word in words:
+        if word not in known:
+            if (ids := before.get(word)) is None:
+                new.append(word)
+            else:
+                known[word] = ids
+    plain = [w for w in new if PLAIN.fullmatch(w)] if models.parts else []
+    other = [w for w in new if not PLAIN.fullmatch(w)] if models.parts else new
+    for model, those in ((models.parts, plain), (models.whole, other)):
+        for at in range(0, len(those), 10_000):
+            known.update(zip(those[at : at + 10_000], _ids_of(those[at : at + 10_000], model), strict=True))
+    return [known[w] for w in words]
 
 
 def _each(texts: list[str], model: Tokenizer) -> list[bytes]:
@@ -99,10 +190,10 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, do
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
-            for at in range(0, batch.num_rows, 500):
+            for at in range(0, batch.num_rows, ROWS):
                 out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": [], "ids": []}
-                keys = batch.column("doc_id").slice(at, 500).to_pylist()
-                for key, ids in zip(keys, encode(texts.slice(at, 500).to_pylist(), tokenizer), strict=True):
+                keys = batch.column("doc_id").slice(at, ROWS).to_pylist()
+                for key, ids in zip(keys, encode(texts.slice(at, ROWS), tokenizer), strict=True):
                     ids += tail
                     for k, start in enumerate(range(0, len(ids), 4 * size)):
                         part = ids[start : start + 4 * size]

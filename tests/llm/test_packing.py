@@ -66,3 +66,18 @@ def test_words_are_encoded_alike_together_and_alone(monkeypatch):
         assert packing.encode(texts, tokenizer()) == [alone(t) for t in texts]
         known, before, _ = packing._known[tokenizer()]
         assert "often" in known and len(known) + len(before) < 200
+
+
+def test_parts_of_words_are_encoded_alike_and_once(monkeypatch):
+    """Words that differ in case, digits and punctuation alone share what is encoded; ids are the tokenizer's own."""
+    monkeypatch.setattr(packing, "_known", {})
+    seen, really = [], packing._ids_of
+    monkeypatch.setattr(packing, "_ids_of", lambda words, model: really(seen.extend(words) or words, model))
+    model, alone = Tokenizer.from_file(tokenizer()), lambda t: np.array(model.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
+    texts = ["Letter letter, LETTER. (letter) letter7 Ärger ÄRGER! ärger", "letter.) 77 ärger7"]
+    assert packing.encode(texts, tokenizer()) == [alone(t) for t in texts]
+    assert len(seen) == len(set(seen)) and {"letter", "ärger"} <= set(seen) and sum("rger" in w or "etter" in w for w in seen) == 2
+    rng = np.random.default_rng(7)
+    few = ["'", "'", "s", "T", "r", "E", "l", "v", "d", "M", "a", " ", " ", "\n", ".", "5", "é", "É", "ß", "ÿ", "Ÿ", "×", "÷", "İ", "ñ", "ª", "_", "日", "́", "̈", " ", "’", "\x1c", "\x00", "²", "<|endoftext|>"]
+    texts = ["".join(rng.choice(few, rng.integers(0, 12))) for _ in range(4000)] + [None, "", " ", "'", "s"]
+    assert packing.encode(texts, tokenizer()) == [alone(t) for t in texts]
