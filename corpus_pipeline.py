@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import decontamination, jaccard, lines, packing, toxicity
-from quire.llm._common import WORD, materialize, read
+from quire.llm._common import WORD, materialize, read, small_batches
 from quire.llm.queries import tokenizer
 
 #: Ids that are sent to every executor at most; more are joined by a shuffle.
@@ -45,7 +45,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a copy of a benchmark item, edited or not, go."""
-    return _without(docs, decontamination.decontaminate(docs, read(spark, sf_dir, "benchmark"))).select(*docs.columns)
+    with small_batches(spark):
+        return _without(docs, decontamination.decontaminate(docs, read(spark, sf_dir, "benchmark"))).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm._common import materialize
+from quire.llm._common import materialize, small_batches
 from quire.llm._vector import chunks
 
 if TYPE_CHECKING:
@@ -301,4 +301,6 @@ def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
 
 def best_fit_packing(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(materialize(pieces(docs, tokenizer, size, end, doc_id, text)), size).withColumn("length", F.col("length").cast("long"))
+    with small_batches(docs.sparkSession):
+        cut = materialize(pieces(docs, tokenizer, size, end, doc_id, text))
+    return pack(cut, size).withColumn("length", F.col("length").cast("long"))

@@ -81,3 +81,23 @@ def test_parts_of_words_are_encoded_alike_and_once(monkeypatch):
     few = ["'", "'", "s", "T", "r", "E", "l", "v", "d", "M", "a", " ", " ", "\n", ".", "5", "é", "É", "ß", "ÿ", "Ÿ", "×", "÷", "İ", "ñ", "ª", "_", "日", "́", "̈", " ", "’", "\x1c", "\x00", "²", "<|endoftext|>"]
     texts = ["".join(rng.choice(few, rng.integers(0, 12))) for _ in range(4000)] + [None, "", " ", "'", "s"]
     assert packing.encode(texts, tokenizer()) == [alone(t) for t in texts]
+
+
+def test_workers_get_few_texts_at_once(spark, monkeypatch):
+    """Whatever the session's own setting, which stays."""
+    seen = spark.sparkContext.accumulator(0)
+    really = packing.pieces
+
+    def counted(docs, *more):
+        def largest(batches):
+            for batch in batches:
+                seen.add(batch.num_rows > 2_000)
+                yield batch
+
+        return really(docs.mapInArrow(largest, docs.schema), *more)
+
+    monkeypatch.setattr(packing, "pieces", counted)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = spark.range(0, 5_000, 1, 1).selectExpr("id as doc_id", "'a b' as text")
+    assert packing.best_fit_packing(docs, tokenizer()).count() == 5_000
+    assert seen.value == 0 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
