@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm._common import Tables, marked
+from quire.llm._common import Tables, marked, small_batches
 from quire.llm._vector import Words, chunks, mix
 
 WORDS = 5
@@ -170,7 +170,7 @@ def _listed(groups: DataFrame, level: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            group, last, n = (batch.column(c).to_numpy() for c in ("group", "last", "n"))
+            group, n = (batch.column(c).to_numpy() for c in ("group", "n"))
             packed = batch.column("prefix").to_pylist()
             size = np.array([len(p) // 8 for p in packed])
             place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
@@ -178,14 +178,13 @@ def _listed(groups: DataFrame, level: np.ndarray) -> DataFrame:
             columns = {
                 "token": pa.array(token.view(np.int64)),
                 "node": pa.array(np.repeat(group, size)),
-                "last": pa.array(np.repeat(last, size)),
                 "n": pa.array(np.repeat(n, size)),
                 "place": pa.array(place, pa.int32()),
                 "frequent": pa.array(level[_bucket(token)] > 0),
             }
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return groups.select("group", "last", "n", "prefix").mapInArrow(run, "token long, node long, last long, n long, place int, frequent boolean")
+    return groups.select("group", "n", "prefix").mapInArrow(run, "token long, node long, n long, place int, frequent boolean")
 
 
 def _least_shared(n: Column, m: Column) -> Column:
@@ -205,21 +204,25 @@ def lists(groups: DataFrame, level: np.ndarray) -> DataFrame:
     every = _listed(groups, level)
     # In order of size, a group whose neighbours' sizes don't fit has no partner here.
     order = Window.partitionBy("token").orderBy("n", "node")
-    rare = every.where("not frequent").withColumn("x", F.lag("n").over(order)).withColumn("y", F.lead("n").over(order))
+    # All shingles of all groups are shuffled here, so no column goes along that can be told afterwards.
+    rare = every.where("not frequent").select("token", "node", "n").withColumn("x", F.lag("n").over(order)).withColumn("y", F.lead("n").over(order))
     rare = rare.where((100 * F.col("x") >= PERCENT * F.col("n")) | (100 * F.col("n") >= PERCENT * F.col("y"))).drop("x", "y")
     shingle = Window.partitionBy("token")
     # A list has a group once, so none is cancelled.
     name = F.xxhash64(*(F.bit_xor(F.xxhash64("node", F.lit(k))).over(shingle) for k in (1, 2)), F.count("*").over(shingle))
-    rare = rare.withColumn("list", name)
+    # Shingles of ordinary buckets are in the order of their unsigned hashes, ahead of the frequent ones.
+    rare = rare.select(name.alias("list"), "node", "n", F.lit(-1).alias("place"), F.col("token").bitwiseXOR(F.lit(-(1 << 63))).alias("order"))
     node = Window.partitionBy("node")
-    place = F.row_number().over(node.orderBy("place", "token")).cast("long")
-    shared = F.count("*").over(node.orderBy("place", "token").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    place = F.row_number().over(node.orderBy("place", "order")).cast("long")
+    shared = F.count("*").over(node.orderBy("place", "order").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     prefix = prefix_length(F.col("n"))
-    marked = rare.unionByName(every.where("frequent").withColumn("list", F.col("token"))).select("list", "node", "last", "n", place.alias("k"), shared.alias("shared"))
+    frequent = every.where("frequent").select(F.col("token").alias("list"), "node", "n", "place", F.col("token").alias("order"))
+    marked = rare.unionByName(frequent).select("list", "node", "n", place.alias("k"), shared.alias("shared"))
     # Dealt by group, as the windows before and the join after it.
-    marked = marked.groupBy("node", F.col("list").alias("token")).agg(F.first("last").alias("last"), F.first("n").alias("n"), F.min("k").alias("k"), F.first("shared").alias("shared"))
+    marked = marked.groupBy("node", F.col("list").alias("token")).agg(F.first("n").alias("n"), F.min("k").alias("k"), F.first("shared").alias("shared"))
     # The classes of a group have different sketches.
-    marked = marked.join(groups.where(F.col("group") == F.col("last")).select(F.col("group").alias("node"), *_longs(F.col("sketch"))), "node", "left")
+    sketch = F.when(F.col("group") == F.col("last"), F.col("sketch"))
+    marked = marked.join(groups.select(F.col("group").alias("node"), "last", *_longs(sketch)), "node")
     return marked.select(
         "token",
         "node",
@@ -390,6 +393,7 @@ def links(groups: DataFrame, classes: DataFrame, level: np.ndarray, docs: DataFr
         F.col("class").alias("low"), F.col("class").alias("high"), *LONGS,
     )
     every = tables.store(lists(groups, level).unionByName(inside))
+    tables.drop(groups)
     # The first pass only finds links: all lists are whole in the rounds after it.
     state, others, done = every.where(F.col("before") < FIRST), every, [every]
     found: list[DataFrame] = []
@@ -433,15 +437,23 @@ def _of_one_id(full: DataFrame) -> DataFrame:
 
 def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
+    with small_batches(docs.sparkSession):
+        return _jaccard_join(docs, doc_id, text)
+
+
+def _jaccard_join(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     tables = Tables(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("text_key", F.xxhash64("doc_id", "text"))
     level = levels(rows)
-    found = tables.store(prefixes(rows, level).withColumn("key", F.xxhash64("prefix")))
-    full = found.where("n > 0")
+    every = tables.store(prefixes(rows, level).withColumn("key", F.xxhash64("prefix")))
+    full = every.where("n > 0")
     classes = tables.store(full.groupBy("n", "key", "class").agg(F.min("text_key").alias("text_key"), F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")))
-    groups = full.groupBy("n", "key").agg(F.min("class").alias("group"), F.max("class").alias("last"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
+    groups = tables.store(full.groupBy("n", "key").agg(F.min("class").alias("group"), F.max("class").alias("last"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")))
+    # Prefixes are kept once, by group.
+    found = tables.store(every.select("doc_id", "n", "class"))
+    tables.drop(every)
     verified = links(groups, classes, level, rows, tables)
-    same = _of_one_id(full.select("doc_id", "class"))
+    same = _of_one_id(found.where("n > 0").select("doc_id", "class"))
     joined = components(same if verified is None else verified.union(same), tables)
     named = classes.join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
     lowest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))

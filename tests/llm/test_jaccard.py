@@ -168,3 +168,26 @@ def test_sketches_never_rule_out_a_link():
             y = np.concatenate([x[changed:], r.integers(0, 1 << 63, changed).astype(np.uint64)])
             found = jaccard.sketches(np.repeat([0, 2], [len(x), len(y)]), np.concatenate([x, y]), 3)
             assert np.bitwise_count(found[0] ^ found[2]).sum() <= len(np.setxor1d(x, y)) and not found[1].any()
+
+
+def test_prefixes_are_on_disk_only_until_they_are_listed(spark, monkeypatch):
+    """Once the lists are there, no table with prefixes is left."""
+    store, drop, live, later = jaccard.Tables.store, jaccard.Tables.drop, {}, []
+
+    def stored(self, df):
+        if later or any("rest" in columns for columns in live.values()):
+            later.append(sum("prefix" in columns for columns in live.values()))
+        out = store(self, df)
+        live[id(out)] = out.columns
+        return out
+
+    def dropped(self, *frames):
+        for frame in frames:
+            live.pop(id(frame), None)
+        drop(self, *frames)
+
+    monkeypatch.setattr(jaccard.Tables, "store", stored)
+    monkeypatch.setattr(jaccard.Tables, "drop", dropped)
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k l"), (2, "a b c d e f g h i j k l m"), (3, "n o p q r s")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in jaccard.jaccard_join(docs).collect()) == [(1, 1), (2, 1), (3, 3)]
+    assert later and not any(later)
