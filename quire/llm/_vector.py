@@ -12,8 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text worked on at a time (a longer text is taken whole).
-CHUNK = 1 << 20
+#: Bytes of text worked on at a time (a longer text is taken whole); hashes and offsets of their words take many times as much.
+CHUNK = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _random = np.random.default_rng(20240601)
@@ -41,8 +41,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, rows, bytes, offsets) of about CHUNK bytes each; null texts are empty."""
+def chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, rows, bytes, offsets) of about ``size`` bytes each; null texts are empty."""
     texts = texts.cast(pa.large_string()).fill_null("")
     n = len(texts)
     if not n:
@@ -51,7 +51,7 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8)
     at = 0
     while at < n:
-        to = max(int(np.searchsorted(offsets, offsets[at] + CHUNK, side="right")) - 1, at + 1)
+        to = max(int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1, at + 1)
         yield at, to - at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
 

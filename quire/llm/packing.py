@@ -45,6 +45,8 @@ REMEMBERED = 60_000
 TOGETHER = 64
 #: Documents whose ids are held at a time.
 ROWS = 500
+#: Bytes of text parted at a time; a word that comes again in them is looked up once.
+PARTED = 1 << 20
 #: What one kind of tokenizer does ahead of its model, ...
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
@@ -77,8 +79,17 @@ def _models(tokenizer: str) -> Models:
     alike = (of["normalizer"] or {}).get("normalizers") == NORMALIZERS and len(before) == 2 and before[0] == SPLIT
     alike = alike and before[1]["type"] == "ByteLevel" and not before[1]["add_prefix_space"] and not before[1]["use_regex"]
     alike = alike and not any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in added)
-    parts = Tokenizer.from_str(json.dumps(of | {"normalizer": None, "pre_tokenizer": before[1]})) if alike else None
-    return Models(whole, parts, [t["content"] for t in added])
+    return Models(whole, _for_parts(whole, of | {"normalizer": None, "pre_tokenizer": before[1]}) if alike else None, [t["content"] for t in added])
+
+
+def _for_parts(whole: Tokenizer, of: dict) -> Tokenizer:
+    """The tokenizer that ``of`` describes, with the model that ``whole`` has; vocabulary and merges take as much as all else."""
+    from tokenizers import Tokenizer
+
+    parts = Tokenizer(whole.model)
+    parts.pre_tokenizer = whole.pre_tokenizer[1]
+    parts.add_tokens(list(whole.get_added_tokens_decoder().values()))
+    return parts if parts.get_added_tokens_decoder() == whole.get_added_tokens_decoder() else Tokenizer.from_str(json.dumps(of))
 
 
 def encode(texts: list[str | None] | pa.Array, tokenizer: str) -> list[bytes]:
@@ -91,7 +102,7 @@ def encode(texts: list[str | None] | pa.Array, tokenizer: str) -> list[bytes]:
     models = _known[tokenizer][2]
     texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts
     out = []
-    for _, _, data, offsets in chunks(texts):
+    for _, _, data, offsets in chunks(texts, PARTED):
         data, at, kind = parted(data, offsets, models.parts is not None)
         words = kind != SPACE
         strings = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(data))), pa.py_buffer(data))

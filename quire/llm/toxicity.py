@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm._common import materialize, small_batches
 from quire.llm._vector import Words, chunks
 
 BUCKETS = 1 << 20
@@ -151,22 +152,26 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """The model fitted on the labelled documents that aren't held out."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("label")).where(~_held_out(F.col("doc_id")))
-    return fit([(r["label"], r["terms"]) for r in sampled_terms(rows, known, sample).collect()])
+    with small_batches(docs.sparkSession):
+        found = sampled_terms(rows, known, sample).collect()
+    return fit([(r["label"], r["terms"]) for r in found])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.  Held-out documents' labels are not used."""
     model = learn(docs, labels, doc_id, text, label, sample)
-    scored = scores(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")), model)
+    with small_batches(docs.sparkSession):
+        scored = materialize(scores(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")), model))
     return scored.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, as they are, whose score is below ``threshold``."""
+    """The rows of ``docs``, as they are, whose score is below ``threshold``; a checkpoint, since Spark hands out as many rows at once as its setting says when they are read."""
     model = learn(docs, labels, doc_id, text, label, sample)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(_scores(batch.column(text), model) < threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    with small_batches(docs.sparkSession):
+        return materialize(docs.mapInArrow(keep, docs.schema))

@@ -101,3 +101,12 @@ def test_workers_get_few_texts_at_once(spark, monkeypatch):
     docs = spark.range(0, 5_000, 1, 1).selectExpr("id as doc_id", "'a b' as text")
     assert packing.best_fit_packing(docs, tokenizer()).count() == 5_000
     assert seen.value == 0 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_tokenizers_of_words_and_parts_have_one_model():
+    """A worker held vocabulary and merges twice."""
+    models = packing._models(tokenizer())
+    assert models.parts.get_added_tokens_decoder() == models.whole.get_added_tokens_decoder()
+    assert [e.ids for e in models.parts.encode_batch(["hello", "don", "--", models.own[0]], add_special_tokens=False)] == [e.ids for e in models.whole.encode_batch(["hello", "don", "--", models.own[0]], add_special_tokens=False)]
+    models.whole.model.dropout = 0.5
+    assert models.parts.model.dropout == 0.5

@@ -1,13 +1,16 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quire.llm import toxicity
-from quire.llm._common import read
+from quire.llm._common import ROWS_AT_ONCE, read
 from quire.llm.queries import QUERIES
 from tests.llm.helpers import TESTDATA, awkward, documents
 
@@ -69,3 +72,28 @@ def test_edges(spark):
     assert {r["score"] for r in toxicity.toxicity(rows, labels.limit(0)).collect()} == {0.0}
     assert toxicity.toxicity(rows.limit(0), labels).count() == 0
     assert toxicity.keep_clean(rows, labels.limit(0)).count() == len(awkward())
+
+
+def test_workers_get_few_texts_at_once(spark, monkeypatch):
+    """Spark's usual 10,000 texts at once, in the JVM and in each Python worker, went with what else an executor holds beyond its memory."""
+    monkeypatch.setattr(toxicity, "_scores", lambda texts, model: np.full(len(texts), len(texts) / 1e4))
+    rows = spark.range(7000, numPartitions=1).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"))
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    before = spark.conf.get(ROWS_AT_ONCE)
+    assert max(r["score"] for r in toxicity.toxicity(rows, labels).collect()) <= 0.2
+    assert toxicity.keep_clean(rows, labels).count() == 7000
+    assert spark.conf.get(ROWS_AT_ONCE) == before
+
+
+def test_terms_of_few_bytes_at_once():
+    """Hashes of 1 MB of text at a time took 37 MB."""
+    texts = pa.array([" ".join(f"word{k * 7919 % 50_000}" for k in range(j, j + 500)) for j in range(400)])
+    model = toxicity.fit([(k % 2, np.array([k % 2, 9], "<u4").tobytes()) for k in range(40)], steps=1)
+    toxicity._scores(texts[:1], model)
+    tracemalloc.start()
+    try:
+        found = toxicity._scores(texts, model)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(found) == 400 and most < 20e6, most
