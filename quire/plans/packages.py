@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire import fixtures as X
 from quire.registry import query
-from quire.sources import archives, packages
+from quire.sources import packages, zipfiles
 from quire.tables import shared_folder, stored, table
 
 BUILT = "2024-01-01T00:00:00"
@@ -28,10 +28,10 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _saved(spark: SparkSession, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(records, archives read back) of packages written to a folder of their own."""
+    """(records, the archives' files) of packages written to a folder of their own."""
     folder = f"{shared_folder(spark)}/packages-{uuid.uuid4().hex}"
     saved = stored(packages.save(parts, folder.removeprefix("file:").replace("//", "/")))
-    return saved, archives.files(spark, f"{folder}/*.zip")
+    return saved, zipfiles.files(spark, f"{folder}/*.zip")
 
 
 def _project() -> Column:
@@ -49,7 +49,7 @@ e AS (SELECT project_id, {_PREFIX} || '.png' AS entry, text AS data FROM p WHERE
 def package_entries(spark: SparkSession, d: str) -> DataFrame:
     """Every entry of every submission but the manifest, as it comes back out of the archive."""
     _, found = _saved(spark, packages.archive_parts(packages.submission(_pages(spark, d), "A book", BUILT)))
-    back = archives.entries(found).where("entry <> 'pgdp.json'")
+    back = zipfiles.entries(found, F.col("entry") != "pgdp.json")
     return back.select(_project().alias("project_id"), "entry", "size", F.md5("content").alias("digest"))
 
 
@@ -60,7 +60,7 @@ def package_entries(spark: SparkSession, d: str) -> DataFrame:
 def package_manifests(spark: SparkSession, d: str) -> DataFrame:
     """What packages say of themselves, and whether what was recorded while they were written is so."""
     records, found = _saved(spark, packages.archive_parts(packages.submission(_pages(spark, d), "A book", BUILT)))
-    told = archives.package_manifests(found, _project())
+    told = zipfiles.package_manifests(found, _project())
     both = told.join(records.select(F.col("project_id").alias("project"), F.col("sha256").alias("s"), "file_count"), "project")
     return both.select("project", "pages", "canvas", "built", "files", ((F.col("sha256") == F.col("s")) & (F.col("files") == F.col("file_count"))).alias("same"))
 
@@ -84,5 +84,5 @@ def first_package_entries(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("doc_id") % 2 == 0, F.array(output(0, "a"))).otherwise(F.array(output(1, "b"), output(0, "a"))).alias("outputs"), region.alias("regions"),
     )
     _, found = _saved(spark, packages.archive_parts(packages.first_package(rows, "A book", BUILT)))
-    back = archives.entries(found).where("entry <> 'pgdp.json'")
+    back = zipfiles.entries(found, F.col("entry") != "pgdp.json")
     return back.select(_project().alias("project_id"), "entry", F.md5("content").alias("digest"))

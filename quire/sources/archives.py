@@ -101,8 +101,13 @@ def package_manifests(archives: DataFrame, project: Column) -> DataFrame:
 
     Where there is none, or none that can be read, ``project`` and empty values stand in.
     """
-    told = entries(archives, ["pgdp.json"]).select("path", F.from_json(F.decode("content", "utf-8"), MANIFEST).alias("m")).dropDuplicates(["path"])
-    out = archive_records(archives).withColumn("_project", project).join(told, "path", "left")
+    told = entries(archives, ["pgdp.json"]).select("path", F.decode("content", "utf-8").alias("told")).dropDuplicates(["path"])
+    return described(archive_records(archives).join(told, "path", "left"), F.col("told"), project)
+
+
+def described(records: DataFrame, told: Column, project: Column) -> DataFrame:
+    """Records of packages with what ``told``, their manifest, says."""
+    out = records.withColumn("_project", project).withColumn("m", F.from_json(told, MANIFEST))
     return out.select(
         "path", F.coalesce("m.project_id", "_project").alias("project"), F.coalesce("m.page_count", F.lit(0)).alias("pages"), F.coalesce("m.book_name", F.lit("")).alias("canvas"),
         F.coalesce("m.built_at", F.lit("")).alias("built"), F.col("file_count").alias("files"), "sha256",
